@@ -6,6 +6,9 @@ import importlib
 
 _MODULES = (
     "kairos.plans.q_features",
+    "kairos.plans.q_rows",
+    "kairos.plans.q_joins",
+    "kairos.plans.q_cohort",
 )
 
 

@@ -68,7 +68,11 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     parts = [f"{n} as ({ctes[n]})" for n in order if n in needed]
     if not parts:
         return body
-    return "with " + ",\n".join(parts) + "\n" + body
+    head = "with " + ",\n".join(parts)
+    m = re.match(r"\s*with\s+", body, flags=re.IGNORECASE)
+    if m:  # merge with the body's own CTE list
+        return head + ",\n" + body[m.end():]
+    return head + "\n" + body
 
 
 def _is_base(name: str) -> bool:
