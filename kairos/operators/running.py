@@ -3,75 +3,115 @@
 A ``Window.orderBy`` without ``partitionBy`` moves every row into one task.
 These helpers compute the same values with the data spread out:
 
-1. range-partition the rows on the order key (``repartitionByRange``); the
-   partition id then increases with the key,
-2. per partition, a windowed running sum (``partitionBy(part)``),
-3. per-partition totals (one row per partition, a bounded table) turned
-   into offsets by a window over that small table, broadcast back and added.
-
-With ``by`` columns the same is done inside each group; the group column is
-part of the range key, so one large group is still spread over many tasks.
+1. each row gets a **bucket**: a deterministic, monotone function of its
+   order key (literal quantile bounds of the key, or a caller-given
+   expression such as ``floor(day / 32)``), so buckets follow the order,
+2. inside each (group, bucket) a windowed running sum,
+3. per-(group, bucket) totals (a table bounded by groups x buckets) turned
+   into offsets by a window over that small table and joined back.
+
+The bucket is a plain expression with literal bounds, not a partition id:
+every branch of the plan and every recomputed task sees the same buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-DEFAULT_PARTS = 64
+DEFAULT_BUCKETS = 64
 
 
-def _parts(df: DataFrame, n: int | None) -> int:
+def _n_buckets(df: DataFrame, n: int | None) -> int:
     if n:
         return n
     try:
-        return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     except Exception:  # noqa: BLE001
-        return DEFAULT_PARTS
+        return DEFAULT_BUCKETS
+
+
+def order_proxy(df: DataFrame, c: str) -> Column:
+    """A numeric expression, non-decreasing in the natural order of column ``c``."""
+    dt = df.schema[c].dataType
+    if isinstance(dt, T.NumericType):
+        return F.col(c).cast("double")
+    if isinstance(dt, T.BooleanType):
+        return F.col(c).cast("int").cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(F.col(c)).cast("double")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    # strings / binary: first 6 bytes as a big-endian number (byte order = Spark's string order)
+    hexs = F.rpad(F.substring(F.hex(F.col(c).cast("binary")), 1, 12), 12, "0")
+    return F.conv(hexs, 16, 10).cast("double")
+
+
+def quantile_bucket(df: DataFrame, c: str, n: int, descending: bool = False) -> Column:
+    """Bucket 0..n-1 from approximate quantile bounds of ``c`` (one small aggregate).
+
+    The bounds become literals of the plan, so the bucket is deterministic.
+    """
+    proxy = order_proxy(df, c)
+    probs = [i / n for i in range(1, n)]
+    row = df.agg(F.percentile_approx(proxy, probs, 1000).alias("b")).first()
+    bounds = sorted(set(row["b"] or [])) if row is not None else []
+    if not bounds:
+        return F.lit(0)
+    arr = F.array(*[F.lit(float(b)) for b in bounds])
+    asc = F.size(F.filter(arr, lambda b: b < proxy))
+    return (F.lit(len(bounds)) - asc) if descending else asc
 
 
 def running_sum(df: DataFrame, order_cols: list[str], sum_cols: list[str], *, by: list[str] | None = None,
                 descending: bool = False, inclusive: bool = True, out_prefix: str = "cum_",
-                n_parts: int | None = None) -> DataFrame:
-    """Add ``cum_<c>`` = sum of ``c`` over rows at or before this row.
+                bucket: Column | None = None, n_buckets: int | None = None) -> DataFrame:
+    """Add ``<out_prefix><c>`` = sum of ``c`` over rows at or before this row.
 
     ``order_cols`` must identify a row uniquely within ``by`` (aggregate to
     distinct order values first). ``descending=True`` sums from the other
     end (reverse running sum, e.g. the risk set of a Kaplan-Meier table);
-    ``inclusive=False`` leaves the current row out.
+    ``inclusive=False`` leaves the current row out. ``bucket`` may be given
+    as an expression non-decreasing in the ascending order of the keys
+    (e.g. ``floor(day / 30)``; it is negated for a descending sum);
+    otherwise quantile bounds of the first order column are computed with
+    one aggregate.
     """
     by = list(by or [])
-    n = _parts(df, n_parts)
+    if bucket is None:
+        bucket = quantile_bucket(df, order_cols[0], _n_buckets(df, n_buckets), descending)
+    elif descending:
+        bucket = -bucket
     okeys = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    gkeys = [F.col(c).asc() for c in by]
-    rp = df.repartitionByRange(n, *gkeys, *okeys).withColumn("_pid", F.spark_partition_id())
-    w_in = Window.partitionBy("_pid", *by).orderBy(*okeys)
+    b = df.withColumn("_bk", bucket.cast("long"))
+    w_in = Window.partitionBy(*by, "_bk").orderBy(*okeys)
     frame = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     for c in sum_cols:
-        rp = rp.withColumn("_loc_" + c, F.coalesce(F.sum(c).over(frame), F.lit(0).cast(df.schema[c].dataType)))
-    # totals per (group, partition): at most n_parts rows per group touched
-    tot = rp.groupBy(*by, "_pid").agg(*[F.sum(c).alias("_tot_" + c) for c in sum_cols])
-    w_off = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*by, "_pid", *[F.coalesce(F.sum("_tot_" + c).over(w_off), F.lit(0)).alias("_off_" + c)
-                                    for c in sum_cols])
-    out = rp.join(F.broadcast(off) if not by else off, [*by, "_pid"])
+        b = b.withColumn("_loc_" + c, F.coalesce(F.sum(c).over(frame), F.lit(0).cast(df.schema[c].dataType)))
+    tot = b.groupBy(*by, "_bk").agg(*[F.sum(c).alias("_tot_" + c) for c in sum_cols])
+    w_off = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*by, "_bk", *[F.coalesce(F.sum("_tot_" + c).over(w_off), F.lit(0)).alias("_off_" + c)
+                                   for c in sum_cols])
+    out = b.join(off, [*by, "_bk"])
     for c in sum_cols:
         out = out.withColumn(out_prefix + c, F.col("_loc_" + c) + F.col("_off_" + c))
-    return out.drop("_pid", *["_loc_" + c for c in sum_cols], *["_off_" + c for c in sum_cols])
+    return out.drop("_bk", *["_loc_" + c for c in sum_cols], *["_off_" + c for c in sum_cols])
 
 
 def global_row_number(df: DataFrame, order_cols: list[str], *, out: str = "rn", descending: bool = False,
-                      n_parts: int | None = None) -> DataFrame:
+                      bucket: Column | None = None, n_buckets: int | None = None) -> DataFrame:
     """1-based position of each row in the global order (no single-task window)."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
-    res = running_sum(one, order_cols, ["_one"], descending=descending, n_parts=n_parts, out_prefix="_cum")
+    res = running_sum(one, order_cols, ["_one"], descending=descending, out_prefix="_cum",
+                      bucket=bucket, n_buckets=n_buckets)
     return res.withColumnRenamed("_cum_one", out).drop("_one")
 
 
 def dense_index(df: DataFrame, col: str, *, out: str = "index", base: int = 0,
-                n_parts: int | None = None) -> DataFrame:
+                n_buckets: int | None = None) -> DataFrame:
     """Map each distinct value of ``col`` to its position in sorted order."""
     vals = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    idx = global_row_number(vals, [col], out="_rn", n_parts=n_parts)
+    idx = global_row_number(vals, [col], out="_rn", n_buckets=n_buckets)
     return idx.select(col, (F.col("_rn") - 1 + base).alias(out))

@@ -9,6 +9,8 @@ _MODULES = (
     "kairos.plans.q_rows",
     "kairos.plans.q_joins",
     "kairos.plans.q_cohort",
+    "kairos.plans.q_survival",
+    "kairos.plans.q_metrics",
 )
 
 
