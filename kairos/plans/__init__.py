@@ -11,6 +11,7 @@ _MODULES = (
     "kairos.plans.q_cohort",
     "kairos.plans.q_survival",
     "kairos.plans.q_metrics",
+    "kairos.plans.q_text",
 )
 
 
