@@ -12,6 +12,7 @@ _MODULES = (
     "kairos.plans.q_survival",
     "kairos.plans.q_metrics",
     "kairos.plans.q_text",
+    "kairos.plans.q_models",
 )
 
 
