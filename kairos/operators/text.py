@@ -84,13 +84,30 @@ def term_counts(docs: DataFrame, *, doc: str = "note_id", text: str = "note_text
     return t.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("count"))
 
 
+def term_totals(docs: DataFrame, *, text: str = "note_text") -> DataFrame:
+    """Corpus-wide ``(term, total)`` straight from the token stream: map-side
+    partial counts per term, no per-document rows."""
+    t = docs.select(tokens(text).alias("_toks")).select(F.explode(ngrams_1_2("_toks")).alias("term"))
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+
+
+def vocab_counts(docs: DataFrame, vocab: DataFrame, *, doc: str = "note_id", text: str = "note_text") -> DataFrame:
+    """``(doc, term, count)`` restricted to a vocabulary: the (bounded, broadcast)
+    vocabulary filters the token stream before the per-document shuffle."""
+    t = docs.select(doc, tokens(text).alias("_toks")).select(doc, F.explode(ngrams_1_2("_toks")).alias("term"))
+    t = t.join(F.broadcast(vocab.select("term")), "term", "left_semi")
+    return t.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("count"))
+
+
 def vocabulary(counts: DataFrame, *, max_features: int, doc: str = "note_id",
                train_docs: DataFrame | None = None) -> DataFrame:
     """The ``max_features`` terms with the highest total count on training
     documents (ties by term), with their index in alphabetical order.
 
-    Take-ordered (``orderBy.limit``) keeps at most ``max_features`` rows per
-    partition; the result is bounded by ``max_features``.
+    ``counts`` is ``(doc, term, count)`` or, without ``train_docs``, the
+    ``(term, count)`` totals of the training documents. Take-ordered
+    (``orderBy.limit``) keeps at most ``max_features`` rows per partition;
+    the result is bounded by ``max_features``.
     """
     c = counts.join(train_docs.select(doc), doc, "left_semi") if train_docs is not None else counts
     tot = c.groupBy("term").agg(F.sum("count").alias("total"))

@@ -221,13 +221,17 @@ def f9_demographics(spark, sf_dir):
     return d.select("visit_id", "feature", r("value").alias("value"))
 
 
-def _assembled(spark, sf_dir):
+def _assembled(spark, sf_dir, materialize: bool = False):
+    """F10 long feature rows at every visit; ``materialize`` writes them once to the
+    shared folder when several consumers read them (cuts recomputation and lineage)."""
+    from kairos.sources.writers import persist_table
     v, p = fx.visits(spark, sf_dir), fx.patients(spark, sf_dir)
     labs = pit.decayed_mean(v, fx.labs(spark, sf_dir))
     ev = pit.step_weighted_presence(v, fx.items(spark, sf_dir))
     demo = features.demographics(v, p)
-    return features.assemble([(labs, "component_id", "value", "lab"), (ev, "feature_name", "weight", "event"),
+    long = features.assemble([(labs, "component_id", "value", "lab"), (ev, "feature_name", "weight", "event"),
                               (demo, "feature", "value", "demo")])
+    return persist_table(long, "features_long") if materialize else long
 
 
 _F1_SQL = """
@@ -282,7 +286,7 @@ select st.feature, cast(st.n as bigint) as n, round(st.mean, 4) as mean, round(s
 from st left join z on z.feature = st.feature
 """, extra_views={"f1": _F1_SQL, "f4": _F4_SQL, "longf": _LONG_SQL})
 def f11_impute_standardise(spark, sf_dir):
-    long = _assembled(spark, sf_dir)
+    long = _assembled(spark, sf_dir, materialize=True)
     ev = fx.visits(spark, sf_dir).select("visit_id", (F.col("patient_id") % 10 < 8).alias("is_train"))
     z, st = features.impute_standardize(long, ev, zero_filled=["event"])
     sz = z.groupBy("feature").agg(F.sum("z").alias("sum_z"))

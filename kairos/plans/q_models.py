@@ -167,7 +167,7 @@ def _long_z(spark, sf_dir):
     from kairos.operators import features
     from kairos.plans.q_cohort import _assembled
     from kairos.sources import fixtures as fx
-    long = _assembled(spark, sf_dir)
+    long = _assembled(spark, sf_dir, materialize=True)
     ev = fx.visits(spark, sf_dir).select("visit_id", (F.col("patient_id") % 10 < 8).alias("is_train"))
     z, st = features.impute_standardize(long, ev, zero_filled=["event"])
     return long, z, st

@@ -145,12 +145,16 @@ def _counts(spark, sf_dir):
     return n, tops.term_counts(n)
 
 
+def _vocab(notes, n_terms):
+    """Vocabulary of the training notes, from corpus totals (no per-document rows)."""
+    return tops.vocabulary(tops.term_totals(notes.filter(F.col("note_id") % 10 < 8)), max_features=n_terms)
+
+
 @query("g7_vocabulary", "G7", """
 select term, cast(total as bigint) as total, index from vocab
 """, extra_views={"counts": _COUNTS_SQL, "vocab": _VOCAB_SQL})
 def g7_vocabulary(spark, sf_dir):
-    n, c = _counts(spark, sf_dir)
-    v = tops.vocabulary(c, max_features=VOCAB_N, train_docs=_train_notes(n))
+    v = _vocab(fx.notes(spark, sf_dir), VOCAB_N)
     return v.select("term", F.col("total").cast("long"), F.col("index").cast("int"))
 
 
@@ -166,10 +170,10 @@ select x.note_id, cast(count(*) as bigint) as n_terms, round(sum(x.x / nm.norm),
 from x join nm on nm.note_id = x.note_id group by x.note_id
 """, extra_views={"counts": _COUNTS_SQL, "vocab": _VOCAB_SQL})
 def g8_tfidf(spark, sf_dir):
-    n, c = _counts(spark, sf_dir)
+    n = fx.notes(spark, sf_dir)
     tr = _train_notes(n)
-    v = tops.vocabulary(c, max_features=VOCAB_N, train_docs=tr)
-    t = tops.tfidf(c, v, train_docs=tr)
+    v = _vocab(n, VOCAB_N)
+    t = tops.tfidf(tops.vocab_counts(n, v), v, train_docs=tr)
     return t.groupBy("note_id").agg(F.count(F.lit(1)).alias("n_terms"), r(F.sum("tfidf"), 6).alias("sum_tfidf"),
                                     r(F.max("tfidf"), 6).alias("max_tfidf"))
 
@@ -192,9 +196,10 @@ select term, cast(count(*) as bigint) as n_docs, round(sum(v), 6) as sum_all,
 from z group by term
 """, extra_views={"counts": _COUNTS_SQL, "vocab": _VOCAB_SQL, "edited": _EDITED_SQL})
 def g9_g11_term_frequency(spark, sf_dir):
-    n, c = _counts(spark, sf_dir)
+    n = fx.notes(spark, sf_dir)
     tr = _train_notes(n)
-    v = tops.vocabulary(c, max_features=VOCAB_N, train_docs=tr)
+    v = _vocab(n, VOCAB_N)
+    c = tops.vocab_counts(n, v)
     edited = v.select(F.col("term").alias("feature"),
                       F.when(F.col("term").rlike("[0-9]") | (F.length("term") < 3), 1).otherwise(0).alias("exclude"))
     docs = tops.with_word_count(n)
@@ -224,8 +229,9 @@ select p.visit_id, tf.term, round(sum(p.w / t.tw * tf.tf), 6) as value
 from p join t on t.visit_id = p.visit_id join tf on tf.note_id = p.note_id group by p.visit_id, tf.term
 """, extra_views={"counts": _COUNTS_SQL, "feats": _FEAT_SQL})
 def f3_decayed_terms(spark, sf_dir):
-    n, c = _counts(spark, sf_dir)
-    feats = tops.vocabulary(c, max_features=FEATURE_N, train_docs=_train_notes(n))
+    n = fx.notes(spark, sf_dir)
+    feats = _vocab(n, FEATURE_N)
+    c = tops.vocab_counts(n, feats)
     docs = tops.with_word_count(n)
     tf = tops.term_frequency(c, docs, feats).select("note_id", "term", F.col("tf").alias("value"))
     out = pit.decayed_term_mean(fx.visits(spark, sf_dir), docs, tf, note_time="update_date")
