@@ -75,6 +75,10 @@ def range_join(evals: DataFrame, events: DataFrame, *, key: str, eval_time: str,
     cond = [F.col(k) == F.col("_k" if k == key else "_e" + k) for k in cond_keys]
     for k in cond_keys[1:]:
         e = e.withColumnRenamed(k, "_e" + k)
+    # hash-distribute the (large) event side on exactly the join keys: the
+    # distribution a sort-merge join needs anyway, and parallel work when the
+    # planner broadcasts the evaluation side instead
+    e = e.repartition("_k", *["_e" + k for k in cond_keys[1:]])
     gap = F.col("_vday") - F.col("_eday")
     cond.append(gap >= 0)
     if lookback_days is not None:

@@ -19,6 +19,16 @@ from kairos.functions.text import ngrams_1_2, tokens, word_count
 from kairos.operators.rows import attach
 
 
+def spread_docs(docs: DataFrame, *, doc: str = "note_id", n: int | None = None) -> DataFrame:
+    """Hash-distribute documents by id before CPU-heavy per-document work.
+
+    Document sizes vary by four orders of magnitude and file splits can be
+    very uneven (a large text file may be one row group, i.e. one task); one
+    shuffle of the raw text spreads the tokenising over all partitions.
+    """
+    return docs.repartition(n, doc) if n else docs.repartition(doc)
+
+
 def dedup_texts(notes: DataFrame, *, key: str = "patient_id", text: str = "note_text",
                 order: Sequence[str] = ("note_id",)) -> DataFrame:
     """G1: drop exact duplicate texts per patient, keeping the first by ``order``.
@@ -49,7 +59,8 @@ def clean_tokens(notes: DataFrame, lemmas: DataFrame, stop: DataFrame, *, doc: s
     case; the kept tokens are joined in order, punctuation is removed and
     spaces collapsed. Documents whose tokens are all removed come out empty.
     """
-    toks = notes.select(doc, F.posexplode(F.split(F.col(text), r"\s+")).alias("pos", "token")) \
+    toks = spread_docs(notes.select(doc, text), doc=doc) \
+        .select(doc, F.posexplode(F.split(F.col(text), r"\s+")).alias("pos", "token")) \
         .filter(F.length("token") > 0)
     lem = lemmas.select("token", F.col("lemma"))
     toks = toks.join(lem, "token", "left").withColumn("word", F.coalesce("lemma", "token"))
@@ -80,21 +91,24 @@ def with_word_count(notes: DataFrame, *, text: str = "note_text", min_words: int
 
 def term_counts(docs: DataFrame, *, doc: str = "note_id", text: str = "note_text") -> DataFrame:
     """``(doc, term, count)`` of unigrams and bigrams; map-side partial counts."""
-    t = docs.select(doc, tokens(text).alias("_toks")).select(doc, F.explode(ngrams_1_2("_toks")).alias("term"))
+    t = spread_docs(docs.select(doc, text), doc=doc).select(doc, tokens(text).alias("_toks")) \
+        .select(doc, F.explode(ngrams_1_2("_toks")).alias("term"))
     return t.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("count"))
 
 
-def term_totals(docs: DataFrame, *, text: str = "note_text") -> DataFrame:
+def term_totals(docs: DataFrame, *, doc: str = "note_id", text: str = "note_text") -> DataFrame:
     """Corpus-wide ``(term, total)`` straight from the token stream: map-side
     partial counts per term, no per-document rows."""
-    t = docs.select(tokens(text).alias("_toks")).select(F.explode(ngrams_1_2("_toks")).alias("term"))
+    t = spread_docs(docs.select(doc, text), doc=doc).select(tokens(text).alias("_toks")) \
+        .select(F.explode(ngrams_1_2("_toks")).alias("term"))
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
 
 
 def vocab_counts(docs: DataFrame, vocab: DataFrame, *, doc: str = "note_id", text: str = "note_text") -> DataFrame:
     """``(doc, term, count)`` restricted to a vocabulary: the (bounded, broadcast)
     vocabulary filters the token stream before the per-document shuffle."""
-    t = docs.select(doc, tokens(text).alias("_toks")).select(doc, F.explode(ngrams_1_2("_toks")).alias("term"))
+    t = spread_docs(docs.select(doc, text), doc=doc).select(doc, tokens(text).alias("_toks")) \
+        .select(doc, F.explode(ngrams_1_2("_toks")).alias("term"))
     t = t.join(F.broadcast(vocab.select("term")), "term", "left_semi")
     return t.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("count"))
 
@@ -118,13 +132,15 @@ def vocabulary(counts: DataFrame, *, max_features: int, doc: str = "note_id",
 
 def tfidf(counts: DataFrame, vocab: DataFrame, *, doc: str = "note_id", train_docs: DataFrame | None = None) -> DataFrame:
     """TF-IDF on the vocabulary (S12): ``idf = ln((1+n)/(1+df)) + 1`` with n and df
-    on training documents, raw counts as tf, L2 norm per document."""
+    on training documents, raw counts as tf, L2 norm per document.
+
+    ``counts`` must have one row per (doc, term) (``vocab_counts`` / ``term_counts``)."""
     v = F.broadcast(vocab.select("term"))  # bounded by max_features
     c = counts.join(v, "term")
     tr = c.join(train_docs.select(doc), doc, "left_semi") if train_docs is not None else c
     n = (train_docs.select(doc).distinct() if train_docs is not None else counts.select(doc).distinct()) \
         .agg(F.count(F.lit(1)).alias("_n"))
-    df = tr.groupBy("term").agg(F.countDistinct(doc).alias("_df"))
+    df = tr.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))  # (doc, term) rows are unique
     idf = attach(vocab.select("term").join(df, "term", "left").fillna({"_df": 0}), n, [])
     idf = idf.select("term", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("_df"))) + F.lit(1.0)).alias("idf"))
     x = c.join(F.broadcast(idf), "term").withColumn("_x", F.col("count") * F.col("idf"))

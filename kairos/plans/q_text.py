@@ -82,7 +82,7 @@ select note_id, md5(array_to_string(list_transform(runs, lambda x, i:
 from r
 """)
 def g4_number_words(spark, sf_dir):
-    n = fx.notes(spark, sf_dir)
+    n = tops.spread_docs(fx.notes(spark, sf_dir).select("note_id", "note_text"))
     return n.select("note_id", F.md5(tx.numbers_to_words("note_text")).alias("text_md5"))
 
 
