@@ -224,3 +224,30 @@ def term_counts(df: DataFrame, terms: str, by: Sequence[str] = ()) -> DataFrame:
     t = df.select(*by, F.explode(terms).alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*by).orderBy(F.col("n").desc(), F.col("term"))
     return t.withColumn("rank", F.row_number().over(w)) if by else t
+
+
+def compare_aucs(cov_rows: DataFrame, a: str, b: str) -> DataFrame:
+    """K3 paired comparison of two scores from ``clustered_auc`` rows:
+    ``z = (Aa - Ab) / sqrt(Va + Vb - 2 Cov)``; the two-sided p value is
+    ``2 * norm_sf(|z|)`` (``kairos.functions.stats``) on the one-row result."""
+    r = cov_rows
+    va = r.filter((F.col("a") == a) & (F.col("b") == a)).select(F.col("auc_a").alias("auc_1"), F.col("cov").alias("v1"))
+    vb = r.filter((F.col("a") == b) & (F.col("b") == b)).select(F.col("auc_a").alias("auc_2"), F.col("cov").alias("v2"))
+    c = r.filter((F.col("a") == a) & (F.col("b") == b)).select(F.col("cov").alias("c12"))
+    j = attach(attach(va, vb, []), c, [])
+    return j.select("auc_1", "auc_2", ((F.col("auc_1") - F.col("auc_2"))
+                                       / F.sqrt(F.col("v1") + F.col("v2") - F.lit(2.0) * F.col("c12"))).alias("z"))
+
+
+def auc_table(df: DataFrame, *, scores: Sequence[str], label: str, subgroup: str, digits: int = 3) -> DataFrame:
+    """K4: AUC with DeLong limits for every subgroup x method, formatted ``auc (low-high)``.
+
+    Methods are unpivoted to long rows, so one grouped AUC pass covers all.
+    """
+    long = df.select(subgroup, label, F.explode(F.array(*[F.struct(F.lit(s).alias("method"), F.col(s).cast("double")
+                                                                  .alias("score")) for s in scores])).alias("_m")) \
+        .select(subgroup, label, "_m.method", "_m.score")
+    a = auc(long, score="score", label=label, by=[subgroup, "method"])
+    fmt = f"%.{digits}f (%.{digits}f-%.{digits}f)"
+    return a.select(subgroup, "method", "n_pos", "n_neg",
+                    F.format_string(fmt, F.col("auc"), F.col("lower"), F.col("upper")).alias("auc_ci"))

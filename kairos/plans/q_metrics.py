@@ -275,3 +275,61 @@ def k18_reclass(spark, sf_dir):
     at = sv.surv_at(km, [365.0], strata=st, cols=("surv",))
     n = rc.groupBy(*st).agg(F.count(F.lit(1)).alias("n"), F.count_if("event").alias("events"))
     return n.join(at, st, "left").select(*st, "n", "events", r(F.coalesce("surv", F.lit(1.0)), 6).alias("surv_365"))
+
+
+@query("k4_auc_table", "K4 K1 K2 B23", """
+with long as (select site, died_1y, 'score_a' as method, score_a as s from ev union all
+              select site, died_1y, 'n_visits', n_visits from ev),
+c as (select site, method, s, sum(case when not died_1y then 1 else 0 end) as pos,
+        sum(case when died_1y then 1 else 0 end) as neg from long group by site, method, s),
+w as (select *, coalesce(sum(neg) over (partition by site, method order by s rows between unbounded preceding and 1 preceding), 0) as lt_neg,
+        coalesce(sum(pos) over (partition by site, method order by s rows between 1 following and unbounded following), 0) as gt_pos,
+        sum(pos) over (partition by site, method) as P, sum(neg) over (partition by site, method) as N from c),
+v as (select *, (lt_neg + 0.5e0 * neg) / N as v10, (gt_pos + 0.5e0 * pos) / P as v01 from w),
+a as (select site, method, max(P) as P, max(N) as N, sum(pos * v10) / max(P) as auc, sum(pos * v10 * v10) as q10,
+        sum(neg * v01 * v01) as q01 from v group by site, method),
+x as (select *, (q10 - P * auc * auc) / (P - 1) / P + (q01 - N * auc * auc) / (N - 1) / N as var from a)
+select site, method, cast(P as bigint) as n_pos, cast(N as bigint) as n_neg,
+  printf('%.3f (%.3f-%.3f)', auc, greatest(auc - 1.959963984540054e0 * sqrt(greatest(var, 0e0)), 0e0),
+         least(auc + 1.959963984540054e0 * sqrt(greatest(var, 0e0)), 1e0)) as auc_ci
+from x
+""", extra_views={"sv": SV_SQL, "ev": EV_SQL})
+def k4_auc_table(spark, sf_dir):
+    ev = evaluable(spark, sf_dir).withColumn("survived", ~F.col("died_1y"))
+    return mt.auc_table(ev, scores=["score_a", "n_visits"], label="survived", subgroup="site")
+
+
+@query("k3_auc_comparison", "K3", """
+with lab as (select *, not died_1y as y from ev),
+sa as (select 'score_a' as sc, score_a as s, y, cluster_id from lab union all
+       select 'n_visits', n_visits, y, cluster_id from lab),
+c as (select sc, s, sum(case when y then 1 else 0 end) as pos, sum(case when y then 0 else 1 end) as neg from sa group by sc, s),
+w as (select *, coalesce(sum(neg) over (partition by sc order by s rows between unbounded preceding and 1 preceding), 0) as lt_neg,
+        coalesce(sum(pos) over (partition by sc order by s rows between 1 following and unbounded following), 0) as gt_pos,
+        sum(pos) over (partition by sc) as P, sum(neg) over (partition by sc) as N from c),
+pl as (select sc, s, (lt_neg + 0.5e0 * neg) / N as p10, (gt_pos + 0.5e0 * pos) / P as p01 from w),
+per as (select sa.sc, sa.cluster_id, sum(case when sa.y then p10 else 0e0 end) as v10,
+          sum(case when not sa.y then p01 else 0e0 end) as v01,
+          sum(case when sa.y then 1 else 0 end) as m, sum(case when sa.y then 0 else 1 end) as n
+        from sa join pl on pl.sc = sa.sc and pl.s = sa.s group by sa.sc, sa.cluster_id),
+tot as (select sc, sum(m) as mtot, sum(n) as ntot, sum(v10) / sum(m) as auc, sum(case when m > 0 then 1 else 0 end) as i10,
+          sum(case when n > 0 then 1 else 0 end) as i01, count(*) as icl from per group by sc),
+d as (select per.cluster_id, per.sc, tot.auc, per.v10 - per.m * tot.auc as d10, per.v01 - per.n * tot.auc as d01,
+        tot.mtot, tot.ntot, tot.i10, tot.i01, tot.icl
+      from per join tot on tot.sc = per.sc),
+g as (select x.sc as a, y.sc as b, x.auc as auc_a, y.auc as auc_b, x.mtot, x.ntot, x.i10, x.i01, x.icl,
+        sum(x.d10 * y.d10) as s10, sum(x.d01 * y.d01) as s01, sum(x.d10 * y.d01) + sum(y.d10 * x.d01) as s11
+      from d x join d y on x.cluster_id = y.cluster_id group by x.sc, y.sc, x.auc, y.auc, x.mtot, x.ntot, x.i10, x.i01, x.icl),
+cv as (select a, b, auc_a, i10 / ((i10 - 1) * mtot) * s10 / mtot + i01 / ((i01 - 1) * ntot) * s01 / ntot
+          + icl / (icl - 1e0) * s11 / (mtot * ntot) as cov from g)
+select round(v1.auc_a, 6) as auc_1, round(v2.auc_a, 6) as auc_2,
+  round((v1.auc_a - v2.auc_a) / sqrt(v1.cov + v2.cov - 2 * c12.cov), 6) as z
+from cv v1, cv v2, cv c12
+where v1.a = 'score_a' and v1.b = 'score_a' and v2.a = 'n_visits' and v2.b = 'n_visits'
+  and c12.a = 'score_a' and c12.b = 'n_visits'
+""", extra_views={"sv": SV_SQL, "ev": EV_SQL})
+def k3_auc_comparison(spark, sf_dir):
+    ev = evaluable(spark, sf_dir).withColumn("y", ~F.col("died_1y"))
+    c = mt.clustered_auc(ev, scores=["score_a", "n_visits"], label="y", cluster="cluster_id")
+    z = mt.compare_aucs(c, "score_a", "n_visits")
+    return z.select(r("auc_1", 6).alias("auc_1"), r("auc_2", 6).alias("auc_2"), r("z", 6).alias("z"))

@@ -243,3 +243,33 @@ def j10_errors(spark, sf_dir):
                     (bins.cut(F.col("n_visits") * 60.0, _BREAKS) - bins.cut("time", _BREAKS)).alias("visits"))
     long = unpivot(d, ["actual"], ["score", "visits"], "method", "error")
     return long.groupBy("method", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CAL4_SRC = """
+with c as (select pred_median, count(*) as n from sv group by pred_median),
+cum as (select pred_median, sum(n) over (order by pred_median rows between unbounded preceding and current row) as cum,
+        sum(n) over () as tot from c),
+cuts as (select k, min(pred_median) as cut from cum, (select unnest([1, 2, 3]) as k) ks where cum * 4 >= k * tot group by k)
+select s.*, cast(1 + (select count(distinct cut) from cuts where cuts.cut <= s.pred_median) as int) as bin from sv s
+"""
+# Break points of the discrete-time curve (days).
+_CURVE_BREAKS = [0, 30, 91, 182, 365, 548, 730, 913, 1095, 1278, 1470, 1643, 1825]
+
+
+@query("j7_calibration_curves", "J7 J1 J2 B15 I1", f"""
+with g as (select unnest(range(0, 12)) as k, unnest({[float(b) for b in _CURVE_BREAKS[1:]]}::double[]) as gt),
+pc as (select b.bin, g.k, g.gt, avg(exp(-{LAM_SQL} * g.gt)) as predicted from binned b, g group by b.bin, g.k, g.gt),
+ob as (select pc.bin, pc.k, max_by(km.surv, km.time) as surv from pc left join km on km.bin = pc.bin and km.time <= pc.gt
+       group by pc.bin, pc.k)
+select pc.bin, pc.k, pc.gt as at, round(pc.predicted, 6) as predicted, round(coalesce(ob.surv, 1e0), 6) as observed
+from pc join ob on ob.bin = pc.bin and ob.k = pc.k
+""", extra_views={"sv": SV_SQL, "binned": _CAL4_SRC, "km": km_sql("binned", ["bin"])})
+def j7_calibration_curves(spark, sf_dir):
+    from kairos.operators import scoring as sc
+    base = surv_base(spark, sf_dir)
+    lam = (F.lit(1.5) - (F.col("score_a") + F.lit(1000.0)) / F.lit(11000.0)) / F.lit(365.0)
+    base = base.withColumn("curve", sc.cumulative_curve(sc.exp_curve(lam, _CURVE_BREAKS)))
+    out = sv.calibration_curves(base, pred_curve="curve", time="time", event="event", bin_on="pred_median",
+                                grid=[float(b) for b in _CURVE_BREAKS[1:]], g=4)
+    return out.select("bin", F.col("k").cast("bigint").alias("k"), "at", r("predicted", 6).alias("predicted"),
+                      r("observed", 6).alias("observed"))
