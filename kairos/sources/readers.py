@@ -43,9 +43,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, header: bo
 
 
 def read_text_folder(spark: SparkSession, path: str, *, id_pattern: str = r"([^/]+)\.txt$") -> DataFrame:
-    """A5: every file of a folder as one row ``(doc, text)``; the id comes from the file name."""
+    """A5: every file of a folder as one row ``(doc, text, ...)``; the id comes from the
+    file name; ``key=value`` sub-folders become columns (partition discovery)."""
     d = spark.read.text(path, wholetext=True)
-    return d.select(F.regexp_extract(F.input_file_name(), id_pattern, 1).alias("doc"), F.col("value").alias("text"))
+    rest = [c for c in d.columns if c != "value"]
+    return d.select(F.regexp_extract(F.input_file_name(), id_pattern, 1).alias("doc"), F.col("value").alias("text"),
+                    *rest)
 
 
 def read_extracts(spark: SparkSession, files: Sequence[str], types: Mapping[str, str], *,
