@@ -11,10 +11,17 @@ from pyspark.sql.window import Window
 from kairos.operators.running import dense_index
 
 
-def keep_first(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
-    """One row per key, the first by an explicit order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the first by an explicit order (S2; ``order`` must break ties).
+
+    A grouped ``min_by`` of the whole row: the aggregate is partial (each
+    map task keeps one candidate per key), so a hot key never lands in one
+    task with all its rows, unlike a ``row_number`` window.
+    """
+    key, order = list(key), list(order)
+    rest = [c for c in df.columns if c not in key]
+    best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*key, *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def first_non_null(df: DataFrame, key: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:

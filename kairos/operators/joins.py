@@ -72,19 +72,25 @@ def nearest_landmark(c, landmarks: Sequence[float]) -> F.Column:
     return F.array_min(arr)["l"]
 
 
-def drop_close_followers(df: DataFrame, *, key: str, time: str, days: int = 14) -> DataFrame:
+def drop_close_followers(df: DataFrame, *, key: str, time: str, days: int = 14,
+                         bucket_days: int = 365) -> DataFrame:
     """Drop a row when another row of the same key is 0..days-1 days earlier.
 
-    Rows are distinct per (key, day) first; every later member of a chain is
+    Rows are distinct per (key, day); every later member of a chain is
     dropped because the test is against the undropped table, so the nearest
-    earlier row (``lag``) decides.
+    earlier row decides. That row is found by ``lag`` inside (key, year
+    bucket); the first row of a bucket takes the last day of the key's
+    previous non-empty bucket from a small per-(key, bucket) table, so a key
+    with a very long history is spread over many tasks.
     """
-    d = df.dropDuplicates([key, time])
-    w = Window.partitionBy(key).orderBy(time)
-    prev = F.lag(time).over(w)
-    return (d.withColumn("_prev", prev)
-            .filter(F.col("_prev").isNull() | (F.datediff(F.col(time), F.col("_prev")) >= days))
-            .drop("_prev"))
+    d = df.dropDuplicates([key, time]).withColumn("_bk", F.floor(F.unix_date(F.col(time)) / F.lit(bucket_days)))
+    last = d.groupBy(key, "_bk").agg(F.max(time).alias("_last"))
+    carry = last.select(key, "_bk", F.lag("_last").over(Window.partitionBy(key).orderBy("_bk")).alias("_carry"))
+    w = Window.partitionBy(key, "_bk").orderBy(time)
+    d = d.withColumn("_prev", F.lag(time).over(w)).join(carry, [key, "_bk"])
+    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
+    return (d.filter(prev.isNull() | (F.datediff(F.col(time), prev) >= days))
+            .drop("_prev", "_carry", "_bk"))
 
 
 def top_groups_lookup(df: DataFrame, group: str, k: int = 12, out: str = "group_rank") -> DataFrame:

@@ -33,11 +33,14 @@ def dedup_texts(notes: DataFrame, *, key: str = "patient_id", text: str = "note_
                 order: Sequence[str] = ("note_id",)) -> DataFrame:
     """G1: drop exact duplicate texts per patient, keeping the first by ``order``.
 
-    The window is keyed by (patient, 64-bit hash of the text, text): equal
-    hashes are confirmed on the text itself.
+    Grouped by (patient, 64-bit hash of the text, text) with a partial
+    ``min`` of the order key, so many copies of one text collapse map-side
+    before the shuffle; equal hashes are confirmed on the text itself. The
+    kept ids select the rows back (semi join on the id).
     """
-    w = Window.partitionBy(key, F.xxhash64(text), text).orderBy(*order)
-    return notes.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    o = list(order)[0]
+    keep = notes.groupBy(key, F.xxhash64(text).alias("_h"), text).agg(F.min(o).alias(o)).select(o)
+    return notes.join(keep, o, "left_semi")
 
 
 def same_day_concat(notes: DataFrame, *, keys: Sequence[str] = ("patient_id", "contact_date", "update_date"),
