@@ -111,7 +111,7 @@ def decayed_mean(evals: DataFrame, events: DataFrame, *, key: str = "patient_id"
 def decayed_mean_unbounded(evals: DataFrame, events: DataFrame, *, key: str = "patient_id",
                            eval_id: str = "visit_id", eval_time: str = "visit_date",
                            event_time: str = "result_date", feature: str = "component_id", value: str = "value",
-                           half_life_days: float = 30.0, bucket_days: float = 365.0) -> DataFrame:
+                           half_life_days: float = 30.0, bucket_days: float | None = None) -> DataFrame:
     """F2 shape: decayed mean over **all** earlier events, via running sums.
 
     Union the events with one row per (evaluation, feature present for the
@@ -119,29 +119,43 @@ def decayed_mean_unbounded(evals: DataFrame, events: DataFrame, *, key: str = "p
     ``(key, feature)`` in time order (events before evaluations on equal
     times) give the weighted mean at each evaluation row. ``t0`` is the
     key's first event, which keeps the powers in range for ~80 years of
-    history at h = 30 d. The running sums are bucketed by time
-    (``running_sum``), so one key's history is spread over many tasks.
-    Returns rows only where an earlier event exists.
+    history at h = 30 d. Returns rows only where an earlier event exists.
+
+    The default is one window keyed by (key, feature): a key with many
+    events is already split over its features. ``bucket_days`` switches to
+    the bucketed ``running_sum`` (two more shuffles), which also spreads a
+    single very long (key, feature) series over many tasks.
     """
-    from kairos.operators.running import running_sum
     h = float(half_life_days)
     ev = events.filter(F.col(value).isNotNull())
     ev = ev.select(key, feature, day_value(ev, event_time).alias("_t"), F.col(value).alias("_v"))
     t0 = ev.groupBy(key).agg(F.min("_t").alias("_t0"))
     feats = ev.select(key, feature).distinct()
     v = evals.select(key, eval_id, day_value(evals, eval_time).alias("_t"))
-    # one row per distinct (key, feature, time, kind): events summed, evaluations keep their id list
-    ev_agg = ev.join(t0, key).withColumn("_w", F.pow(F.lit(2.0), (F.col("_t") - F.col("_t0")) / F.lit(h))) \
-        .groupBy(key, feature, "_t").agg(F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_v")).alias("_swv"))
-    ev_rows = ev_agg.select(key, feature, "_t", F.lit(0).alias("_ord"), "_sw", "_swv")
-    v_rows = (v.join(feats, key).select(key, feature, "_t").distinct()
-              .select(key, feature, "_t", F.lit(1).alias("_ord"), F.lit(0.0).alias("_sw"), F.lit(0.0).alias("_swv")))
-    u = ev_rows.unionByName(v_rows)
-    u = running_sum(u, ["_t", "_ord"], ["_sw", "_swv"], by=[key, feature],
-                    bucket=F.floor(F.col("_t") / F.lit(float(bucket_days))))
-    at = u.filter((F.col("_ord") == 1) & (F.col("cum__sw") > 0)).select(
-        key, feature, "_t", (F.col("cum__swv") / F.col("cum__sw")).alias(value))
-    return v.join(at, [key, "_t"]).select(eval_id, feature, value)
+    if bucket_days is not None:
+        from kairos.operators.running import running_sum
+        ev_agg = (ev.join(t0, key).withColumn("_w", F.pow(F.lit(2.0), (F.col("_t") - F.col("_t0")) / F.lit(h)))
+                  .groupBy(key, feature, "_t").agg(F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_v")).alias("_swv")))
+        ev_rows = ev_agg.select(key, feature, "_t", F.lit(0).alias("_ord"), "_sw", "_swv")
+        v_rows = (v.join(feats, key).select(key, feature, "_t").distinct()
+                  .select(key, feature, "_t", F.lit(1).alias("_ord"), F.lit(0.0).alias("_sw"), F.lit(0.0).alias("_swv")))
+        u = running_sum(ev_rows.unionByName(v_rows), ["_t", "_ord"], ["_sw", "_swv"], by=[key, feature],
+                        bucket=F.floor(F.col("_t") / F.lit(float(bucket_days))))
+        at = u.filter((F.col("_ord") == 1) & (F.col("cum__sw") > 0)).select(
+            key, feature, "_t", (F.col("cum__swv") / F.col("cum__sw")).alias(value))
+        return v.join(at, [key, "_t"]).select(eval_id, feature, value)
+    ev_rows = ev.select(key, feature, "_t", "_v", F.lit(0).alias("_ord"),
+                        F.lit(None).cast(evals.schema[eval_id].dataType).alias(eval_id))
+    v_rows = v.join(feats, key).select(key, feature, "_t", F.lit(None).cast("double").alias("_v"),
+                                       F.lit(1).alias("_ord"), eval_id)
+    u = ev_rows.unionByName(v_rows).join(t0, key)
+    w = F.pow(F.lit(2.0), (F.col("_t") - F.col("_t0")) / F.lit(h))
+    win = (Window.partitionBy(key, feature).orderBy("_t", "_ord")
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    u = (u.withColumn("_sw", F.sum(F.when(F.col("_ord") == 0, w)).over(win))
+          .withColumn("_swv", F.sum(F.when(F.col("_ord") == 0, w * F.col("_v"))).over(win)))
+    return (u.filter((F.col("_ord") == 1) & F.col("_sw").isNotNull())
+            .select(eval_id, feature, (F.col("_swv") / F.col("_sw")).alias(value)))
 
 
 # Step tiers of the event-presence weight (days, weight),

@@ -97,6 +97,8 @@ def test_unbounded_window_form_matches_pairs(spark):
                 for p in range(4) for _ in range(60)]
     labs = spark.createDataFrame(lab_rows, "patient_id long, component_id long, result_date date, value double")
     got = {(r[0], r[1]): r[2] for r in pit.decayed_mean_unbounded(ev, labs).collect()}
+    got_b = {(r[0], r[1]): r[2] for r in pit.decayed_mean_unbounded(ev, labs, bucket_days=90).collect()}
+    assert got_b.keys() == got.keys() and all(math.isclose(got_b[k], got[k], rel_tol=1e-9) for k in got)
     exp = {}
     for (p, vid, vd) in ev.collect():
         for c in range(3):
