@@ -177,8 +177,11 @@ def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def _product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Product of two small level lists through a constant-key join."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """All (row level, column level) cells: the column levels arrive as one array
+    (a scalar subquery over the distinct levels) and are exploded per row level."""
+    c = b.columns[0]
+    levels = b.agg(F.collect_list(c).alias("_l")).scalar()
+    return a.select("*", F.explode(levels).alias(c))
 
 
 def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:

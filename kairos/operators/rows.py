@@ -76,12 +76,14 @@ def quantile_cuts(df: DataFrame, value: str, g: int, by: Sequence[str] = ()) ->
 
 
 def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join a per-group table; with no groups, ``small`` has one row and is broadcast."""
+    """Join a per-group table; with no groups, ``small`` is a one-row aggregate and its
+    columns are attached as one scalar subquery (computed once, no join)."""
     by = list(by)
     if by:
         return df.join(small, by, "left")
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(small.withColumn("_one", F.lit(1))), "_one", "left").drop("_one"))
+    cols = small.columns
+    packed = small.select(F.struct(*cols).alias("_s")).scalar()
+    return df.select("*", *[packed[c].alias(c) for c in cols])
 
 
 def quantile_bin(df: DataFrame, value: str, g: int, by: Sequence[str] = (), out: str = "qbin") -> DataFrame:

@@ -150,5 +150,5 @@ def breslow_curves(base_hazard: DataFrame, scores: DataFrame, *, row_id: Sequenc
 
 
 def _attach_one(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    from kairos.operators.rows import attach
+    return attach(df, one_row, [])

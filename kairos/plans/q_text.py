@@ -145,9 +145,21 @@ def _counts(spark, sf_dir):
     return n, tops.term_counts(n)
 
 
-def _vocab(notes, n_terms):
-    """Vocabulary of the training notes, from corpus totals (no per-document rows)."""
-    return tops.vocabulary(tops.term_totals(notes.filter(F.col("note_id") % 10 < 8)), max_features=n_terms)
+def _vocab(notes, n_terms, materialize: bool = False):
+    """Vocabulary of the training notes, from corpus totals (no per-document rows).
+
+    ``materialize`` writes it (at most ``n_terms`` rows) once to the shared
+    folder when several branches of a plan read it."""
+    v = tops.vocabulary(tops.term_totals(notes.filter(F.col("note_id") % 10 < 8)), max_features=n_terms)
+    if materialize:
+        from kairos.sources.writers import persist_table
+        v = persist_table(v, "vocab")
+    return v
+
+
+def _persisted_counts(notes, vocab):
+    from kairos.sources.writers import persist_table
+    return persist_table(tops.vocab_counts(notes, vocab), "doc_term_counts")
 
 
 @query("g7_vocabulary", "G7", """
@@ -172,8 +184,8 @@ from x join nm on nm.note_id = x.note_id group by x.note_id
 def g8_tfidf(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
     tr = _train_notes(n)
-    v = _vocab(n, VOCAB_N)
-    t = tops.tfidf(tops.vocab_counts(n, v), v, train_docs=tr)
+    v = _vocab(n, VOCAB_N, materialize=True)
+    t = tops.tfidf(_persisted_counts(n, v), v, train_docs=tr)
     return t.groupBy("note_id").agg(F.count(F.lit(1)).alias("n_terms"), r(F.sum("tfidf"), 6).alias("sum_tfidf"),
                                     r(F.max("tfidf"), 6).alias("max_tfidf"))
 
@@ -198,8 +210,8 @@ from z group by term
 def g9_g11_term_frequency(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
     tr = _train_notes(n)
-    v = _vocab(n, VOCAB_N)
-    c = tops.vocab_counts(n, v)
+    v = _vocab(n, VOCAB_N, materialize=True)
+    c = _persisted_counts(n, v)
     edited = v.select(F.col("term").alias("feature"),
                       F.when(F.col("term").rlike("[0-9]") | (F.length("term") < 3), 1).otherwise(0).alias("exclude"))
     docs = tops.with_word_count(n)
@@ -230,8 +242,8 @@ from p join t on t.visit_id = p.visit_id join tf on tf.note_id = p.note_id group
 """, extra_views={"counts": _COUNTS_SQL, "feats": _FEAT_SQL})
 def f3_decayed_terms(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
-    feats = _vocab(n, FEATURE_N)
-    c = tops.vocab_counts(n, feats)
+    feats = _vocab(n, FEATURE_N, materialize=True)
+    c = _persisted_counts(n, feats)
     docs = tops.with_word_count(n)
     tf = tops.term_frequency(c, docs, feats).select("note_id", "term", F.col("tf").alias("value"))
     out = pit.decayed_term_mean(fx.visits(spark, sf_dir), docs, tf, note_time="update_date")
