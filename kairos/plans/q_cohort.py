@@ -146,7 +146,7 @@ def _train_lab_stats(spark, sf_dir):
 
 
 @query("f8_standardised", "F8 S10", """
-select component_id, round(mean, 4) as mean, round(std, 4) as std from st
+select component_id, round(mean, 4) + 0e0 as mean, round(std, 4) as std from st
 """, extra_views={"st": _TRAIN_LABS_SQL})
 def f8_standardised(spark, sf_dir):
     st = _train_lab_stats(spark, sf_dir)
@@ -158,7 +158,7 @@ with z as (select l.patient_id, l.component_id, l.result_date, (l.value - st.mea
            from labs l join st on st.component_id = l.component_id where st.std <> 0)
 select v.visit_id, z.component_id,
   round(sum(pow(2e0, -datediff('day', z.result_date, v.visit_date) / 30e0) * z.value)
-      / sum(pow(2e0, -datediff('day', z.result_date, v.visit_date) / 30e0)), 4) as value
+      / sum(pow(2e0, -datediff('day', z.result_date, v.visit_date) / 30e0)), 4) + 0e0 as value
 from visits v join z on z.patient_id = v.patient_id and z.result_date <= v.visit_date
 group by v.visit_id, z.component_id
 """, extra_views={"st": _TRAIN_LABS_SQL})
@@ -279,10 +279,10 @@ st as (select feature, category, n,
        from a),
 z as (select l.feature, sum((l.value - st.mean) / st.std) as sum_z from longf l join st on st.feature = l.feature
       where st.std > 1e-12 group by l.feature)
-select st.feature, cast(st.n as bigint) as n, round(st.mean, 4) as mean, round(st.std, 4) as std,
+select st.feature, cast(st.n as bigint) as n, round(st.mean, 4) + 0e0 as mean, round(st.std, 4) as std,
   st.std > 1e-12 as include,
-  round(case when st.category = 'event' and st.std > 1e-12 then -st.mean / st.std else 0e0 end, 4) as fill_z,
-  round(z.sum_z, 3) as sum_z
+  round(case when st.category = 'event' and st.std > 1e-12 then -st.mean / st.std else 0e0 end, 4) + 0e0 as fill_z,
+  round(z.sum_z, 3) + 0e0 as sum_z
 from st left join z on z.feature = st.feature
 """, extra_views={"f1": _F1_SQL, "f4": _F4_SQL, "longf": _LONG_SQL})
 def f11_impute_standardise(spark, sf_dir):

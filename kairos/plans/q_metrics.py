@@ -75,7 +75,7 @@ g as (select x.sc as a, y.sc as b, x.auc as auc_a, y.auc as auc_b, x.mtot, x.nto
         sum(x.d10 * y.d10) as s10, sum(x.d01 * y.d01) as s01, sum(x.d10 * y.d01) + sum(y.d10 * x.d01) as s11
       from d x join d y on x.cluster_id = y.cluster_id group by x.sc, y.sc, x.auc, y.auc, x.mtot, x.ntot, x.i10, x.i01, x.icl)
 select a, b, round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b,
-  round(i10 / ((i10 - 1) * mtot) * s10 / mtot + i01 / ((i01 - 1) * ntot) * s01 / ntot + icl / (icl - 1e0) * s11 / (mtot * ntot), 8) as cov
+  round(i10 / ((i10 - 1) * mtot) * s10 / mtot + i01 / ((i01 - 1) * ntot) * s01 / ntot + icl / (icl - 1e0) * s11 / (mtot * ntot), 8) + 0e0 as cov
 from g
 """, extra_views={"sv": SV_SQL, "ev": EV_SQL})
 def k3_clustered_auc(spark, sf_dir):
@@ -178,8 +178,8 @@ def k11_chi2(spark, sf_dir):
 
 
 @query("k12_corr", "K12", """
-select round(corr(score_a, n_visits), 6) as r, cast(count(*) as bigint) as n,
-  round(corr(score_a, n_visits) * sqrt((count(*) - 2) / (1 - pow(corr(score_a, n_visits), 2))), 6) as t
+select round(corr(score_a, n_visits), 6) + 0e0 as r, cast(count(*) as bigint) as n,
+  round(corr(score_a, n_visits) * sqrt((count(*) - 2) / (1 - pow(corr(score_a, n_visits), 2))), 6) + 0e0 as t
 from sv
 """, extra_views={"sv": SV_SQL})
 def k12_corr(spark, sf_dir):
@@ -214,7 +214,7 @@ with pa as (select a.cluster_id,
            from sv a join sv b on a.cluster_id = b.cluster_id and a.event
              and (a.time < b.time or (a.time = b.time and not b.event)))
 select cluster_id, cast(count(*) as bigint) as comparable, round(avg(ca), 6) as cindex_a, round(avg(cb), 6) as cindex_b,
-  round(avg(ca) - avg(cb), 6) as diff
+  round(avg(ca) - avg(cb), 6) + 0e0 as diff
 from pa group by cluster_id
 """, extra_views={"sv": SV_SQL})
 def k14_cindex_by_group(spark, sf_dir):
@@ -323,7 +323,7 @@ g as (select x.sc as a, y.sc as b, x.auc as auc_a, y.auc as auc_b, x.mtot, x.nto
 cv as (select a, b, auc_a, i10 / ((i10 - 1) * mtot) * s10 / mtot + i01 / ((i01 - 1) * ntot) * s01 / ntot
           + icl / (icl - 1e0) * s11 / (mtot * ntot) as cov from g)
 select round(v1.auc_a, 6) as auc_1, round(v2.auc_a, 6) as auc_2,
-  round((v1.auc_a - v2.auc_a) / sqrt(v1.cov + v2.cov - 2 * c12.cov), 6) as z
+  round((v1.auc_a - v2.auc_a) / sqrt(v1.cov + v2.cov - 2 * c12.cov), 6) + 0e0 as z
 from cv v1, cv v2, cv c12
 where v1.a = 'score_a' and v1.b = 'score_a' and v2.a = 'n_visits' and v2.b = 'n_visits'
   and c12.a = 'score_a' and c12.b = 'n_visits'

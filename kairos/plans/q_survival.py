@@ -203,9 +203,11 @@ def j8_at_risk(spark, sf_dir):
 
 
 @query("j9_cutoffs", "J9 J1 J2", """
-with b as (select g, max(time) as t0 from km where time <= 365 group by g)
-select k.g as long_pred, round(k.surv, 6) as surv_365, round(k.lower, 6) as lower, round(k.upper, 6) as upper
-from km k join b on b.g = k.g and k.time = b.t0
+with gs as (select distinct g from km),
+b as (select g, max(time) as t0 from km where time <= 365 group by g)
+select gs.g as long_pred, round(coalesce(k.surv, 1e0), 6) as surv_365, round(coalesce(k.lower, 1e0), 6) as lower,
+  round(coalesce(k.upper, 1e0), 6) as upper
+from gs left join b on b.g = gs.g left join km k on k.g = b.g and k.time = b.t0
 """, extra_views={"sv": SV_SQL, "svg": "select time, event, pred_median > 365e0 as g from sv",
                   "km": km_sql("svg", ["g"])})
 def j9_cutoffs(spark, sf_dir):
