@@ -14,6 +14,7 @@ _MODULES = (
     "kairos.plans.q_text",
     "kairos.plans.q_models",
     "kairos.plans.q_sources",
+    "kairos.plans.q_workflow",
 )
 
 

@@ -11,6 +11,7 @@ from kairos.operators import scoring as sc
 from kairos.plans.q_cohort import _F1_SQL, _F4_SQL, _LONG_SQL
 from kairos.plans.q_survival import LAM_SQL, SV_SQL, surv_base
 from kairos.plans.registry import query, r
+from kairos.sources.writers import persist_table
 
 _BR = list(sc.BREAKS)
 _UP = [float(b) for b in _BR[1:]]
@@ -279,6 +280,7 @@ def h5_cv_l2(spark, sf_dir):
             s, f = md.label_arrays("time", "event")
             sc_te = sc_te.withColumn("loss", md.surv_loss(F.col("probs"), s, f)) \
                 .withColumn("s1y", sc.survival_at_break(sc.cumulative_curve("probs"), sc.BREAKS, 365))
+            sc_te = persist_table(sc_te.select("time", "event", "loss", "s1y"), "cv_scores")  # evaluated twice
             loss = sc_te.agg(F.avg("loss")).first()[0]
             ci = cindex(sc_te, time="time", event="event", score="s1y").first()["cindex"]
             out.append((float(l2), int(k), float(loss), float(ci)))
@@ -296,6 +298,7 @@ def h6_ablation(spark, sf_dir):
         base, w = md.fit_discrete_time(pi, n_intervals=len(_UP), l2=0.01)
         scd = md.interval_probs(dd, base, w).withColumn(
             "s1y", sc.survival_at_break(sc.cumulative_curve("probs"), sc.BREAKS, 365))
+        scd = persist_table(scd.select("time", "event", "s1y"), "ablation_scores")
         out.append((name, float(cindex(scd, time="time", event="event", score="s1y").first()["cindex"])))
     return spark.createDataFrame(out, "source string, cindex double")
 
