@@ -120,3 +120,27 @@ def test_range_join_bucket_boundary(spark):
     j2 = pit.range_join(ev, e, key="patient_id", eval_time="visit_date", event_time="result_date", lookback_days=365,
                         max_gap_inclusive=True, bucket_days=100)
     assert sorted(r["gap_days"] for r in j2.select(F.col("gap_days")).collect()) == [0.0, 1.0, 364.0, 365.0]
+
+
+def test_hot_patient_third_of_rows(spark):
+    """One patient holds a third of all events: bucketing + salting give the exact brute-force answer."""
+    import random
+    rng = random.Random(21)
+    ev_rows = [(p, p * 1000 + k, D(2018, 1, 1) + dt.timedelta(days=rng.randint(0, 1800))) for p in range(6) for k in range(8)]
+    lab_rows = [(0, rng.randint(0, 2), D(2017, 6, 1) + dt.timedelta(days=rng.randint(0, 2300)), rng.random())
+                for _ in range(300)]
+    lab_rows += [(p, rng.randint(0, 2), D(2017, 6, 1) + dt.timedelta(days=rng.randint(0, 2300)), rng.random())
+                 for p in range(1, 6) for _ in range(120)]
+    ev = _evals(spark, ev_rows)
+    labs = spark.createDataFrame(lab_rows, "patient_id long, component_id long, result_date date, value double")
+    exp = {}
+    for p, vid, vd in ev_rows:
+        for c in range(3):
+            ws = [(2 ** (-(vd - d).days / 30), v) for (pp, cc, d, v) in lab_rows
+                  if pp == p and cc == c and 0 <= (vd - d).days < 365]
+            if ws:
+                exp[(vid, c)] = sum(w * v for w, v in ws) / sum(w for w, _ in ws)
+    for salt in (1, 8):
+        got = {(r[0], r[1]): r[2] for r in pit.decayed_mean(ev, labs, salt=salt).collect()}
+        assert got.keys() == exp.keys()
+        assert all(math.isclose(got[k], exp[k], rel_tol=1e-9) for k in exp)
