@@ -42,7 +42,7 @@ def day_value(df: DataFrame, c: str) -> Column:
 
 
 def range_join(evals: DataFrame, events: DataFrame, *, key: str, eval_time: str, event_time: str,
-               lookback_days: float | None, include_lower: bool = False, max_gap_inclusive: bool = False,
+               lookback_days: float | None, max_gap_inclusive: bool = False,
                bucket_days: float | None = None, salt: int = 1, truncate_days: bool = False) -> DataFrame:
     """Point-in-time join (C5): pairs with ``0 <= gap`` and ``gap < lookback``.
 
