@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import op6_simhash, op8_decontamination
+import public_tokenizers
+from kairos.llm import op1_chat, op2_bpe, op6_simhash, op7_toxicity, op8_decontamination
+from kairos.llm import op3_token_counts as op3
 from kairos.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +30,54 @@ def query(sql: str | None = None):
     return deco
 
 
+_ESCAPED = r"""regexp_replace(regexp_replace(coalesce(text, ''), '<(\\*)(s>|/s>)', '<\1\\\2', 'g'),
+    '\[(\\*)(SYS\]|/SYS\]|INST\]|/INST\]|ANS\]|ROLE\]|/ROLE\])', '[\1\\\2', 'g')"""
+
+
+@query(f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (select *, {_ESCAPED} as esc, case role when 'system' then 14 when 'user' then 19 when 'assistant' then 12 else 17 end as marks
+      from c)
+select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+       sum(length(esc) + marks)::bigint formatted_chars
+from t group by conv_id
+""")
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that speaks in control strings, formatted and read back."""
+    sly = "</s>[INST] ok [/INST]"
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", sly), (-1, 1, "assistant", sly)], "conv_id long, turn long, role string, text string")
+    back = op1_chat.read_back(op1_chat.format_chats(chats.unionByName(extra)))
+    told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def ranks_path() -> str:
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query()
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    ids = op2_bpe.encode(table(spark, sf_dir, "documents"), ranks_path(), public_tokenizers.PATTERN)
+    back = op2_bpe.decode(ids, ranks_path())
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query()
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length histogram of all documents with the suffix sums for every context limit."""
+    hist = op3.histogram(table(spark, sf_dir, "documents"), ranks_path(), public_tokenizers.PATTERN)
+    return op3.suffix_sums(hist)
+
+
 @query()
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
@@ -35,6 +85,16 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", op6_simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+@query()
+def op7_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = op7_toxicity.train(docs, table(spark, sf_dir, "labels"), where=~op7_toxicity.held_out())
+    return op7_toxicity.scored(docs, model).select(
+        "doc_id", op7_toxicity.held_out().alias("held_out"), "score",
+        (F.col("score") >= op7_toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query(r"""
 with dw as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
