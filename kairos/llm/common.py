@@ -63,12 +63,11 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
 
 
 def byte_map(separators: bytes, lower: bool = True) -> np.ndarray:
-    """256 entries: a byte's (ASCII lower-cased) value, 0 for separators and NUL."""
+    """256 entries: a byte's (ASCII lower-cased) value, the first separator for all separators."""
     out = np.arange(256, dtype=np.uint8)
     if lower:
         out[65:91] += 32
-    out[list(separators)] = 0
-    out[0] = 0
+    out[list(separators)] = separators[0]
     return out
 
 

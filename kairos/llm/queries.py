@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from kairos.llm import op1_chat, op2_bpe, op6_simhash, op7_toxicity, op8_decontamination
+from kairos.llm import (op1_chat, op2_bpe, op5_quality, op6_simhash, op7_toxicity, op8_decontamination, op9_secrets)
+from kairos.llm import op10_line_dedup as op10
 from kairos.llm import op3_token_counts as op3
 from kairos.llm.common import table
 
@@ -78,6 +79,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.suffix_sums(hist)
 
 
+@query()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the quality rules for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = op5_quality.rules(docs, op5_quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        F.round("score", 6).alias("score"))
+
+
 @query()
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
@@ -120,3 +130,60 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
                         op8_decontamination.is_contaminated().alias("contaminated"))
+
+
+def _secret_sql() -> str:
+    """The scan in SQL: gaps and matches by pattern, offsets from running sums, ownership by hash."""
+    parts = [f"""select row_id, owner, repository, '{kind}' as kind, {at} as ord, {least} as least, unnest(gaps) as gap, unnest(hits) as hit,
+        unnest(vals) as val, unnest(range(1, len(gaps) + 1)) as n from (select row_id, owner, repository,
+        string_split_regex(body, '{p}') as gaps, regexp_extract_all(body, '{p}') as hits, regexp_extract_all(body, '{p}', {group}) as vals
+        from d where regexp_matches(body, '{p}'))""" for at, (kind, (pattern, group, least)) in enumerate(op9_secrets.KINDS.items())
+        for p in [pattern.replace("'", "''")]]
+    order = "order by start, ord"
+    return f"""
+with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as body, coalesce(source, '') as owner,
+                  concat_ws('/', coalesce(source, ''), coalesce(lang, '')) as repository from documents),
+p as ({" union all ".join(parts)}),
+q as (select *, sum(length(gap) + coalesce(length(hit), 0)) over (partition by row_id, kind order by n) as fin from p),
+c as (select row_id, owner, repository, kind, ord, (fin - length(hit))::bigint as start, fin::bigint as fin, sha256(val) as h,
+             kind = 'key' or len(list_distinct(string_split(val, ''))) >= {op9_secrets.MIN_DISTINCT} as random
+      from q where hit is not null and length(val) >= least),
+o as (select h, count(distinct owner) > {op9_secrets.MAX_OWNERS} as example from c group by h),
+s as (select c.*, example, random and not example as live, kind || ':' || start || ':' || fin as span from c join o using (h)
+      where kind in ('assign', 'access', 'hex') or (random and not example)),
+g as (select row_id, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as b, count(*) filter (kind = 'hex') as x,
+             coalesce(string_agg(span, ',' {order}) filter (kind in ('assign', 'access', 'hex')), '') as base,
+             string_agg(span, ',' {order}) as spans, count(*) filter (live) as live, count(*) filter (example) as example
+      from s group by row_id)
+select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(b, 0)::bigint as n_access, coalesce(x, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(live, 0)::bigint as n_live,
+       coalesce(example, 0)::bigint as n_example
+from d left join g using (row_id)"""
+
+
+@query(_secret_sql())
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, and which of them look live rather than copied."""
+    found = op9_secrets.scan(table(spark, sf_dir, "documents"))
+    base = op9_secrets.of_kinds(op9_secrets.BASE)
+    count = lambda kind: F.size(op9_secrets.of_kinds((kind,))).cast("long")
+    flagged = lambda flag: F.size(F.filter("spans", lambda x: x[flag])).cast("long")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(op9_secrets.told(base), 256).alias("base_sha256"), op9_secrets.told(F.col("spans")).alias("spans"),
+                        flagged("live").alias("n_live"), flagged("example").alias("n_example"))
+
+
+@query()
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines compared, lines that go, and the documents that hold their first matches."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone, compared = op10.removed_lines(docs)
+    by_doc = gone.groupBy("doc_id").agg(
+        F.count("*").alias("n_removed"), F.array_join(F.sort_array(F.collect_list("line")), ",").alias("removed_lines"),
+        F.sort_array(F.collect_set("match_doc")).alias("matched_docs"))
+    sizes = compared.groupBy("doc_id").agg(F.count_distinct("line").alias("n_lines"))
+    return (docs.select("doc_id").join(sizes, "doc_id", "left").join(by_doc, "doc_id", "left")
+            .select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+                    F.coalesce("removed_lines", F.lit("")).alias("removed_lines"),
+                    F.coalesce("matched_docs", F.expr("cast(array() as array<bigint>)")).alias("matched_docs"),
+                    F.coalesce(F.size("matched_docs"), F.lit(0)).cast("long").alias("n_links")))
