@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.sources.writers import persist_table
+from kairos.sources.writers import persist_table, shared_path
 
 #: Bytes of text a worker looks at together (a single longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
@@ -24,17 +24,33 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; sets the batch size that text operators rely on."""
+def small_batches(spark: SparkSession) -> None:
+    """Set the batch size that text operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     return persist_table(df, f"llm-{name}")
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``shared``, as a table bucketed by ``key``: joins on it don't move the table again."""
+    spark = df.sparkSession
+    small_batches(spark)
+    path = shared_path(spark, f"llm-{name}")
+    table_name = f"kairos_{name}_{path.rsplit('-', 1)[1]}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
+    return spark.read.table(table_name)
+
+
 def text_bytes(col: str | Column) -> Column:
     """UTF-8 bytes of a text (null: empty) with the closing newline."""
     c = F.col(col) if isinstance(col, str) else col
@@ -89,6 +105,9 @@ def word_spans(mapped: np.ndarray, separator: int = 0) -> tuple[np.ndarray, np.n
 class WordHasher:
     """64-bit hashes of byte ranges of a buffer, all at once (prefix sums of a polynomial, then mixed)."""
 
+    #: Bytes summed up at a time, so that the sums stay in the processor's cache.
+    STRIDE = 1 << 16
+
     def __init__(self) -> None:
         self.up = self.down = np.zeros(0, np.uint64)
 
@@ -101,11 +120,24 @@ class WordHasher:
     def __call__(self, mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
             return np.zeros(0, np.uint64)
-        self._powers(len(mapped) + 1)
+        n = len(mapped)
+        out = np.empty(len(starts), np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, n + self.STRIDE, self.STRIDE))
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(mapped) + 1, np.uint64)
-            np.cumsum((mapped.astype(np.uint64) + np.uint64(1)) * self.up[:len(mapped)], out=sums[1:])
-            return mix((sums[ends] - sums[starts]) * self.down[starts])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                low, high = int(starts[a]), int(ends[b - 1])  # ranges are disjoint and sorted
+                self._powers(high - low + 1)
+                sums = np.empty(high - low + 1, np.uint64)
+                sums[0] = 0
+                terms = mapped[low:high].astype(np.uint64)
+                terms += np.uint64(1)
+                terms *= self.up[:high - low]
+                np.cumsum(terms, out=sums[1:])
+                s, e = starts[a:b] - low, ends[a:b] - low
+                out[a:b] = (sums[e] - sums[s]) * self.down[s]
+            return mix(out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -50,12 +50,11 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     hist = shared(hist.withColumn("n_tokens", F.col("length") * F.col("n_docs")), "length-histogram")
     up = running_sum(hist, ["length"], ["n_docs", "n_tokens"], descending=True, bucket=F.floor(F.col("length") / RANGE),
                      out_prefix="ge_")
-    all_ = hist.agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
-    total = F.broadcast(all_)  # one row
-    return up.join(total).select(
+    docs, tokens = (hist.agg(F.sum(c)).scalar() for c in ("n_docs", "n_tokens"))
+    return up.select(
         "length", "n_docs", F.col("ge_n_docs").cast("long").alias("docs_from"), F.col("ge_n_tokens").cast("long").alias("tokens_from"),
-        (F.col("tokens") - F.col("ge_n_tokens") + F.col("length") * F.col("ge_n_docs")).cast("long").alias("total_cut"),
-        ((F.col("docs") - F.col("ge_n_docs") + F.col("n_docs")) / F.col("docs")).alias("quantile"))
+        (tokens - F.col("ge_n_tokens") + F.col("length") * F.col("ge_n_docs")).cast("long").alias("total_cut"),
+        ((docs - F.col("ge_n_docs") + F.col("n_docs")) / docs).alias("quantile"))
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
@@ -64,12 +63,11 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     A limit between two lengths of the histogram has the suffix of the next one.
     """
     spark = sums.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(int(x),) for x in limits], "context long"))
-    every = sums.agg(F.sum(F.col("length") * F.col("n_docs")).alias("tokens"))
-    # the shortest length that reaches the limit holds the suffix: one row a limit after a partial aggregation
-    reach = (sums.join(wanted, F.col("length") >= F.col("context")).groupBy("context")
-             .agg(F.min(F.struct("length", "docs_from", "tokens_from")).alias("at")))
-    return (wanted.join(reach, "context", "left").join(F.broadcast(every))
-            .select("context", F.coalesce("at.docs_from", F.lit(0)).alias("docs_from"),
-                    (F.coalesce("tokens", F.lit(0)) - F.coalesce("at.tokens_from", F.lit(0))
-                     + F.col("context") * F.coalesce("at.docs_from", F.lit(0))).alias("total_cut")))
+    wanted = spark.createDataFrame([(int(x),) for x in limits], "context long")
+    tokens = F.coalesce(sums.agg(F.sum(F.col("length") * F.col("n_docs"))).scalar(), F.lit(0))
+    # every length goes to the limits it reaches; the shortest of them holds the suffix (one row a limit and task is shuffled)
+    reached = F.explode(F.filter(F.array(*[F.lit(int(x)).cast("long") for x in limits]), lambda x: x <= F.col("length")))
+    reach = sums.select("*", reached.alias("context")).groupBy("context").agg(F.min(F.struct("length", "docs_from", "tokens_from")).alias("at"))
+    from_, in_ = (F.coalesce(F.col(f"at.{c}"), F.lit(0)) for c in ("docs_from", "tokens_from"))
+    return wanted.join(reach, "context", "left").select(
+        "context", from_.alias("docs_from"), (tokens - in_ + F.col("context") * from_).alias("total_cut"))

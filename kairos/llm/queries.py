@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from kairos.llm import (op1_chat, op2_bpe, op5_quality, op6_simhash, op7_toxicity, op8_decontamination, op9_secrets)
+from kairos.llm import (op1_chat, op2_bpe, op4_warc, op5_quality, op6_simhash, op7_toxicity, op8_decontamination, op9_secrets)
 from kairos.llm import op10_line_dedup as op10
 from kairos.llm import op3_token_counts as op3
 from kairos.llm.common import table
@@ -66,10 +66,7 @@ def ranks_path() -> str:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     ids = op2_bpe.encode(table(spark, sf_dir, "documents"), ranks_path(), public_tokenizers.PATTERN)
-    back = op2_bpe.decode(ids, ranks_path())
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-                       F.sha2("bytes", 256).alias("decoded_sha256"))
+    return op2_bpe.digests(op2_bpe.decode(ids, ranks_path()))
 
 
 @query()
@@ -79,6 +76,21 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.suffix_sums(hist)
 
 
+@query("""
+select page_id, octet_length(encode(coalesce(html, '')))::bigint payload_bytes, sha1(coalesce(html, '')) payload_digest,
+       case when octet_length(encode(coalesce(html, ''))) >= 1000 and page_id < max(page_id) over (partition by coalesce(html, ''))
+            then 'revisit' else 'response' end record_type,
+       case when octet_length(encode(coalesce(html, ''))) >= 1000 and page_id < max(page_id) over (partition by coalesce(html, ''))
+            then max(page_id) over (partition by coalesce(html, '')) end refers_to
+from pages
+""")
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back through the capture index."""
+    pages = table(spark, sf_dir, "pages")
+    found = op4_warc.lookup(pages.select("url", "page_id"), op4_warc.archive(pages), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the quality rules for every document."""
