@@ -110,9 +110,9 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _chunks(totals)
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of all words by counter."""
-    counted = docs.select("text").mapInArrow(_count_words, "chunk int, counts binary")
+def added_counts(rows: DataFrame, count) -> np.ndarray:
+    """Sums of the counter tables that ``count`` makes of the rows of each task."""
+    counted = rows.mapInArrow(count, "chunk int, counts binary")
     counted = counted.repartition(F.col("chunk")).mapInArrow(_add_chunks, "chunk int, counts binary")
     out = np.zeros(SLOTS, np.uint32)
     for row in counted.collect():  # SLOTS / CHUNK rows
@@ -120,23 +120,34 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(words: np.ndarray, line: np.ndarray, counts: np.ndarray):
-    """Sets of words by line: (word number, line) sorted by line and rarity; distinct words and their counts in that order."""
-    distinct, number = np.unique(words, return_inverse=True)
-    often = counts[_slot(distinct)]
-    by = np.argsort(often, kind="stable")  # distinct is sorted by hash already
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by))
-    key = np.unique(line.astype(np.int64) * max(len(by), 1) + place[number])
-    return key % max(len(by), 1), key // max(len(by), 1), distinct[by], often[by]
+def _sets(words: np.ndarray, line: np.ndarray, counts: np.ndarray | None = None):
+    """Sets of words by line: (word number, line) sorted by line and then rarity; distinct words and their counts by number.
+
+    Without ``counts`` the words of a line come in any one order.
+    """
+    import pandas as pd
+
+    number, distinct = pd.factorize(words)
+    often = None
+    if counts is not None:
+        often = counts[_slot(distinct)]
+        by = np.lexsort((distinct, often))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        number, distinct, often = place[number], distinct[by], often[by]
+    bits = max(int(len(distinct) - 1).bit_length(), 1)
+    key = (line.astype(np.int64) << bits) | number
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    return key & ((1 << bits) - 1), key >> bits, distinct, often
 
 
-_LINE = "doc_id bigint, line int, h1 bigint, h2 bigint, n int, b1 bigint, b2 bigint, prefix array<int>, at array<int>"
+_LINE = "doc_id bigint, line int, h1 bigint, h2 bigint, copies int, n int, b1 bigint, b2 bigint, prefix array<bigint>"
 
 
 def _describe(counts):
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()),
-                        ("b1", pa.int64()), ("b2", pa.int64()), ("prefix", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("copies", pa.int32()),
+                        ("n", pa.int32()), ("b1", pa.int64()), ("b2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, lines = counts.value, Lines()
@@ -148,45 +159,81 @@ def _describe(counts):
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             size = np.diff(np.concatenate((first, [len(owner)])))
             own = owner[first]
-            h1, h2 = _set_hashes(distinct[token], first)
-            bit = (distinct[token] & np.uint64(127)).astype(np.int64)
-            flag = np.uint64(1) << (bit & 63).astype(np.uint64)
-            b1 = np.bitwise_or.reduceat(np.where(bit < 64, flag, np.uint64(0)), first)
-            b2 = np.bitwise_or.reduceat(np.where(bit >= 64, flag, np.uint64(0)), first)
+            h1, h2 = _set_hashes(distinct, token, first)
+            bit = distinct & np.uint64(127)
+            flag = np.uint64(1) << (bit & np.uint64(63))
+            b1 = np.bitwise_or.reduceat(np.where(bit < 64, flag, np.uint64(0))[token], first)
+            b2 = np.bitwise_or.reduceat(np.where(bit >= 64, flag, np.uint64(0))[token], first)
             ids = block.column("doc_id").to_numpy(zero_copy_only=False)[doc[own]]
             keep = np.flatnonzero(size >= MIN_WORDS)
-            # the prefix goes with the first line of each set in the block; a word seen once in all texts has no partner
-            lead = np.zeros(len(own), bool)
-            lead[keep[np.unique(h1[keep] ^ mix(h2[keep]), return_index=True)[1]]] = True
+            # the first line of each set in the block stands for the set's lines there and has the prefix;
+            # a word seen once in all texts has no partner
+            by = np.lexsort((number[own][keep], ids[keep], h2[keep], h1[keep]))
+            a, b = h1[keep][by], h2[keep][by]
+            starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(by) else by
+            copies = np.zeros(len(own), np.int32)
+            copies[keep[by[starts]]] = np.diff(np.concatenate((starts, [len(by)])))
             pos = np.arange(len(owner)) - np.repeat(first, size)
             row = np.repeat(np.arange(len(own)), size)
-            used = lead[row] & (pos < prefix_size(size)[row]) & (freq[token] > 1)
+            used = (copies[row] > 0) & (pos < prefix_size(size)[row]) & (freq[token] > 1)
             per = np.bincount(row[used], minlength=len(own))[keep]
             ends = pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32))
-            short = (distinct[token[used]] >> np.uint64(16)).astype(np.uint32).view(np.int32)
+            short = (distinct[token[used]] >> np.uint64(16)).astype(np.uint32).view(np.int32).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[keep], pa.int64()), pa.array(number[own][keep].astype(np.int32)), pa.array(h1[keep].view(np.int64)),
-                 pa.array(h2[keep].view(np.int64)), pa.array(size[keep].astype(np.int32)), pa.array(b1[keep].view(np.int64)),
-                 pa.array(b2[keep].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(short)),
-                 pa.ListArray.from_arrays(ends, pa.array(pos[used].astype(np.int32)))], schema=schema)
+                 pa.array(h2[keep].view(np.int64)), pa.array(copies[keep]), pa.array(size[keep].astype(np.int32)),
+                 pa.array(b1[keep].view(np.int64)), pa.array(b2[keep].view(np.int64)),
+                 pa.ListArray.from_arrays(ends, pa.array((short << 32) | pos[used]))], schema=schema)
     return run
 
 
-def _set_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _set_hashes(distinct: np.ndarray, token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each set, whatever the order of its words."""
     with np.errstate(over="ignore"):
-        return (np.add.reduceat(mix(words + np.uint64(0x1234567)), first),
-                np.add.reduceat(mix(words ^ np.uint64(0xA5A5A5A5DEADBEEF)), first))
+        return (np.add.reduceat(mix(distinct + np.uint64(0x1234567))[token], first),
+                np.add.reduceat(mix(distinct ^ np.uint64(0xA5A5A5A5DEADBEEF))[token], first))
+
+
+_SET = "h1 bigint, h2 bigint, doc_id bigint, line int, copies bigint, n int, b1 bigint, b2 bigint, prefix array<bigint>"
+
+
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by h1 and stand for lines of one set in one block; gives the first line of each set and its number of lines."""
+    names = [c.split(" ")[0] for c in _SET.split(", ")]
+    held: pa.Table | None = None
+
+    def merged(table: pa.Table) -> pa.Table:
+        h1, h2, doc, line, copies = (table.column(c).to_numpy() for c in ("h1", "h2", "doc_id", "line", "copies"))
+        by = np.lexsort((line, doc, h2, h1))
+        a, b = h1[by], h2[by]
+        start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        out = table.take(pa.array(by[start]))
+        total = np.add.reduceat(copies[by].astype(np.int64), start)
+        return out.set_column(names.index("copies"), "copies", pa.array(total))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch.select(names)])
+        table = table.set_column(names.index("copies"), "copies", table.column("copies").cast(pa.int64()))
+        table = merged(table if held is None else pa.concat_tables([held, table]))
+        last = table.column("h1").to_numpy()
+        cut = int(np.searchsorted(last, last[-1], "left"))  # the next batch may go on with this one
+        yield from table.slice(0, cut).to_batches()
+        held = table.slice(cut)
+    if held is not None:
+        yield from held.to_batches()
 
 
 def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by (token, n); gives (token, sid) of those with a partner that may match, and of crowded tokens all."""
+    """Rows come by key (token, n); gives (token, sid) of those with a partner that may match, and of crowded tokens all."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        token, n, at, sid, b1, b2 = (table.column(c).to_numpy() for c in ("token", "n", "at", "sid", "b1", "b2"))
-        b1, b2, n, at = b1.view(np.uint64), b2.view(np.uint64), n.astype(np.int64), at.astype(np.int64)
+        key, at, sid, b1, b2 = (table.column(c).to_numpy() for c in ("key", "at", "sid", "b1", "b2"))
+        token, n = key >> 32, key & 0xFFFFFFFF
+        b1, b2, at = b1.view(np.uint64), b2.view(np.uint64), at.astype(np.int64)
         last = np.searchsorted(token, token, "right")  # end of the row's meeting
         marked = (last - np.searchsorted(token, token, "left")) > CROWD
         i, lag = np.flatnonzero(~marked), 1
@@ -203,7 +250,7 @@ def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             marked[a[good]] = True
             marked[b[good]] = True
             lag += 1
-        return pa.RecordBatch.from_arrays([pa.array(token[marked]), pa.array(sid[marked])], ["token", "sid"])
+        return pa.RecordBatch.from_arrays([pa.array(token[marked].astype(np.int32)), pa.array(sid[marked])], ["token", "sid"])
 
     for batch in batches:
         held.append(batch)
@@ -211,12 +258,13 @@ def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if rows < 200_000:
             continue
         table = pa.Table.from_batches(held)
-        token = table.column("token").to_numpy()
+        token = table.column("key").to_numpy() >> 32
         cut = int(np.searchsorted(token, token[-1], "left"))
         if len(token) - cut > 4 * CROWD:
             # a crowded meeting needs no comparison here: all of its rows pass, and it is not held
             yield settle(table.slice(0, cut))
-            yield table.slice(cut, len(token) - cut - CROWD - 1).select(["token", "sid"]).combine_chunks().to_batches()[0]
+            some = table.slice(cut, len(token) - cut - CROWD - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), token[-1], np.int32)), some.column("sid").combine_chunks()], ["token", "sid"])
             cut = len(token) - CROWD - 1
         elif cut:
             yield settle(table.slice(0, cut))
@@ -226,26 +274,33 @@ def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield settle(pa.Table.from_batches(held))
 
 
-def _fetch(counts):
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the wanted lines: rows (doc text, wanted: line, sid, h1, h2)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, lines = counts.value, Lines()
-        for block in blocks(batches):
-            words, line, doc, number = lines(*buffers(block.column("text")))
-            wanted = {(k, w["line"]): w for k, ws in enumerate(block.column("wanted").to_pylist()) for w in ws}
-            sid, packed = [], []
-            if len(words):
-                token, owner, distinct, _ = _sets(words, line, often)
-                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                h1, h2 = (h.view(np.int64) for h in _set_hashes(distinct[token], first))
-                ends = np.concatenate((first[1:], [len(owner)]))
-                for k, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
-                    w = wanted.get((int(doc[owner[a]]), int(number[owner[a]])))
-                    if w is not None and w["h1"] == h1[k] and w["h2"] == h2[k]:
-                        sid.append(w["sid"])
-                        packed.append(distinct[token[a:b]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(packed, pa.binary())], ["sid", "words"])
-    return run
+    lines = Lines()
+    for block in blocks(batches):
+        words, line, doc, number = lines(*buffers(block.column("text")))
+        wanted = block.column("wanted")
+        row = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))
+        w = {c: v.to_numpy(zero_copy_only=False) for c, v in zip(("line", "sid", "h1", "h2"), wanted.flatten().flatten(), strict=True)}
+        # lines are numbered over the block; a text's first line is where its number is 0
+        at = np.searchsorted(doc, row) + w["line"]
+        used = np.zeros(len(doc) + 1, bool)
+        used[at] = True
+        mine = used[line] if len(words) else np.zeros(0, bool)
+        sid, packed = [], []
+        if mine.any():
+            token, owner, distinct, _ = _sets(words[mine], line[mine])
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            h1, h2 = (h.view(np.int64) for h in _set_hashes(distinct, token, first))
+            ends = np.concatenate((first[1:], [len(owner)]))
+            found = np.searchsorted(owner[first], at)
+            ok = found < len(first)
+            ok[ok] &= (owner[first][found[ok]] == at[ok]) & (h1[found[ok]] == w["h1"][ok]) & (h2[found[ok]] == w["h2"][ok])
+            flat = distinct[token]
+            for k, s in zip(found[ok].tolist(), w["sid"][ok].tolist(), strict=True):
+                sid.append(s)
+                packed.append(flat[first[k]:ends[k]].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(packed, pa.binary())], ["sid", "words"])
 
 
 class _Meeting:
@@ -300,16 +355,19 @@ def _meet(rows: DataFrame) -> DataFrame:
             .mapInArrow(_verify, _FOUND))
 
 
-def first_matches(sets: DataFrame, docs: DataFrame, counts, *, crowd: int = CROWD) -> DataFrame:
+def first_matches(sets: DataFrame, docs: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """sid, match_doc, match_line: the first line of an earlier set that matches, for the sets that have one."""
-    met = (sets.select("sid", "n", "b1", "b2", F.explode(F.arrays_zip("prefix", "at")).alias("p"))
-           .select(F.col("p.prefix").alias("token"), F.col("p.at").alias("at"), "sid", "n", "b1", "b2")
-           .repartition("token").sortWithinPartitions("token", "n"))
+    # one long to meet and sort by: token above, n below; at is the word's place in the set
+    met = sets.select("sid", "n", "b1", "b2", F.explode("prefix").alias("p"))
+    low = F.lit(0xFFFFFFFF).cast("long")
+    met = (met.select(F.col("p").bitwiseAND(F.lit(-(1 << 32)).cast("long")).bitwiseOR(F.col("n").cast("long")).alias("key"),
+                      F.col("p").bitwiseAND(low).cast("int").alias("at"), "sid", "b1", "b2")
+           .repartition(F.shiftright("key", 32)).sortWithinPartitions("key"))
     near = shared(met.mapInArrow(_with_partner, "token int, sid bigint"), "line-candidates")
     chosen = sets.select("sid", "doc_id", "line", "h1", "h2").join(near.select("sid").distinct(), "sid")
     wanted = shared(chosen.groupBy(F.col("doc_id").alias("_doc")).agg(
         F.collect_list(F.struct("line", "sid", "h1", "h2")).alias("wanted")), "line-wanted")
-    words = docs.join(wanted, F.col("doc_id") == F.col("_doc")).select("text", "wanted").mapInArrow(_fetch(counts), "sid bigint, words binary")
+    words = docs.join(wanted, F.col("doc_id") == F.col("_doc")).select("text", "wanted").mapInArrow(_fetch, "sid bigint, words binary")
     words = shared(words.dropDuplicates(["sid"]).join(sets.select("sid", "doc_id", "line"), "sid"), "line-words")
     sizes = shared(near.groupBy("token").count().filter(F.col("count") > crowd), "line-crowds")
     yes, no = F.lit(True), F.lit(False)
@@ -347,15 +405,12 @@ def removed_lines(documents: DataFrame, *, crowd: int = CROWD) -> tuple[DataFram
     Line numbers start at 0; (match_doc, match_line) is the earliest line that matches.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text")).filter("doc_id is not null")
-    counts = documents.sparkSession.sparkContext.broadcast(word_counts(docs))
+    counts = documents.sparkSession.sparkContext.broadcast(added_counts(docs.select("text"), _count_words))
     lines = shared(docs.mapInArrow(_describe(counts), _LINE), "lines")
-    place = F.struct("doc_id", "line")
-    sets = lines.groupBy("h1", "h2").agg(
-        F.min(place).alias("p"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("b1").alias("b1"),
-        F.first("b2").alias("b2"), F.max("prefix").alias("prefix"), F.max("at").alias("at"))
-    sets = shared(sets.select(F.monotonically_increasing_id().alias("sid"), "h1", "h2", F.col("p.doc_id").alias("doc_id"),
-                              F.col("p.line").alias("line"), "copies", "n", "b1", "b2", "prefix", "at"), "line-sets")
-    matched = shared(first_matches(sets, docs, counts, crowd=crowd), "line-matches")
+    sets = (lines.filter("copies > 0").select(*[c.split(" ")[0] for c in _SET.split(", ")])
+            .repartition("h1").sortWithinPartitions("h1").mapInArrow(_first_lines, _SET))
+    sets = shared(sets.select(F.monotonically_increasing_id().alias("sid"), "*"), "line-sets")
+    matched = shared(first_matches(sets, docs, crowd=crowd), "line-matches")
     # only sets with several lines or an earlier match have lines that go
     busy = shared(sets.select("sid", "h1", "h2", "copies", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"))
                   .join(matched, "sid", "left").filter("copies > 1 or match_doc is not null"), "line-busy")
