@@ -35,27 +35,34 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, per_cl
 
 
 class Sample:
-    """Labelled rows of feature indices, and values (column ``val``, 1 without it), in the order of their ids."""
+    """Labelled rows of feature indices, and values (column ``val``, 1 without it), in the order of their ids.
+
+    The features stay where they are; the rows' ranges are what is ordered.
+    """
 
     def __init__(self, table: pa.Table, weights: dict[int, float]) -> None:
-        table = table.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
-        self.y = table.column("y").to_numpy().astype(np.float64)
-        self.weight = np.array([weights.get(int(y), 1.0) for y in self.y])
-        lists = pa.concat_arrays(table.column("idx").chunks) if len(table) else pa.array([], pa.list_(pa.int32()))
-        self.start = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-        self.idx = lists.flatten().to_numpy(zero_copy_only=False)
-        self.val = np.ones(len(self.idx), np.float32)
-        if "val" in table.column_names and len(table):
-            self.val = pa.concat_arrays(table.column("val").chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        ids, y = (table.column(c).to_numpy() for c in ("doc_id", "y"))
+        order = np.lexsort((y, ids))
+        self.y = y[order].astype(np.float64)
+        self.weight = np.array([weights.get(int(v), 1.0) for v in self.y])
+        sizes = np.concatenate([np.zeros(0, np.int64), *[c.value_lengths().to_numpy(zero_copy_only=False) for c in table.column("idx").chunks]])
+        self.begin, self.size = (np.cumsum(sizes) - sizes)[order].astype(np.int64), sizes[order].astype(np.int64)
+        self.idx = self._flat(table, "idx", np.int32)
+        self.val = self._flat(table, "val", np.float32) if "val" in table.column_names else None
+
+    @staticmethod
+    def _flat(table: pa.Table, column: str, kind) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy(zero_copy_only=False) for c in table.column(column).chunks]])
 
     def __len__(self) -> int:
         return len(self.y)
 
     def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(indices, values, row of each) of some rows."""
-        n = self.start[at + 1] - self.start[at]
-        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)
-        return self.idx[flat], self.val[flat], np.repeat(np.arange(len(at)), n)
+        n = self.size[at]
+        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[at], n)
+        idx = self.idx[flat]
+        return idx, np.ones(len(idx), np.float32) if self.val is None else self.val[flat], np.repeat(np.arange(len(at)), n)
 
 
 def fit(sample: Sample, at: np.ndarray, scale: np.ndarray, *, l2: float, rounds: int, rate: float = 0.1, batch: int = 64
@@ -84,9 +91,12 @@ def fit(sample: Sample, at: np.ndarray, scale: np.ndarray, *, l2: float, rounds:
     return w * scale, bias
 
 
-def decision(sample: Sample, at: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
-    idx, val, row = sample.rows(at)
-    return np.bincount(row, val * w[idx], len(at)) + bias
+def decision(sample: Sample, at: np.ndarray, w: np.ndarray, bias: float, batch: int = 64) -> np.ndarray:
+    z = np.full(len(at), bias)
+    for k in range(0, len(at), batch):
+        idx, val, row = sample.rows(at[k:k + batch])
+        z[k:k + batch] += np.bincount(row, val * w[idx], len(at[k:k + batch]))
+    return z
 
 
 def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

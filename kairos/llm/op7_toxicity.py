@@ -80,9 +80,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def log_count_ratio(sample: Sample, rows: np.ndarray, dim: int, smooth: float = 1.0) -> np.ndarray:
     """Naive Bayes log ratio of each feature's counts in the two classes; 0 for features of few rows."""
-    idx, _, row = sample.rows(rows)
-    y = sample.y[rows][row]
-    pos, neg = (np.bincount(idx[y == k], minlength=dim) for k in (1, 0))
+    pos, neg = np.zeros(dim), np.zeros(dim)
+    for k in range(0, len(rows), 64):
+        idx, _, row = sample.rows(rows[k:k + 64])
+        y = sample.y[rows[k:k + 64]][row]
+        pos += np.bincount(idx[y == 1], minlength=dim)
+        neg += np.bincount(idx[y == 0], minlength=dim)
     p, q = pos + smooth, neg + smooth
     n_pos, n_neg = max((sample.y[rows] == 1).sum(), 1), max((sample.y[rows] == 0).sum(), 1)
     ratio = np.log(p / (n_pos + 2 * smooth)) - np.log(q / (n_neg + 2 * smooth))
