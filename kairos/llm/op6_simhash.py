@@ -179,7 +179,7 @@ def choose_plan(prints: DataFrame, max_bits: int = MAX_BITS) -> list[tuple[list[
             row = [0.0]
             for radius in range(max_bits + 1):
                 masks = len(_masks(len(bits), radius))
-                row.append(squares.get((m, i), 0.0) + (masks - 1) * n * n / 2.0 ** len(bits) + masks * n)
+                row.append(squares.get((m, i), 0.0) + (masks - 1) * n * n / 2.0 ** len(bits) + masks * (n + 1))
             costs.append(row)
         cost, chosen = allocate(costs, max_bits - m + 1)
         plans.append((cost, [(bits, t) for bits, t in zip(groups, chosen, strict=True) if t >= 0]))
@@ -198,13 +198,13 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> Da
     if max_bits != 2:
         raise ValueError("the linking of crowded buckets is for two bits")
     plan = choose_plan(prints, max_bits)
-    index = prints.select("fp", F.posexplode(F.array(*[_value("fp", bits) for bits, _ in plan])).alias("part", "value"))
-    probes = prints.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("part"), _value("fp", bits).bitwiseXOR(F.lit(mask).cast("long")).alias("value"))
-        for k, (bits, t) in enumerate(plan) for mask in _masks(len(bits), t)])).alias("at")
-    ).select("fp", "at.part", "at.value")
+    index = shared(prints.select("fp", F.posexplode(F.array(*[_value("fp", bits) for bits, _ in plan])).alias("part", "value")),
+                   "simhash-index")
+    probes = index
+    if any(t > 0 for _, t in plan):
+        masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in _masks(len(bits), t)]) for bits, t in plan])
+        probes = index.select("fp", "part", F.explode(F.transform(masks[F.col("part")], lambda m: m.bitwiseXOR(F.col("value")))).alias("value"))
     sizes = index.groupBy("part", "value").agg(F.count("*").alias("n"))
-    index = shared(index, "simhash-index")
     full = shared(sizes.filter(F.col("n") > crowd).select("part", "value"), "simhash-crowded")
     key = ["part", "value"]
     pairs = (index.join(full, key, "left_anti").withColumnRenamed("fp", "a")
