@@ -63,9 +63,8 @@ def numbers_to_words(text) -> Column:
     runs = F.regexp_extract_all(t, F.lit(r"[0-9]+|[^0-9]+"), 0)
     words = F.array(*[F.lit(w) for w in DIGIT_WORDS])
     tens = F.array(*[F.lit(w) for w in TENS_WORDS])
-    n = F.size(runs)
 
-    def conv(x, i):
+    def conv(x, i, n):
         d0 = F.substring(x, 1, 1)
         is_digits = d0.rlike("^[0-9]$")
         inner = (i > 0) & (i < n - 1)
@@ -75,7 +74,10 @@ def numbers_to_words(text) -> Column:
                   .otherwise(F.lit("")))
         return F.when(~is_digits, x).when(inner, mapped).otherwise(F.lit(""))
 
-    return F.when(t.rlike("[0-9]"), F.array_join(F.transform(runs, conv), "")).otherwise(t)
+    # the runs are the one element of an outer array, so the regular expressions above run once per text
+    # and not once per run (a lambda's free variables are evaluated for every element)
+    joined = F.transform(F.array(runs), lambda rs: F.array_join(F.transform(rs, lambda x, i: conv(x, i, F.size(rs))), ""))
+    return F.when(t.rlike("[0-9]"), joined[0]).otherwise(t)
 
 
 def tokens(text) -> Column:

@@ -103,12 +103,41 @@ def assemble(sources: Sequence[tuple[DataFrame, str, str, str]], *, eval_id: str
 
 
 def feature_dictionary(long: DataFrame) -> DataFrame:
-    """F10 dictionary: feature, category, rows present, dense index in sorted order."""
+    """F10 dictionary: feature, category, rows present, dense index in sorted order.
+
+    The counts (one row per feature) are written once; the index reads them.
+    """
     from kairos.operators.running import dense_index
-    d = long.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n_present"))
+    from kairos.sources.writers import persist_table
+    d = persist_table(long.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n_present")), "feature_counts")
     return d.join(dense_index(d, "feature"), "feature")
 
 
+def feature_statistics(long: DataFrame, evals: DataFrame, *, eval_id: str = "visit_id", train: str = "is_train",
+                       zero_filled: Sequence[str] = ()) -> DataFrame:
+    """F11 statistics per feature, in one pass over the long rows: n, mean and std on training rows, include
+    and fill_z (see ``impute_standardize``), and n_all and sum_z, the count and the standardised sum of all
+    present rows. Features without a training row are left out."""
+    ev = evals.select(eval_id, train)
+    n_train = ev.filter(F.col(train)).agg(F.count(F.lit(1)).alias("_ntr"))
+    zf = F.col("category").isin(list(zero_filled)) if zero_filled else F.lit(False)
+    tr = F.when(F.col(train), F.col("value"))
+    agg = (long.join(ev, eval_id).groupBy("feature", "category")
+           .agg(F.count(tr).alias("n"), F.sum(tr).alias("_s"), F.sum(tr ** 2).alias("_ss"), F.stddev_pop(tr).alias("_sdp"),
+                F.avg(tr).alias("_m"), F.count_if(F.col(train)).alias("_rows"), F.count("value").alias("n_all"),
+                F.sum("value").alias("_sall")))
+    agg = attach(agg.filter("_rows > 0"), n_train, [])
+    mean_zf = F.col("_s") / F.col("_ntr")
+    std_zf = F.sqrt(F.greatest(F.col("_ss") / F.col("_ntr") - mean_zf * mean_zf, F.lit(0.0)))
+    stats = agg.select(
+        "feature", "category", "n", "n_all", "_sall",
+        F.when(zf, mean_zf).otherwise(F.col("_m")).alias("mean"),
+        F.when(zf, std_zf).otherwise(F.col("_sdp")).alias("std"))
+    stats = stats.withColumn("include", F.col("std").isNotNull() & (F.col("std") > 1e-12))
+    stats = stats.withColumn("fill_z", F.when(zf & F.col("include"), -F.col("mean") / F.col("std")).otherwise(F.lit(0.0)))
+    return stats.withColumn("sum_z", F.when(F.col("include"), (F.col("_sall") - F.col("n_all") * F.col("mean")) / F.col("std"))).drop("_sall")
+
+
 def impute_standardize(long: DataFrame, evals: DataFrame, *, eval_id: str = "visit_id",
                        train: str = "is_train", zero_filled: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """mean imputation, standardisation, zero-variance drop, NaN -> 0.
@@ -123,23 +152,7 @@ def impute_standardize(long: DataFrame, evals: DataFrame, *, eval_id: str = "vis
     being written for every evaluation, which keeps the table sparse.
     Returns ``(standardised present rows, statistics)``.
     """
-    ev = evals.select(eval_id, train)
-    n_train = ev.filter(F.col(train)).agg(F.count(F.lit(1)).alias("_ntr"))
-    tr = long.join(ev, eval_id).filter(F.col(train))
-    zf = F.col("category").isin(list(zero_filled)) if zero_filled else F.lit(False)
-    agg = (tr.groupBy("feature", "category")
-           .agg(F.count("value").alias("n"), F.sum("value").alias("_s"), F.sum(F.col("value") ** 2).alias("_ss"),
-                F.stddev_pop("value").alias("_sdp"), F.avg("value").alias("_m")))
-    agg = attach(agg, n_train, [])
-    mean_zf = F.col("_s") / F.col("_ntr")
-    std_zf = F.sqrt(F.greatest(F.col("_ss") / F.col("_ntr") - mean_zf * mean_zf, F.lit(0.0)))
-    stats = agg.select(
-        "feature", "category", "n",
-        F.when(zf, mean_zf).otherwise(F.col("_m")).alias("mean"),
-        F.when(zf, std_zf).otherwise(F.col("_sdp")).alias("std"))
-    stats = stats.withColumn("include", F.col("std").isNotNull() & (F.col("std") > 1e-12))
-    stats = stats.withColumn("fill_z", F.when(zf & F.col("include"), -F.col("mean") / F.col("std"))
-                             .otherwise(F.lit(0.0)))
+    stats = feature_statistics(long, evals, eval_id=eval_id, train=train, zero_filled=zero_filled)
     z = long.join(stats.filter("include").select("feature", "mean", "std"), "feature")
     z = z.select(eval_id, "feature", ((F.col("value") - F.col("mean")) / F.col("std")).alias("z"))
     return z, stats

@@ -1,9 +1,8 @@
 """Joins: equi, semi/anti, as-of, nearest, interval self-join, lookups.
 
 Broadcast is used only for sides whose size is bounded by construction
-(a landmark grid, a top-k table, a code list deduplicated to one row per
-code with a checked row count); everything else is left to the planner
-(sort-merge / shuffle-hash join, AQE skew splitting).
+(a landmark grid, a top-k table); everything else is left to the planner
+(broadcast by size, sort-merge join, AQE skew splitting).
 """
 
 from __future__ import annotations
@@ -14,9 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Row count under which a lookup table is broadcast (checked, not assumed).
-BROADCAST_ROW_LIMIT = 1_000_000
-
 
 def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Inner or left equi join; duplicate right keys multiply rows."""
@@ -33,38 +29,11 @@ def anti(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(right.select(*on), list(on), "left_anti")
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when its row count is within ``limit``.
-
-    The count is one small action on an already reduced table (code list,
-    group ranking); above the limit the plain DataFrame goes back to the
-    planner, which shuffles.
-    """
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
-
-
 def landmark_rows(df: DataFrame, landmarks: Sequence[float], out: str = "landmark") -> DataFrame:
     """Every row repeated once per landmark (grid is a literal array, not a table)."""
     return df.withColumn(out, F.explode(F.array(*[F.lit(float(x)) for x in landmarks])))
 
 
-def asof_latest(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str,
-                left_id: Sequence[str]) -> DataFrame:
-    """For each left row, the right rows of the same key at the latest
-    ``right_time <= left_time``; ties are all kept (``rank``, not row_number).
-
-    The latest time comes from a grouped ``max`` (partial aggregation, safe
-    for a hot key); the join back on ``(left row, time)`` spreads the ties.
-    """
-    lid = list(left_id)
-    pairs = (left.select(key, *[c for c in lid if c != key], left_time)
-             .join(right.select(key, right_time), key)
-             .filter(F.col(right_time) <= F.col(left_time)))
-    best = pairs.groupBy(*lid).agg(F.max(right_time).alias(right_time))
-    return left.join(best, lid).join(right, [key, right_time])
-
-
 def nearest_landmark(c, landmarks: Sequence[float]) -> F.Column:
     """The landmark closest to ``c``; the first (smallest) on ties."""
     arr = F.array(*[F.struct(F.abs(F.col(c) - F.lit(float(x))).alias("d"), F.lit(float(x)).alias("l"))
@@ -111,7 +80,6 @@ def top_groups_lookup(df: DataFrame, group: str, k: int = 12, out: str = "group_
 def enrich_codes(df: DataFrame, codes: DataFrame, *, code: str, order: Sequence[str],
                  keep: Sequence[str]) -> DataFrame:
     """C11: left join a description table after keeping one row per code."""
-    w = Window.partitionBy(code).orderBy(*order)
-    one = (codes.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-           .select(code, *keep))
-    return df.join(bounded_broadcast(one), code, "left")
+    first = F.struct(*[F.col(c) for c in order])
+    one = codes.groupBy(code).agg(*[F.min_by(F.struct(F.col(c)), first)[c].alias(c) for c in keep])
+    return df.join(one, code, "left")

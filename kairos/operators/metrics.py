@@ -86,11 +86,11 @@ def clustered_auc(df: DataFrame, *, scores: Sequence[str], label: str, cluster:
         c = score_counts(df, score=s, label=label)
         c = c.select(F.col(s).alias("_s"), ((F.col("lt_neg") + 0.5 * F.col("neg")) / F.col("N")).alias("_p10"),
                      ((F.col("gt_pos") + 0.5 * F.col("pos")) / F.col("P")).alias("_p01"))
-        rows = df.select(cluster, _lab(label).alias("_y"), F.col(s).alias("_s")).join(c, "_s")
-        per = rows.groupBy(cluster).agg(
-            F.sum(F.when(F.col("_y") == 1, F.col("_p10")).otherwise(0.0)).alias("v10"),
-            F.sum(F.when(F.col("_y") == 0, F.col("_p01")).otherwise(0.0)).alias("v01"),
-            F.sum("_y").alias("m"), F.sum(1 - F.col("_y")).alias("n"))
+        # one row per (cluster, score) meets the placements, not every row
+        rows = (df.groupBy(cluster, F.col(s).alias("_s"))
+                .agg(F.sum(_lab(label)).alias("_m"), F.sum(1 - _lab(label)).alias("_n")).join(c, "_s"))
+        per = rows.groupBy(cluster).agg(F.sum(F.col("_m") * F.col("_p10")).alias("v10"), F.sum(F.col("_n") * F.col("_p01")).alias("v01"),
+                                        F.sum("_m").alias("m"), F.sum("_n").alias("n"))
         parts.append(per.select(cluster, F.lit(s).alias("score"), "v10", "v01", "m", "n"))
     u = parts[0]
     for p in parts[1:]:
@@ -118,7 +118,10 @@ def clustered_auc(df: DataFrame, *, scores: Sequence[str], label: str, cluster:
 
 
 def threshold_metrics(df: DataFrame, *, flag: Column, outcome: Column, by: Sequence[str] = ()) -> DataFrame:
-    """K7: PPV, NPV, sensitivity, specificity, LR+, LR-, diagnostic odds ratio at a rule.
+    """K7: PPV, NPV, sensitivity, specificity, LR+, LR-, diagnostic odds ratio and Gini index at a rule.
+
+    The Gini index is that of the two-point ROC curve (0,0), (1 - spec, sens), (1,1):
+    ``2 AUC - 1 = sensitivity + specificity - 1``.
 
     ``flag`` = predicted positive, ``outcome`` = event; one aggregate of four counts.
     """
@@ -130,26 +133,60 @@ def threshold_metrics(df: DataFrame, *, flag: Column, outcome: Column, by: Seque
     return a.select(*by, "tp", "fp", "fn", "tn", (tp / (tp + fp)).alias("ppv"), (tn / (tn + fn)).alias("npv"),
                     sens.alias("sensitivity"), spec.alias("specificity"),
                     (sens / (F.lit(1.0) - spec)).alias("lr_pos"), ((F.lit(1.0) - sens) / spec).alias("lr_neg"),
-                    ((tp * tn) / (fp * fn)).alias("dor"))
+                    ((tp * tn) / (fp * fn)).alias("dor"), (sens + spec - F.lit(1.0)).alias("gini"))
 
 
-def matched_threshold(df: DataFrame, *, score: str, k: Column | int) -> DataFrame:
-    """K8: the k-th largest score; flagging ``score > threshold`` flags fewer than k
-    rows when there are ties (the rule of the reference: strictly greater).
+def matched_threshold(df: DataFrame, *, score: str, k: DataFrame) -> DataFrame:
+    """K8: the cut above which ``k`` rows lie, ``k`` being a one-row, one-column aggregate.
 
-    The k-th value comes from take-ordered (``orderBy.limit``), which keeps
-    only k rows per partition.
+    The cut is the (k+1)-th largest score, i.e. the smallest score with at
+    most k rows strictly above it; flagging ``score > threshold`` flags exactly
+    k rows without ties and fewer where the cut falls into a tie. With
+    k >= n there is no such score: the threshold is null and every row
+    counts as flagged. Counts above each score are a distributed running sum.
+    """
+    n = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+    above = running_sum(n, [score], ["_n"], descending=True, inclusive=False, out_prefix="_above")
+    k = k.toDF("k")
+    cut = attach(above, k, [])
+    found = cut.agg(F.min(F.when(F.col("_above_n") <= F.col("k"), F.col(score))).alias("threshold"),
+                    F.sum("_n").alias("_rows"))
+    out = attach(found, k, [])
+    at = out.select("k", F.when(F.col("k") < F.col("_rows"), F.col("threshold")).alias("threshold"), "_rows")
+    flagged = cut.agg(F.max(F.when(F.col("_above_n") <= F.col("k"), F.col("_above_n"))).alias("n"))
+    return attach(at, flagged, []).select("k", "threshold", F.coalesce(F.when(F.col("threshold").isNotNull(), F.col("n")), F.col("_rows"),
+                                                                      F.lit(0)).cast("long").alias("n_flagged"))
+
+
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact type-7 quantiles per group as the array ``_q``, from counts of the distinct values and their running sums.
+
+    The quantile p lies at rank ``p (n - 1)`` between the values that cover the
+    ranks below and above it; each distinct value gives only the ranks it
+    covers, so no task holds a group's values.
     """
-    if isinstance(k, int):
-        top = df.select(score).filter(F.col(score).isNotNull()).orderBy(F.col(score).desc()).limit(k)
-        return top.agg(F.min(score).alias("threshold"), F.count(F.lit(1)).alias("k"))
-    raise TypeError("k must be an int computed from an aggregate")
+    by = list(by)
+    cnt = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_sum(cnt, ["_v"], ["_n"], by=by)
+    cum = attach(cum, cnt.groupBy(*by).agg(F.sum("_n").alias("_tot")), by)
+    p = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("p")) for i, x in enumerate(probs)]))
+    at = cum.select(*by, "_v", "_n", "cum__n", "_tot", p.alias("_p"))
+    pos = F.col("_p.p") * (F.col("_tot") - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    first = F.col("cum__n") - F.col("_n")  # ranks first .. cum - 1 have this value
+    holds = lambda rank: (first <= rank) & (rank < F.col("cum__n"))
+    at = at.filter(holds(lo) | holds(hi))
+    ends = at.groupBy(*by, F.col("_p.i").alias("_i")).agg(
+        F.max(F.when(holds(lo), F.col("_v"))).alias("_lo"), F.max(F.when(holds(hi), F.col("_v"))).alias("_hi"),
+        F.max(pos - lo).alias("_f"))
+    return ends.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        "_i", (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("q")))), lambda x: x["q"]).alias("_q"))
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """K9: min, Q1, median, mean, Q3, max (type-7 quantiles) and n per group."""
-    q = F.percentile(value, [0.0, 0.25, 0.5, 0.75, 1.0])
-    a = df.groupBy(*by).agg(q.alias("_q"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    q = quantiles(df, value, [0.0, 0.25, 0.5, 0.75, 1.0], by)
+    a = attach(df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n")), q, list(by))
     return a.select(*by, "n", F.col("_q")[0].alias("min"), F.col("_q")[1].alias("q1"),
                     F.col("_q")[2].alias("median"), "mean", F.col("_q")[3].alias("q3"), F.col("_q")[4].alias("max"))
 
@@ -196,11 +233,25 @@ def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
                  ((F.countDistinct(row) - 1) * (F.countDistinct(col) - 1)).alias("df"))
 
 
-def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson r, n and the t statistic (p and limits from ``stats.pearson_test``)."""
+def chi2_tail(x: str, df: str) -> Column:
+    """Upper tail of the chi-square distribution for even degrees of freedom (closed form); null for odd ones.
+
+    ``exp(-x/2) sum_{k < df/2} (x/2)^k / k!``; odd ones are in ``kairos.functions.stats.chi2_sf``.
+    """
+    half = F.col(x) / 2.0
+    terms = F.transform(F.sequence(F.lit(0), F.greatest((F.col(df) / 2).cast("int") - 1, F.lit(0))),
+                        lambda k: F.pow(half, k) / F.factorial(k))
+    return F.when(F.col(df) % 2 == 0, F.exp(-half) * F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t))
+
+
+def correlation(df: DataFrame, x: str, y: str, z: float = Z975) -> DataFrame:
+    """Pearson r, n, the t statistic and Fisher's 95% limits ``tanh(atanh r -+ z / sqrt(n - 3))``
+    (the exact p value is in ``stats.pearson_test``)."""
     a = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
         F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
-    return a.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("r") ** 2)))
+    a = a.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("r") ** 2)))
+    w = F.lit(z) / F.sqrt(F.when(F.col("n") > 3, F.col("n") - 3))
+    return (a.withColumn("lower", F.tanh(F.atanh("r") - w)).withColumn("upper", F.tanh(F.atanh("r") + w)))
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: Sequence[str] = ()) -> DataFrame:

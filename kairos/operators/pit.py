@@ -8,14 +8,14 @@ of the same key that were known at ``eval_time``. Three physical shapes:
   replicated into the buckets that can hold a match, and the join is an
   equi join on ``(key, bucket)`` plus the range predicate. The pairs a task
   sees are limited to two buckets of one key, and one key with a very long
-  history is split over many tasks instead of one. An optional ``salt``
-  spreads one hot ``(key, bucket)`` over several tasks too; AQE's skew join
-  handles what is left at run time.
-* **running-sum window** (unbounded look-back, F2): since the decay weight is
+  history is split over many tasks instead of one. No side is repartitioned by
+  hand, so AQE's skew join can split a hot ``(key, bucket)`` at run time; an
+  optional ``salt`` does so ahead of it.
+* **bucketed running sums** (unbounded look-back, F2): since the decay weight is
   normalised, ``2^(-eval/h)`` cancels and the decayed mean equals
-  ``sum(2^(t/h) v) / sum(2^(t/h))`` over all events up to ``eval``; evaluated
-  as a running sum per ``(key, feature)`` over the union of events and
-  evaluation rows. Linear in the input, no pair explosion.
+  ``sum(2^(t/h) v) / sum(2^(t/h))`` over all events up to ``eval``. Weights are
+  taken inside time buckets and re-scaled from bucket to bucket, so no date is
+  out of range. Linear in the input, no pair explosion.
 * **first-occurrence join** (F4's widest tier): "any event at or before the
   evaluation" only needs the first event per ``(key, feature)``.
 """
@@ -75,10 +75,6 @@ def range_join(evals: DataFrame, events: DataFrame, *, key: str, eval_time: str,
     cond = [F.col(k) == F.col("_k" if k == key else "_e" + k) for k in cond_keys]
     for k in cond_keys[1:]:
         e = e.withColumnRenamed(k, "_e" + k)
-    # hash-distribute the (large) event side on exactly the join keys: the
-    # distribution a sort-merge join needs anyway, and parallel work when the
-    # planner broadcasts the evaluation side instead
-    e = e.repartition("_k", *["_e" + k for k in cond_keys[1:]])
     gap = F.col("_vday") - F.col("_eday")
     cond.append(gap >= 0)
     if lookback_days is not None:
@@ -108,54 +104,62 @@ def decayed_mean(evals: DataFrame, events: DataFrame, *, key: str = "patient_id"
             .agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value)))
 
 
+#: F2: half-lives that a time bucket spans; 2^256 and sums of it stay far inside a double.
+BUCKET_HALF_LIVES = 256
+
+
 def decayed_mean_unbounded(evals: DataFrame, events: DataFrame, *, key: str = "patient_id",
                            eval_id: str = "visit_id", eval_time: str = "visit_date",
                            event_time: str = "result_date", feature: str = "component_id", value: str = "value",
                            half_life_days: float = 30.0, bucket_days: float | None = None) -> DataFrame:
     """F2 shape: decayed mean over **all** earlier events, via running sums.
 
-    Union the events with one row per (evaluation, feature present for the
-    key); running ``sum(2^((t - t0)/h) v)`` and ``sum(2^((t - t0)/h))`` per
-    ``(key, feature)`` in time order (events before evaluations on equal
-    times) give the weighted mean at each evaluation row. ``t0`` is the
-    key's first event, which keeps the powers in range for ~80 years of
-    history at h = 30 d. Returns rows only where an earlier event exists.
-
-    The default is one window keyed by (key, feature): a key with many
-    events is already split over its features. ``bucket_days`` switches to
-    the bucketed ``running_sum`` (two more shuffles), which also spreads a
-    single very long (key, feature) series over many tasks.
+    Events get a time bucket; inside it the weight is ``2^((t - start)/h)``, at
+    most ``2^(width/h)``. Per (key, feature) the bucket totals are folded in
+    time order, each re-scaled to the start of the next
+    (``sum * 2^(-gap/h)``). An evaluation adds the running sum inside its own
+    bucket and the fold of the last bucket before it; where its own bucket has
+    no earlier event, the ratio of the fold alone is the answer, however long
+    ago the last event lies. Evaluations meet a feature only from its first
+    event on.
+
+    The running sum is keyed by (key, feature, bucket), so a long series is
+    spread over many tasks; the fold sees one row per bucket of a series.
     """
     h = float(half_life_days)
+    width = float(bucket_days or BUCKET_HALF_LIVES * h)
     ev = events.filter(F.col(value).isNotNull())
-    ev = ev.select(key, feature, day_value(ev, event_time).alias("_t"), F.col(value).alias("_v"))
-    t0 = ev.groupBy(key).agg(F.min("_t").alias("_t0"))
-    feats = ev.select(key, feature).distinct()
-    v = evals.select(key, eval_id, day_value(evals, eval_time).alias("_t"))
-    if bucket_days is not None:
-        from kairos.operators.running import running_sum
-        ev_agg = (ev.join(t0, key).withColumn("_w", F.pow(F.lit(2.0), (F.col("_t") - F.col("_t0")) / F.lit(h)))
-                  .groupBy(key, feature, "_t").agg(F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_v")).alias("_swv")))
-        ev_rows = ev_agg.select(key, feature, "_t", F.lit(0).alias("_ord"), "_sw", "_swv")
-        v_rows = (v.join(feats, key).select(key, feature, "_t").distinct()
-                  .select(key, feature, "_t", F.lit(1).alias("_ord"), F.lit(0.0).alias("_sw"), F.lit(0.0).alias("_swv")))
-        u = running_sum(ev_rows.unionByName(v_rows), ["_t", "_ord"], ["_sw", "_swv"], by=[key, feature],
-                        bucket=F.floor(F.col("_t") / F.lit(float(bucket_days))))
-        at = u.filter((F.col("_ord") == 1) & (F.col("cum__sw") > 0)).select(
-            key, feature, "_t", (F.col("cum__swv") / F.col("cum__sw")).alias(value))
-        return v.join(at, [key, "_t"]).select(eval_id, feature, value)
-    ev_rows = ev.select(key, feature, "_t", "_v", F.lit(0).alias("_ord"),
-                        F.lit(None).cast(evals.schema[eval_id].dataType).alias(eval_id))
-    v_rows = v.join(feats, key).select(key, feature, "_t", F.lit(None).cast("double").alias("_v"),
-                                       F.lit(1).alias("_ord"), eval_id)
-    u = ev_rows.unionByName(v_rows).join(t0, key)
-    w = F.pow(F.lit(2.0), (F.col("_t") - F.col("_t0")) / F.lit(h))
-    win = (Window.partitionBy(key, feature).orderBy("_t", "_ord")
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = (u.withColumn("_sw", F.sum(F.when(F.col("_ord") == 0, w)).over(win))
-          .withColumn("_swv", F.sum(F.when(F.col("_ord") == 0, w * F.col("_v"))).over(win)))
-    return (u.filter((F.col("_ord") == 1) & F.col("_sw").isNotNull())
-            .select(eval_id, feature, (F.col("_swv") / F.col("_sw")).alias(value)))
+    ev = ev.select(key, feature, day_value(ev, event_time).alias("_t"), F.col(value).cast("double").alias("_v"))
+    ev = ev.withColumn("_b", F.floor(F.col("_t") / F.lit(width)))
+    w = F.pow(F.lit(2.0), (F.col("_t") - F.col("_b") * F.lit(width)) / F.lit(h))
+    ev = (ev.groupBy(key, feature, "_b", "_t")
+          .agg(F.sum(w).alias("_sw"), F.sum(w * F.col("_v")).alias("_swv")))
+    total = ev.groupBy(key, feature, "_b").agg(F.sum("_sw").alias("w"), F.sum("_swv").alias("v"), F.min("_t").alias("_t"))
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        back = F.when(F.size(acc) > 0, F.pow(F.lit(2.0), (last["b"] - x["b"]) * F.lit(width / h))).otherwise(F.lit(0.0))
+        return F.concat(acc, F.array(F.struct(
+            x["b"].alias("b"), (x["w"] + F.when(F.size(acc) > 0, last["w"] * back).otherwise(F.lit(0.0))).alias("w"),
+            (x["v"] + F.when(F.size(acc) > 0, last["v"] * back).otherwise(F.lit(0.0))).alias("v"))))
+
+    none = F.expr("cast(array() as array<struct<b:bigint,w:double,v:double>>)")
+    folds = total.groupBy(key, feature).agg(
+        F.min("_t").alias("_first"),
+        F.aggregate(F.sort_array(F.collect_list(F.struct(F.col("_b").alias("b"), "w", "v"))), none, step).alias("_folds"))
+    v = evals.select(key, eval_id, day_value(evals, eval_time).alias("_t")).withColumn("_b", F.floor(F.col("_t") / F.lit(width)))
+    v = v.join(folds, key).filter(F.col("_t") >= F.col("_first"))
+    fold = F.element_at(F.filter("_folds", lambda x: x["b"] < F.col("_b")), -1)
+    v = v.select(key, feature, "_b", "_t", eval_id, F.when(F.size(F.filter("_folds", lambda x: x["b"] < F.col("_b"))) > 0, fold).alias("_before"))
+    rows = ev.select(key, feature, "_b", "_t", F.lit(0).alias("_ord"), "_sw", "_swv").unionByName(
+        v.select(key, feature, "_b", "_t", F.lit(1).alias("_ord"), eval_id, "_before"), allowMissingColumns=True)
+    run = Window.partitionBy(key, feature, "_b").orderBy("_t", "_ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_in_w", F.sum("_sw").over(run)).withColumn("_in_v", F.sum("_swv").over(run)).filter(F.col("_ord") == 1)
+    before = F.pow(F.lit(2.0), (F.col("_before.b") - F.col("_b")) * F.lit(width / h))
+    both_w = F.col("_in_w") + F.coalesce(F.col("_before.w") * before, F.lit(0.0))
+    both_v = F.col("_in_v") + F.coalesce(F.col("_before.v") * before, F.lit(0.0))
+    mean = F.when(F.col("_in_w").isNotNull(), both_v / both_w).otherwise(F.col("_before.v") / F.col("_before.w"))
+    return rows.select(eval_id, feature, mean.alias(value))
 
 
 # Step tiers of the event-presence weight (days, weight),
@@ -209,8 +213,8 @@ def decayed_term_mean(evals: DataFrame, notes: DataFrame, note_terms: DataFrame,
     """decayed mean of note term vectors per evaluation.
 
     The denominator is the weight of **all** notes in the window, also those
-    without the term, so note weights are normalised per evaluation before
-    they meet the (note, term, value) rows.
+    without the term: ``sum(w * value)`` per (evaluation, term) in one pass,
+    and the total weight per evaluation (one row each) joined at the end.
     """
     nv = notes.select(key, note_id, note_time)
     j = range_join(evals.select(key, eval_id, eval_time), nv, key=key, eval_time=eval_time,
@@ -218,6 +222,6 @@ def decayed_term_mean(evals: DataFrame, notes: DataFrame, note_terms: DataFrame,
     w = F.pow(F.lit(2.0), -F.col("gap_days") / F.lit(float(half_life_days)))
     j = j.select(eval_id, note_id, w.alias("_w"))
     tot = j.groupBy(eval_id).agg(F.sum("_w").alias("_tw"))
-    nw = j.join(tot, eval_id).select(eval_id, note_id, (F.col("_w") / F.col("_tw")).alias("_nw"))
-    return (nw.join(note_terms.select(note_id, term, value), note_id)
-            .groupBy(eval_id, term).agg(F.sum(F.col("_nw") * F.col(value)).alias(value)))
+    sums = (j.join(note_terms.select(note_id, term, value), note_id)
+            .groupBy(eval_id, term).agg(F.sum(F.col("_w") * F.col(value)).alias("_s")))
+    return sums.join(tot, eval_id).select(eval_id, term, (F.col("_s") / F.col("_tw")).alias(value))

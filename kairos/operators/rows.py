@@ -16,15 +16,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def project(df: DataFrame, keep: Sequence[str] | None = None, rename: dict[str, str] | None = None,
-            drop: Sequence[str] = ()) -> DataFrame:
-    """B1: column subset, rename, drop."""
-    out = df.select(*keep) if keep else df
-    for a, b in (rename or {}).items():
-        out = out.withColumnRenamed(a, b)
-    return out.drop(*drop) if drop else out
-
-
 def not_null(df: DataFrame, *cols: str) -> DataFrame:
     """B2: keep rows where every listed column is present."""
     cond = None
@@ -94,13 +85,13 @@ def quantile_bin(df: DataFrame, value: str, g: int, by: Sequence[str] = (), out:
 
 def quantile_bin_type7(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
                        out: str = "qbin") -> DataFrame:
-    """B15, numpy/R type-7 variant: cuts = ``percentile(value, probs)`` per group, right-closed bins.
+    """B15, numpy/R type-7 variant: cuts = exact type-7 quantiles per group, right-closed bins.
 
-    ``percentile`` keeps a group's distinct values in one task; use it per
-    stratum. Bin = ``1 + #(cuts < x)``.
+    Bin = ``1 + #(cuts < x)``.
     """
+    from kairos.operators.metrics import quantiles
     by = list(by)
-    cuts = df.groupBy(*by).agg(F.percentile(value, list(probs)).alias("_cuts"))
+    cuts = quantiles(df, value, probs, by).withColumnRenamed("_q", "_cuts")
     j = attach(df, cuts, by)
     b = (F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value))) + F.lit(1)).cast("int")
     return j.withColumn(out, F.when(F.col(value).isNotNull(), b)).drop("_cuts")

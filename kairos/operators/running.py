@@ -4,7 +4,7 @@ A ``Window.orderBy`` without ``partitionBy`` moves every row into one task.
 These helpers compute the same values with the data spread out:
 
 1. each row gets a **bucket**: a deterministic, monotone function of its
-   order key (literal quantile bounds of the key, or a caller-given
+   order key (bounds from a hash-ordered sample of the key's values, or a caller-given
    expression such as ``floor(day / 32)``), so buckets follow the order,
 2. inside each (group, bucket) a windowed running sum,
 3. per-(group, bucket) totals (a table bounded by groups x buckets) turned
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 DEFAULT_BUCKETS = 64
@@ -33,36 +32,24 @@ def _n_buckets(df: DataFrame, n: int | None) -> int:
         return DEFAULT_BUCKETS
 
 
-def order_proxy(df: DataFrame, c: str) -> Column:
-    """A numeric expression, non-decreasing in the natural order of column ``c``."""
-    dt = df.schema[c].dataType
-    if isinstance(dt, T.NumericType):
-        return F.col(c).cast("double")
-    if isinstance(dt, T.BooleanType):
-        return F.col(c).cast("int").cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(F.col(c)).cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-    # strings / binary: first 6 bytes as a big-endian number (byte order = Spark's string order)
-    hexs = F.rpad(F.substring(F.hex(F.col(c).cast("binary")), 1, 12), 12, "0")
-    return F.conv(hexs, 16, 10).cast("double")
+#: Values sampled per bucket when bucket bounds are chosen.
+SAMPLE_PER_BUCKET = 32
 
 
-def quantile_bucket(df: DataFrame, c: str, n: int, descending: bool = False) -> Column:
-    """Bucket 0..n-1 from approximate quantile bounds of ``c`` (one small aggregate).
+def bucket_bounds(df: DataFrame, c: str, n: int) -> Column:
+    """Bounds of n buckets of column ``c`` in its natural order (any orderable type), as a sorted array.
 
-    The bounds become literals of the plan, so the bucket is deterministic.
+    The bounds are every 32nd of the ``32 n`` distinct values with the smallest
+    hashes: a sample that depends on the values alone, so every branch of a
+    plan and every retried task sees the same buckets. It is a scalar subquery
+    of the plan (take-ordered, ``32 n`` rows), not a job of its own, and whole
+    values are compared, so strings with a long common prefix are split too.
     """
-    proxy = order_proxy(df, c)
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(proxy, probs, 1000).alias("b")).first()
-    bounds = sorted(set(row["b"] or [])) if row is not None else []
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    asc = F.size(F.filter(arr, lambda b: b < proxy))
-    return (F.lit(len(bounds)) - asc) if descending else asc
+    per = SAMPLE_PER_BUCKET
+    sample = (df.select(F.col(c).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+              .orderBy(F.xxhash64("_v"), "_v").limit(per * n))
+    every = F.array_sort(F.collect_list("_v"))
+    return sample.agg(F.filter(every, lambda x, i: i % per == per - 1).alias("_b")).scalar()
 
 
 def running_sum(df: DataFrame, order_cols: list[str], sum_cols: list[str], *, by: list[str] | None = None,
@@ -76,16 +63,17 @@ def running_sum(df: DataFrame, order_cols: list[str], sum_cols: list[str], *, by
     ``inclusive=False`` leaves the current row out. ``bucket`` may be given
     as an expression non-decreasing in the ascending order of the keys
     (e.g. ``floor(day / 30)``; it is negated for a descending sum);
-    otherwise quantile bounds of the first order column are computed with
-    one aggregate.
+    otherwise bounds come from a sample of the first order column, inside
+    the plan.
     """
     by = list(by or [])
     if bucket is None:
-        bucket = quantile_bucket(df, order_cols[0], _n_buckets(df, n_buckets), descending)
-    elif descending:
+        df = df.withColumn("_bounds", bucket_bounds(df, order_cols[0], _n_buckets(df, n_buckets)))
+        bucket = F.coalesce(F.size(F.filter("_bounds", lambda x: x < F.col(order_cols[0]))), F.lit(0))
+    if descending:
         bucket = -bucket
     okeys = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    b = df.withColumn("_bk", bucket.cast("long"))
+    b = df.withColumn("_bk", bucket.cast("long")).drop("_bounds")
     w_in = Window.partitionBy(*by, "_bk").orderBy(*okeys)
     frame = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     for c in sum_cols:

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Interval break points (days) of the discrete-time survival model.
 BREAKS = (0, 30, 91, 182, 365, 548, 730, 913, 1095, 1278, 1470, 1643, 1825)
@@ -101,30 +100,44 @@ def exp_curve(rate, breaks: Sequence[float] = BREAKS) -> Column:
     return F.transform(_lits(widths), lambda w: F.exp(-_c(rate) * w))
 
 
-def top_contributions(long: DataFrame, coefs: DataFrame, *, row_id: Sequence[str], feature: str = "feature",
-                      value: str = "z", coef: str = "coef", k: int = 5) -> DataFrame:
-    """Per row, the ``k`` largest and ``k`` smallest contributions ``value * coef``
-    as signed strings ``' +name'`` / ``' -name'`` (sign of the value), largest
-    first / smallest first; ties by feature name. Only present (non-zero)
-    entries of the sparse long form take part.
+def top_contributions(long: DataFrame, coefs: DataFrame, rows: DataFrame, *, row_id: Sequence[str], feature: str = "feature",
+                      value: str = "z", coef: str = "coef", fill: str = "fill_z", k: int = 5) -> DataFrame:
+    """Per row of ``rows``, the ``k`` largest and ``k`` smallest contributions ``value * coef``
+    over **all** model features, as signed strings ``' +name'`` / ``' -name'`` (sign of the
+    value), largest first / smallest first; ties by feature name.
 
-    ``coefs`` has one row per model feature (bounded by the model width).
+    A feature that the sparse long form does not hold for a row has the value
+    ``fill`` (``coefs`` has feature, coef, fill; one row per model feature).
+    The contributions of absent features are ranked once, as two arrays of the
+    model's width; a row takes its own entries and the best of the ranked ones
+    it does not hold.
     """
     rid = list(row_id)
-    c = long.join(F.broadcast(coefs.select(feature, coef)), feature)
-    c = c.withColumn("_contrib", F.col(value) * F.col(coef))
-    sign = F.when(F.col(value) > 0, F.lit(" +")).otherwise(F.lit(" -"))
-    c = c.withColumn("_s", F.concat(sign, F.col(feature)))
-    up = Window.partitionBy(*rid).orderBy(F.col("_contrib").desc(), F.col(feature))
-    dn = Window.partitionBy(*rid).orderBy(F.col("_contrib").asc(), F.col(feature))
-    c = c.withColumn("_ru", F.row_number().over(up)).withColumn("_rd", F.row_number().over(dn))
-    c = c.filter((F.col("_ru") <= k) | (F.col("_rd") <= k))
 
-    def joined(rank_col):
-        items = F.collect_list(F.when(F.col(rank_col) <= k, F.struct(F.col(rank_col).alias("r"), F.col("_s").alias("s"))))
-        return F.array_join(F.transform(F.array_sort(items), lambda x: x["s"]), "")
+    def entry(v, c, f):
+        return F.struct((v * c).alias("c"), f.alias("f"), F.when(v > 0, F.lit(" +")).otherwise(F.lit(" -")).alias("s"))
 
-    return c.groupBy(*rid).agg(joined("_ru").alias("improve_feats"), joined("_rd").alias("worsen_feats"))
+    def rank(arr, down):
+        key = lambda x: F.struct((-x["c"] if down else x["c"]).alias("c"), x["f"].alias("f"), x["s"].alias("s"))
+        return F.array_sort(F.transform(arr, key))  # by contribution, then name
+
+    table = coefs.select(feature, F.col(coef).cast("double").alias(coef), F.col(fill).cast("double").alias(fill))
+    width = F.collect_list(entry(F.col(fill), F.col(coef), F.col(feature)))
+    ranked = table.agg(F.struct(rank(width, True).alias("up"), rank(width, False).alias("down")).alias("_r")).scalar()
+    own = (long.join(table, feature).groupBy(*rid)
+           .agg(F.collect_list(entry(F.col(value), F.col(coef), F.col(feature))).alias("_own")))
+    j = rows.select(*rid).distinct().join(own, rid, "left")
+    j = j.select(*rid, F.coalesce("_own", F.slice(F.array(F.struct(F.lit(0.0).alias("c"), F.lit("").alias("f"), F.lit("").alias("s"))), 1, 0))
+                 .alias("_own"), ranked.alias("_r"))
+    names = F.transform("_own", lambda x: x["f"])
+
+    def joined(side, down):
+        absent = F.slice(F.filter(F.col("_r")[side], lambda x: ~F.array_contains(F.col("_names"), x["f"])), 1, k)
+        best = F.slice(F.array_sort(F.concat(rank(F.col("_own"), down), absent)), 1, k)
+        return F.array_join(F.transform(best, lambda x: F.concat(x["s"], x["f"])), "")
+
+    j = j.withColumn("_names", names)
+    return j.select(*rid, joined("up", True).alias("improve_feats"), joined("down", False).alias("worsen_feats"))
 
 
 def breslow_curves(base_hazard: DataFrame, scores: DataFrame, *, row_id: Sequence[str], xb: str = "xb",
@@ -133,19 +146,20 @@ def breslow_curves(base_hazard: DataFrame, scores: DataFrame, *, row_id: Sequenc
     (first grid time with S < 0.5, else the last grid time).
 
     ``base_hazard`` is the Breslow table ``(time, H0)``; H0 at each grid time
-    is a step lookup into it (a grid-sized table, broadcast).
+    is a step lookup: each row of the table goes to the grid times at or after
+    it and the latest of them stays (one row per grid time and task is
+    shuffled, no join).
     """
-    g = base_hazard.sparkSession.createDataFrame([(float(t),) for t in grid], "at double")
-    h = (g.join(base_hazard, F.col("time") <= F.col("at"), "left")
-         .groupBy("at").agg(F.coalesce(F.max_by("H0", "time"), F.lit(0.0)).alias("H0")))
-    hs = h.agg(F.array_sort(F.collect_list(F.struct("at", "H0"))).alias("_h"))  # one row, grid-sized
+    times = _lits(sorted(grid))
+    at = base_hazard.select("time", "H0", F.explode(F.filter(times, lambda g: g >= F.col("time"))).alias("at"))
+    h = at.groupBy("at").agg(F.max_by("H0", "time").alias("H0"))
+    found = h.agg(F.map_from_entries(F.collect_list(F.struct("at", "H0"))).alias("_h"))  # one row, grid-sized
     rid = list(row_id)
-    s = _attach_one(scores.select(*rid, xb), hs)
-    curve = F.transform(F.col("_h"), lambda e: F.exp(-e["H0"] * F.exp(F.col(xb))))
+    s = _attach_one(scores.select(*rid, xb), found)
+    curve = F.transform(times, lambda t: F.exp(-F.coalesce(F.element_at(F.col("_h"), t), F.lit(0.0)) * F.exp(F.col(xb))))
     s = s.withColumn("curve", curve)
-    times = F.transform(F.col("_h"), lambda e: e["at"])
     first = F.array_position(F.transform(F.col("curve"), lambda v: v < 0.5), True).cast("int")
-    med = F.when(first == 0, F.element_at(times, -1)).otherwise(F.element_at(times, first))
+    med = F.when(first == 0, F.element_at(times, -1)).otherwise(F.element_at(times, F.greatest(first, F.lit(1))))
     return s.select(*rid, "curve", med.alias("median_grid"))
 
 

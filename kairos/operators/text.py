@@ -19,16 +19,6 @@ from kairos.functions.text import ngrams_1_2, tokens, word_count
 from kairos.operators.rows import attach
 
 
-def spread_docs(docs: DataFrame, *, doc: str = "note_id", n: int | None = None) -> DataFrame:
-    """Hash-distribute documents by id before CPU-heavy per-document work.
-
-    Document sizes vary by four orders of magnitude and file splits can be
-    very uneven (a large text file may be one row group, i.e. one task); one
-    shuffle of the raw text spreads the tokenising over all partitions.
-    """
-    return docs.repartition(n, doc) if n else docs.repartition(doc)
-
-
 def dedup_texts(notes: DataFrame, *, key: str = "patient_id", text: str = "note_text",
                 order: Sequence[str] = ("note_id",)) -> DataFrame:
     """G1: drop exact duplicate texts per patient, keeping the first by ``order``.
@@ -62,7 +52,7 @@ def clean_tokens(notes: DataFrame, lemmas: DataFrame, stop: DataFrame, *, doc: s
     case; the kept tokens are joined in order, punctuation is removed and
     spaces collapsed. Documents whose tokens are all removed come out empty.
     """
-    toks = spread_docs(notes.select(doc, text), doc=doc) \
+    toks = notes.select(doc, text) \
         .select(doc, F.posexplode(F.split(F.col(text), r"\s+")).alias("pos", "token")) \
         .filter(F.length("token") > 0)
     lem = lemmas.select("token", F.col("lemma"))
@@ -94,7 +84,7 @@ def with_word_count(notes: DataFrame, *, text: str = "note_text", min_words: int
 
 def term_counts(docs: DataFrame, *, doc: str = "note_id", text: str = "note_text") -> DataFrame:
     """``(doc, term, count)`` of unigrams and bigrams; map-side partial counts."""
-    t = spread_docs(docs.select(doc, text), doc=doc).select(doc, tokens(text).alias("_toks")) \
+    t = docs.select(doc, text).select(doc, tokens(text).alias("_toks")) \
         .select(doc, F.explode(ngrams_1_2("_toks")).alias("term"))
     return t.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("count"))
 
@@ -102,7 +92,7 @@ def term_counts(docs: DataFrame, *, doc: str = "note_id", text: str = "note_text
 def term_totals(docs: DataFrame, *, doc: str = "note_id", text: str = "note_text") -> DataFrame:
     """Corpus-wide ``(term, total)`` straight from the token stream: map-side
     partial counts per term, no per-document rows."""
-    t = spread_docs(docs.select(doc, text), doc=doc).select(tokens(text).alias("_toks")) \
+    t = docs.select(doc, text).select(tokens(text).alias("_toks")) \
         .select(F.explode(ngrams_1_2("_toks")).alias("term"))
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
 
@@ -110,7 +100,7 @@ def term_totals(docs: DataFrame, *, doc: str = "note_id", text: str = "note_text
 def vocab_counts(docs: DataFrame, vocab: DataFrame, *, doc: str = "note_id", text: str = "note_text") -> DataFrame:
     """``(doc, term, count)`` restricted to a vocabulary: the (bounded, broadcast)
     vocabulary filters the token stream before the per-document shuffle."""
-    t = spread_docs(docs.select(doc, text), doc=doc).select(doc, tokens(text).alias("_toks")) \
+    t = docs.select(doc, text).select(doc, tokens(text).alias("_toks")) \
         .select(doc, F.explode(ngrams_1_2("_toks")).alias("term"))
     t = t.join(F.broadcast(vocab.select("term")), "term", "left_semi")
     return t.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("count"))

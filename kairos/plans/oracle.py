@@ -38,8 +38,11 @@ union all
 select o_custkey, cast(l_shipdate as date), concat('medi_', split_part(p_name, ' ', 1))
 from lineitem join orders on l_orderkey = o_orderkey join part on p_partkey = l_partkey where l_linenumber = 3""",
     "notes": """
-select doc_id as note_id, doc_id % 100 as patient_id, date '1995-01-01' + cast((doc_id * 7919) % 2400 as int) as contact_date,
- date '1995-01-01' + cast((doc_id * 7919) % 2400 + doc_id % 3 as int) as update_date, source as department, text as note_text from documents""",
+select doc_id as note_id, (doc_id % np) * 10 + 1 as patient_id,
+ date '1995-01-01' + cast(((doc_id // np // 2) * 791 + (doc_id % np) * 37) % 2400 as int) as contact_date,
+ date '1995-01-01' + cast(((doc_id // np // 2) * 791 + (doc_id % np) * 37) % 2400 + doc_id // np // 2 % 3 as int) as update_date,
+ source as department, text as note_text
+from documents, (select greatest(count(*) // 10, 1) as np from customer)""",
     "note_outcome": """
 select d.doc_id as note_id, l.quality as surv_12mo, d.doc_id % 10 < 8 as is_train from documents d join labels l on l.doc_id = d.doc_id""",
 }

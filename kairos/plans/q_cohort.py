@@ -286,10 +286,7 @@ select st.feature, cast(st.n as bigint) as n, round(st.mean, 4) + 0e0 as mean, r
 from st left join z on z.feature = st.feature
 """, extra_views={"f1": _F1_SQL, "f4": _F4_SQL, "longf": _LONG_SQL})
 def f11_impute_standardise(spark, sf_dir):
-    long = _assembled(spark, sf_dir, materialize=True)
     ev = fx.visits(spark, sf_dir).select("visit_id", (F.col("patient_id") % 10 < 8).alias("is_train"))
-    z, st = features.impute_standardize(long, ev, zero_filled=["event"])
-    sz = z.groupBy("feature").agg(F.sum("z").alias("sum_z"))
-    out = st.join(sz, "feature", "left")
+    out = features.feature_statistics(_assembled(spark, sf_dir), ev, zero_filled=["event"])
     return out.select("feature", "n", r("mean").alias("mean"), r("std").alias("std"), "include",
                       r("fill_z").alias("fill_z"), r("sum_z", 3).alias("sum_z"))

@@ -105,30 +105,28 @@ with a as (select count(*) filter (where score_a < 0 and died_1y) as tp, count(*
 select cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, cast(tn as bigint) as tn,
   round(tp / (tp + fp), 6) as ppv, round(tn / (tn + fn), 6) as npv, round(tp / (tp + fn), 6) as sensitivity,
   round(tn / (tn + fp), 6) as specificity, round((tp / (tp + fn)) / (1 - tn / (tn + fp)), 6) as lr_pos,
-  round((1 - tp / (tp + fn)) / (tn / (tn + fp)), 6) as lr_neg, round((tp * tn * 1e0) / (fp * fn), 6) as dor
+  round((1 - tp / (tp + fn)) / (tn / (tn + fp)), 6) as lr_neg, round((tp * tn * 1e0) / (fp * fn), 6) as dor,
+  round(((tp + fp) * 1e0 * (fn + tn) * (tp / (tp + fp) + tn / (tn + fn) - 1)) / ((tp + fn) * 1e0 * (fp + tn)), 6) as gini
 from a
 """, extra_views={"sv": SV_SQL, "ev": EV_SQL})
 def k7_threshold(spark, sf_dir):
     ev = evaluable(spark, sf_dir)
     t = mt.threshold_metrics(ev, flag=F.col("score_a") < 0, outcome=F.col("died_1y"))
     return t.select("tp", "fp", "fn", "tn", *[r(c, 6).alias(c) for c in
-                                             ("ppv", "npv", "sensitivity", "specificity", "lr_pos", "lr_neg", "dor")])
+                                             ("ppv", "npv", "sensitivity", "specificity", "lr_pos", "lr_neg", "dor", "gini")])
 
 
 @query("k8_matched_cut", "K8", """
 with k as (select count(*) as k from ev where n_visits >= 12),
-o as (select -score_a as risk, row_number() over (order by -score_a desc) as rn from ev),
-t as (select min(risk) as threshold from o, k where rn <= k.k)
-select cast(k.k as bigint) as k, t.threshold, cast((select count(*) from ev where -score_a > t.threshold) as bigint) as n_flagged
-from k, t
+sorted as (select list(-score_a order by -score_a) as risk from ev),
+t as (select k, risk[len(risk) - k] as threshold from sorted, k)
+select cast(k as bigint) as k, threshold,
+  cast((select count(*) from ev where t.threshold is null or -score_a > t.threshold) as bigint) as n_flagged
+from t
 """, extra_views={"sv": SV_SQL, "ev": EV_SQL})
 def k8_matched_cut(spark, sf_dir):
     ev = evaluable(spark, sf_dir).withColumn("risk", -F.col("score_a"))
-    k = ev.filter(F.col("n_visits") >= 12).count()  # one scalar aggregate
-    th = mt.matched_threshold(ev, score="risk", k=k)
-    flagged = ev.join(th, F.col("risk") > F.col("threshold")).agg(F.count(F.lit(1)).alias("n_flagged"))
-    from kairos.operators.rows import attach
-    return attach(th.select(F.lit(k).cast("long").alias("k"), "threshold"), flagged, [])
+    return mt.matched_threshold(ev, score="risk", k=ev.agg(F.count_if(F.col("n_visits") >= 12)))
 
 
 @query("k9_summary", "K9", """
@@ -168,24 +166,29 @@ with c as (select site, dead, count(*) as n from patients group by site, dead),
 r as (select site, sum(n) as rt from c group by site), k as (select dead, sum(n) as ct from c group by dead),
 t as (select sum(n) as tot from c)
 select round(sum(pow(c.n - r.rt * k.ct / t.tot, 2) / (r.rt * k.ct / t.tot)), 6) as chisq,
-  cast((count(distinct c.site) - 1) * (count(distinct c.dead) - 1) as bigint) as df
+  cast((count(distinct c.site) - 1) * (count(distinct c.dead) - 1) as bigint) as df,
+  round(exp(-sum(pow(c.n - r.rt * k.ct / t.tot, 2) / (r.rt * k.ct / t.tot)) / 2)
+        * (1 + sum(pow(c.n - r.rt * k.ct / t.tot, 2) / (r.rt * k.ct / t.tot)) / 2), 6) as p
 from c join r on r.site = c.site join k on k.dead = c.dead, t
 """)
 def k11_chi2(spark, sf_dir):
     from kairos.sources import fixtures as fx
     c = mt.chi_square(fx.patients(spark, sf_dir), "site", "dead")
-    return c.select(r("chisq", 6).alias("chisq"), F.col("df").cast("long"))
+    # four degrees of freedom (five sites, two outcomes): the oracle has the closed form of the tail
+    return c.select(r("chisq", 6).alias("chisq"), F.col("df").cast("long"), r(mt.chi2_tail("chisq", "df"), 6).alias("p"))
 
 
 @query("k12_corr", "K12", """
 select round(corr(score_a, n_visits), 6) + 0e0 as r, cast(count(*) as bigint) as n,
-  round(corr(score_a, n_visits) * sqrt((count(*) - 2) / (1 - pow(corr(score_a, n_visits), 2))), 6) + 0e0 as t
+  round(corr(score_a, n_visits) * sqrt((count(*) - 2) / (1 - pow(corr(score_a, n_visits), 2))), 6) + 0e0 as t,
+  round(tanh(atanh(corr(score_a, n_visits)) - 1.959963984540054e0 / sqrt(count(*) - 3)), 6) + 0e0 as lower,
+  round(tanh(atanh(corr(score_a, n_visits)) + 1.959963984540054e0 / sqrt(count(*) - 3)), 6) + 0e0 as upper
 from sv
 """, extra_views={"sv": SV_SQL})
 def k12_corr(spark, sf_dir):
     c = mt.correlation(surv_base(spark, sf_dir).withColumn("n_visits", F.col("n_visits").cast("double")),
                        "score_a", "n_visits")
-    return c.select(r("r", 6).alias("r"), "n", r("t", 6).alias("t"))
+    return c.select(r("r", 6).alias("r"), "n", r("t", 6).alias("t"), r("lower", 6).alias("lower"), r("upper", 6).alias("upper"))
 
 
 @query("k13_weighted", "K13", """
@@ -213,17 +216,20 @@ with pa as (select a.cluster_id,
              case when a.n_visits < b.n_visits then 1e0 when a.n_visits > b.n_visits then 0e0 else 0.5e0 end as cb
            from sv a join sv b on a.cluster_id = b.cluster_id and a.event
              and (a.time < b.time or (a.time = b.time and not b.event)))
-select cluster_id, cast(count(*) as bigint) as comparable, round(avg(ca), 6) as cindex_a, round(avg(cb), 6) as cindex_b,
-  round(avg(ca) - avg(cb), 6) + 0e0 as diff
-from pa group by cluster_id
+select pa.cluster_id, cast(count(*) as bigint) as comparable, round(avg(ca), 6) as cindex_a, round(avg(cb), 6) as cindex_b,
+  round(avg(ca) - avg(cb), 6) + 0e0 as diff, max(c.n) as n, round(max(c.mean_score), 4) + 0e0 as mean_score
+from pa join (select cluster_id, cast(count(*) as bigint) as n, avg(score_a) as mean_score from sv group by cluster_id) c
+  on c.cluster_id = pa.cluster_id
+group by pa.cluster_id
 """, extra_views={"sv": SV_SQL})
 def k14_cindex_by_group(spark, sf_dir):
     b = surv_base(spark, sf_dir)
     a = sv.cindex(b, score="score_a", by=["cluster_id"]).select("cluster_id", "comparable",
                                                                   F.col("cindex").alias("cindex_a"))
     c = sv.cindex(b, score="n_visits", by=["cluster_id"]).select("cluster_id", F.col("cindex").alias("cindex_b"))
-    j = a.join(c, "cluster_id")
-    return j.select("cluster_id", "comparable", r("cindex_a", 6).alias("cindex_a"), r("cindex_b", 6).alias("cindex_b"),
+    size = b.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score_a").alias("mean_score"))  # covariate and size
+    j = a.join(c, "cluster_id").join(size, "cluster_id")
+    return j.select("cluster_id", "n", r("mean_score", 4).alias("mean_score"), "comparable", r("cindex_a", 6).alias("cindex_a"), r("cindex_b", 6).alias("cindex_b"),
                     r(F.col("cindex_a") - F.col("cindex_b"), 6).alias("diff"))
 
 
@@ -333,3 +339,56 @@ def k3_auc_comparison(spark, sf_dir):
     c = mt.clustered_auc(ev, scores=["score_a", "n_visits"], label="y", cluster="cluster_id")
     z = mt.compare_aucs(c, "score_a", "n_visits")
     return z.select(r("auc_1", 6).alias("auc_1"), r("auc_2", 6).alias("auc_2"), r("z", 6).alias("z"))
+
+
+_RELATION_SQL = f"""
+select time, event, a_group, case when b <= (case a_group when 1 then -1 when 2 then 2 when 3 then 4 else 6 end) then 'Shorter'
+    when b <= (case a_group when 1 then 2 when 2 then 4 when 3 then 6 else 999 end) then 'Same' else 'Longer' end as relation
+from (select time, event, cast((least(a, 7) + 1) // 2 as int) as a_group, b
+      from (select time, event, {_bin_sql('pred_median')} as a, {_bin_sql('n_visits * 60e0')} as b from sv))
+"""
+
+
+@query("k18_logrank", "K18 J4", """
+with gr as (select distinct a_group, relation from rel),
+t as (select a_group, time, count(*) filter (event) * 1e0 as d from rel group by a_group, time having count(*) filter (event) > 0),
+g as (select t.a_group, t.time, t.d, gr.relation,
+        (select count(*) from rel x where x.a_group = t.a_group and x.relation = gr.relation and x.time >= t.time) as n_g,
+        (select count(*) from rel x where x.a_group = t.a_group and x.relation = gr.relation and x.time = t.time and x.event) as d_g
+      from t join gr on gr.a_group = t.a_group),
+n as (select *, sum(n_g) over (partition by a_group, time) as n from g),
+oe as (select a_group, relation, sum(d_g) - sum(n_g * d / n) as oe, row_number() over (partition by a_group order by relation) as i
+       from n group by a_group, relation),
+vv as (select x.a_group, x.relation as r1, y.relation as r2,
+         sum(case when x.n > 1 then x.d * (x.n - x.d) / (x.n - 1) else 0e0 end * x.n_g / x.n
+             * (case when x.relation = y.relation then 1e0 else 0e0 end - y.n_g / y.n)) as v
+       from n x join n y on x.a_group = y.a_group and x.time = y.time group by x.a_group, x.relation, y.relation),
+s as (select a.a_group, a.oe as d1, b.oe as d2, v1.v as v11, v2.v as v22, v12.v as v12, k
+      from (select *, max(i) over (partition by a_group) as k from oe) a
+      join vv v1 on v1.a_group = a.a_group and v1.r1 = a.relation and v1.r2 = a.relation
+      left join oe b on b.a_group = a.a_group and b.i = 2 and a.k = 3
+      left join vv v2 on v2.a_group = b.a_group and v2.r1 = b.relation and v2.r2 = b.relation
+      left join vv v12 on v12.a_group = a.a_group and v12.r1 = a.relation and v12.r2 = b.relation
+      where a.i = 1)
+select a_group, cast(k - 1 as int) as df,
+  round(case when k = 2 then d1 * d1 / v11 else (d1 * d1 * v22 - 2 * d1 * d2 * v12 + d2 * d2 * v11) / (v11 * v22 - v12 * v12) end, 4) as chisq,
+  case when k = 3 then round(exp(-(d1 * d1 * v22 - 2 * d1 * d2 * v12 + d2 * d2 * v11) / (v11 * v22 - v12 * v12) / 2), 4) end as p_two_df
+from s where k > 1
+""", extra_views={"sv": SV_SQL, "rel": _RELATION_SQL})
+def k18_logrank(spark, sf_dir):
+    """Log-rank of the relation (B shorter, same, longer) within the merged A groups {1,2}, {3,4}, {5,6}, {7}.
+
+    ``p_two_df`` is the p value where the test has two degrees of freedom (SQL has no tail for one); ``logrank_tests``
+    returns it for any.
+    """
+    b = surv_base(spark, sf_dir)
+    a, bb = bins.cut("pred_median", _BREAKS), bins.cut(F.col("n_visits") * 60.0, _BREAKS)
+    group = F.floor((F.least(a, F.lit(7)) + 1) / 2).cast("int")
+    rel = b.select("time", "event", group.alias("a_group"), bb.alias("_b"))
+    low = F.element_at(F.array(*[F.lit(x) for x in (-1, 2, 4, 6)]), F.col("a_group"))
+    high = F.element_at(F.array(*[F.lit(x) for x in (2, 4, 6, 999)]), F.col("a_group"))
+    rel = rel.select("time", "event", "a_group", F.when(F.col("_b") <= low, "Shorter").when(F.col("_b") <= high, "Same")
+                     .otherwise("Longer").alias("relation"))
+    rows = [(int(t["stratum"]), int(t["df"]), round(float(t["chisq"]), 4), round(float(t["p"]), 4) if t["df"] == 2 else None)
+            for t in sv.logrank_tests(rel, by="a_group", group="relation") if t["df"] > 0]
+    return spark.createDataFrame(rows, "a_group int, df int, chisq double, p_two_df double")

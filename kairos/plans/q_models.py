@@ -10,6 +10,7 @@ from kairos.operators import models as md
 from kairos.operators import scoring as sc
 from kairos.plans.q_cohort import _F1_SQL, _F4_SQL, _LONG_SQL
 from kairos.plans.q_survival import LAM_SQL, SV_SQL, surv_base
+from kairos.plans.q_text import _COUNTS_SQL as COUNTS_SQL, _VOCAB_SQL as VOCAB_SQL
 from kairos.plans.registry import query, r
 from kairos.sources.writers import persist_table
 
@@ -184,10 +185,11 @@ st as (select feature, category,
          case when category = 'event' then s / (select n from ntr) else m end as mean,
          case when category = 'event' then sqrt(greatest(ss / (select n from ntr) - pow(s / (select n from ntr), 2), 0e0)) else sdp end as std
        from a),
-dict as (select feature, row_number() over (order by feature) - 1 as idx from (select distinct feature from longf)),
-co as (select feature, ((idx % 7) - 3) / 10e0 as coef from dict),
-z as (select l.visit_id, l.feature, (l.value - st.mean) / st.std as z from longf l join st on st.feature = l.feature
-      where st.std > 1e-12),
+dict as (select feature, row_number() over (order by feature) - 1 as idx from st),
+co as (select dict.feature, ((idx % 7) - 3) / 10e0 as coef, case when category = 'event' then -mean / std else 0e0 end as fill_z,
+         mean, std from dict join st on st.feature = dict.feature where std > 1e-12),
+z as (select ev.visit_id, co.feature, case when l.value is null then co.fill_z else (l.value - co.mean) / co.std end as z
+      from ev cross join co left join longf l on l.visit_id = ev.visit_id and l.feature = co.feature),
 c as (select z.visit_id, z.feature, z.z * co.coef as contrib,
         case when z.z > 0 then ' +' else ' -' end || z.feature as s from z join co on co.feature = z.feature),
 k as (select *, row_number() over (partition by visit_id order by contrib desc, feature) as ru,
@@ -198,10 +200,12 @@ from k where ru <= 5 or rd <= 5 group by visit_id
 """, extra_views={"f1": _F1_SQL, "f4": _F4_SQL, "longf": _LONG_SQL})
 def i6_top_features(spark, sf_dir):
     from kairos.operators.running import dense_index
-    long, z, st = _long_z(spark, sf_dir)
-    coefs = dense_index(long, "feature", out="idx").select(
-        "feature", (((F.col("idx") % 7) - 3) / F.lit(10.0)).alias("coef"))
-    return sc.top_contributions(z, coefs, row_id=["visit_id"], k=5)
+    from kairos.sources import fixtures as fx
+    _, z, st = _long_z(spark, sf_dir)
+    st = persist_table(st, "feature_stats")  # one row per feature, used by both sides below
+    coefs = dense_index(st, "feature", out="idx").join(st.filter("include"), "feature").select(
+        "feature", (((F.col("idx") % 7) - 3) / F.lit(10.0)).alias("coef"), "fill_z")
+    return sc.top_contributions(z, coefs, fx.visits(spark, sf_dir), row_id=["visit_id"], k=5)
 
 
 # --- model fits (rows-only in the driver; checked by hand cases in tests) -------
@@ -218,28 +222,70 @@ def _patient_design(spark, sf_dir):
     return VectorAssembler(inputCols=["z_score", "z_visits"], outputCol="features").transform(b)
 
 
-@query("h3_discrete_time", "H3 H2")
+_INTERVAL_SQL = f"""
+select x.patient_id, i.k - 1 as interval, 1 as y from lab x, (select unnest(range(1, {len(_UP) + 1})) as k) i where x.s[i.k] = 1
+union all
+select x.patient_id, x.first_fail - 1, 0 from lab x where x.event and x.first_fail > 0
+"""
+
+
+@query("h3_discrete_time", "H3 H2", """
+select 'interval_' || interval as term, cast(count(*) as bigint) as n, round(sum(y) * 1e0, 3) + 0e0 as fitted, 0e0 as residual
+from iv group by interval having sum(y) > 0 and sum(y) < count(*)
+union all select 'z_score', cast(count(*) as bigint), null, 0e0 from iv
+union all select 'z_visits', cast(count(*) as bigint), null, 0e0 from iv
+""", extra_views={"sv": SV_SQL, "lab": _LABEL_SQL, "iv": _INTERVAL_SQL})
 def h3_discrete_time(spark, sf_dir):
+    """The optimality conditions of the fit, which SQL can check: with free baselines the fitted survivors of each
+    interval equal the observed ones, and the penalised gradient of each covariate is zero.
+
+    Intervals without a failure (or without a survivor) have no finite baseline and are left out.
+    """
+    from pyspark.ml.functions import vector_to_array
+    l2 = 0.1
     d = _patient_design(spark, sf_dir)
-    pi = md.person_intervals(d, time="time", event="event", keep=["patient_id", "features"])
-    base, w = md.fit_discrete_time(pi, n_intervals=len(_UP), l2=0.01)
-    rows = [(f"interval_{k}", float(v)) for k, v in enumerate(base)] + [("z_score", float(w[0])), ("z_visits", float(w[1]))]
-    return spark.createDataFrame(rows, "term string, coef double")
+    pi = persist_table(md.person_intervals(d, time="time", event="event", keep=["patient_id", "features"]), "person_intervals")
+    base, w = md.fit_discrete_time(pi, n_intervals=len(_UP), l2=l2)
+    p = md.interval_probs(pi, base, w).withColumn("p", F.element_at("probs", F.col("interval") + 1)) \
+        .withColumn("x", vector_to_array("features"))
+    per = p.groupBy("interval").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("fitted"), F.sum("y").alias("_y"))
+    rows = per.filter("_y > 0 and _y < n").select(
+        F.concat(F.lit("interval_"), F.col("interval").cast("string")).alias("term"), "n", r("fitted", 3).alias("fitted"), F.lit(0.0).alias("residual"))
+    for k, term in enumerate(("z_score", "z_visits")):
+        grad = F.sum((F.col("p") - F.col("y")) * F.col("x")[k]) / F.count(F.lit(1)) + F.lit(l2 * float(w[k]))
+        rows = rows.unionByName(p.agg(F.count(F.lit(1)).alias("n"), r(grad, 6).alias("residual")).select(
+            F.lit(term).alias("term"), "n", F.lit(None).cast("double").alias("fitted"), (F.col("residual") + F.lit(0.0)).alias("residual")))
+    return rows
+
+
+COX_FOLDS = 10
+# The penalty sequence of the ridge Cox fit, 10^5 down to 10^-3 in steps of a tenth of the exponent.
+COX_LAMBDAS = tuple(10.0 ** (5 - k / 10) for k in range(81))
 
 
 @query("h4_cox_landmark", "H4 E5")
 def h4_cox_landmark(spark, sf_dir):
-    from kairos.plans.q_cohort import _visits_time1
+    """Ridge Cox over the landmark set: the penalty chosen by patient-grouped cross-validation (10 folds x 81 penalties),
+    its coefficients, and the optimality condition of each (the penalised score, which is zero)."""
     from kairos.operators.cohort import landmark_set
+    from kairos.operators.dedup import fold_of
+    from kairos.plans.q_cohort import _visits_time1
     from kairos.sources import fixtures as fx
     ls = landmark_set(_visits_time1(spark, sf_dir), fu="days_to_last")
-    p = fx.patients(spark, sf_dir).select("patient_id", ((F.col("score_a")) / F.lit(1000.0)).alias("x_score"))
+    p = fx.patients(spark, sf_dir).select("patient_id", (F.col("score_a") / F.lit(1000.0)).alias("x_score"))
     d = ls.join(p, "patient_id").withColumn("lm", F.col("landmark") / F.lit(365.0)) \
-        .withColumn("lm2", F.col("lm") * F.col("lm"))
-    fit = md.cox_fit(d, time="fu_time", event="dead", features=["x_score", "lm", "lm2"], l2=1.0,
-                     penalty_factor=[1.0, 0.0, 0.0])
-    rows = [(n, float(b)) for n, b in zip(["x_score", "lm", "lm2"], fit["beta"])]
-    return spark.createDataFrame(rows, "term string, coef double")
+        .withColumn("lm2", F.col("lm") * F.col("lm")).withColumn("fold", fold_of("patient_id", COX_FOLDS))
+    names = ["x_score", "lm", "lm2"]
+    d = persist_table(d.select("fu_time", "dead", "fold", *names), "cox_rows")
+    cv = md.cox_cv(d, time="fu_time", event="dead", features=names, fold="fold", n_folds=COX_FOLDS, lambdas=COX_LAMBDAS,
+                   penalty_factor=[1.0, 0.0, 0.0])  # landmark terms are not shrunk
+    base = d.select(F.col("fu_time").cast("double").alias("_t"), F.col("dead").cast("int").alias("_d"),
+                    *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(names)])
+    g, _, _ = md._cox_step(base, cv["beta"], len(names))
+    score = g - cv["l2"] * cv["pf"] * cv["beta"]
+    rows = [(n, float(b), round(float(x) / cv["n"], 6) + 0.0) for n, b, x in zip(names, cv["beta"], score)]
+    rows += [("lambda", cv["lambda"], None)]
+    return spark.createDataFrame(rows, "term string, value double, score double")
 
 
 @query("h7_glm_lr_test", "H7")
@@ -252,70 +298,45 @@ def h7_glm_lr_test(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, value double")
 
 
+_LAMBDA_SQL = """
+select y.note_id, y.label, c.term, c.cnt * 1e0 as x
+from (select note_id, surv_12mo * 1e0 as label from note_outcome where is_train) y join counts c on c.note_id = y.note_id
+join vocab v on v.term = c.term
+"""
+
+
+@query("h1_lambda_max", "H1 S13", """
+with t as (select note_id, surv_12mo * 1e0 as label from note_outcome where is_train),
+g as (select count(*) as n, avg(label) as ybar from t),
+f as (select term, sum(x) / max(g.n) as mx, sqrt(greatest(sum(x * x) / max(g.n) - pow(sum(x) / max(g.n), 2), 0e0)) as sx,
+        sum(x * label) / max(g.n) as xy, max(g.ybar) as ybar from xs, g group by term)
+select cast((select n from g) as bigint) as n_rows, cast(count(*) as bigint) as n_features,
+  round(max(case when sx > 0 then abs(xy - mx * ybar) / sx end), 6) as lambda_max
+from f
+""", extra_views={"counts": COUNTS_SQL, "vocab": VOCAB_SQL, "xs": _LAMBDA_SQL})
+def h1_lambda_max(spark, sf_dir):
+    """Start of the L1 path over all vocabulary terms of the training notes, from one aggregate per term."""
+    from kairos.plans.q_text import VOCAB_N, _vocab
+    from kairos.operators import text as tops
+    from kairos.sources import fixtures as fx
+    n = fx.notes(spark, sf_dir)
+    y = fx.note_outcome(spark, sf_dir).filter("is_train").select("note_id", F.col("surv_12mo").cast("double").alias("label"))
+    x = tops.vocab_counts(n.join(y.select("note_id"), "note_id", "left_semi"), _vocab(n, VOCAB_N, materialize=True))
+    res = md.lambda_max_long(x.withColumn("value", F.col("count").cast("double")), y, row_id="note_id", feature="term")
+    return res.select("n_rows", "n_features", r("lambda_max", 6).alias("lambda_max"))
+
+
 @query("h1_lasso_path", "H1 S13")
 def h1_lasso_path(spark, sf_dir):
     from kairos.plans.q_metrics import evaluable
     d = _patient_design(spark, sf_dir)
     ev = evaluable(spark, sf_dir).select("patient_id", F.col("died_1y").cast("double").alias("label"))
     d = d.join(ev, "patient_id")
-    lmax = md.lambda_max(d, features=["z_score", "z_visits"], label="label")
-    lambdas = [lmax * (0.001 ** (i / 9)) for i in range(10)] if lmax > 0 else [0.0]
+    long = d.select("patient_id", F.explode(F.array(F.struct(F.lit("z_score").alias("f"), F.col("z_score").alias("v")),
+                                                    F.struct(F.lit("z_visits").alias("f"), F.col("z_visits").alias("v")))).alias("e"))
+    lmax = md.lambda_max_long(long.select("patient_id", F.col("e.f").alias("feature"), F.col("e.v").alias("value")),
+                              d.select("patient_id", "label"), row_id="patient_id").first()["lambda_max"] or 0.0
+    lambdas = [lmax * (0.001 ** (i / 80)) for i in range(81)] if lmax > 0 else [0.0]
     path = md.lasso_path(d, lambdas=lambdas)
-    rows = [(float(p["lambda"]), int(p["df"])) for p in path]
-    return spark.createDataFrame(rows, "lambda double, df int")
-
-
-@query("h5_cv_l2", "H5 D10 J5 H8")
-def h5_cv_l2(spark, sf_dir):
-    from kairos.operators.dedup import fold_of
-    from kairos.operators.survival import cindex
-    d = _patient_design(spark, sf_dir).withColumn("fold", fold_of("patient_id", 3))
-    out = []
-    for l2 in (0.01, 0.1):
-        for k in (1, 2, 3):
-            tr, te = d.filter(F.col("fold") != k), d.filter(F.col("fold") == k)
-            pi = md.person_intervals(tr, time="time", event="event", keep=["features"])
-            base, w = md.fit_discrete_time(pi, n_intervals=len(_UP), l2=l2)
-            sc_te = md.interval_probs(te, base, w)
-            s, f = md.label_arrays("time", "event")
-            sc_te = sc_te.withColumn("loss", md.surv_loss(F.col("probs"), s, f)) \
-                .withColumn("s1y", sc.survival_at_break(sc.cumulative_curve("probs"), sc.BREAKS, 365))
-            sc_te = persist_table(sc_te.select("time", "event", "loss", "s1y"), "cv_scores")  # evaluated twice
-            loss = sc_te.agg(F.avg("loss")).first()[0]
-            ci = cindex(sc_te, time="time", event="event", score="s1y").first()["cindex"]
-            out.append((float(l2), int(k), float(loss), float(ci)))
-    return spark.createDataFrame(out, "l2 double, fold int, loss double, cindex double")
-
-
-@query("h6_ablation", "H6 J5")
-def h6_ablation(spark, sf_dir):
-    from kairos.operators.survival import cindex
-    d = _patient_design(spark, sf_dir)
-    out = []
-    for name, cols in (("score", ["z_score"]), ("visits", ["z_visits"])):
-        dd = VectorAssembler(inputCols=cols, outputCol="fx").transform(d).drop("features").withColumnRenamed("fx", "features")
-        pi = md.person_intervals(dd, time="time", event="event", keep=["features"])
-        base, w = md.fit_discrete_time(pi, n_intervals=len(_UP), l2=0.01)
-        scd = md.interval_probs(dd, base, w).withColumn(
-            "s1y", sc.survival_at_break(sc.cumulative_curve("probs"), sc.BREAKS, 365))
-        scd = persist_table(scd.select("time", "event", "s1y"), "ablation_scores")
-        out.append((name, float(cindex(scd, time="time", event="event", score="s1y").first()["cindex"])))
-    return spark.createDataFrame(out, "source string, cindex double")
-
-
-@query("i7_score_cohort", "I7 E7 I1 I2 I3")
-def i7_score_cohort(spark, sf_dir):
-    """Score a second cohort (urgent visits as treatment dates, and 14 days earlier) with
-    the model and standardisation fitted on the training patients."""
-    from kairos.operators.cohort import shifted_evals
-    from kairos.sources import fixtures as fx
-    d = _patient_design(spark, sf_dir)
-    pi = md.person_intervals(d.filter(F.col("patient_id") % 10 < 8), time="time", event="event", keep=["features"])
-    base, w = md.fit_discrete_time(pi, n_intervals=len(_UP), l2=0.01)
-    tx = fx.visits(spark, sf_dir).filter(F.col("visit_type") == "1-URGENT")
-    ev = shifted_evals(tx, date="visit_date").join(d.select("patient_id", "features"), "patient_id")
-    s = md.interval_probs(ev, base, w).withColumn("curve", sc.cumulative_curve("probs"))
-    return s.select("patient_id", "eval_date", "eval_date_shifted", sc.median_survival("curve").alias("median_pred_surv"),
-                    sc.survival_at_day("curve", 182).alias("pred_6mo_surv"),
-                    sc.survival_at_day("curve", 365).alias("pred_1yr_surv"))
-
+    at = md.select_lambda(path, rule="index", index=30)
+    return spark.createDataFrame([(float(p["lambda"]), int(p["df"]), i == at) for i, p in enumerate(path)], "lambda double, df int, chosen boolean")

@@ -198,11 +198,12 @@ def b_unpivot_labs_vitals(spark, sf_dir):
 
 @query("b_split_folds", "D9 D10", f"""
 select patient_id,
-  case when {dedup.id_hash_sql('patient_id')} % 100 < 80 then 0 else 2 end as split,
+  case when cluster_id = 7 then 3 when {dedup.id_hash_sql('patient_id')} % 100 < 80 then 0 else 2 end as split,
   cast({dedup.id_hash_sql('patient_id')} % 10 + 1 as int) as fold
 from patients
 """)
 def b_split_folds(spark, sf_dir):
     p = fx.patients(spark, sf_dir)
-    return p.select("patient_id", dedup.split_label("patient_id").alias("split"),
+    # the final test set is a fixed list of patients: here those of one cluster
+    return p.select("patient_id", dedup.split_label("patient_id", held_out=F.col("cluster_id") == 7).alias("split"),
                     dedup.fold_of("patient_id", 10).alias("fold"))

@@ -21,11 +21,11 @@ from kairos.sources import writers as wr
 
 @query("a2_parquet_roundtrip", "A2", """
 select visit_type, cast(count(*) as bigint) as n, min(visit_date) as first_date, max(visit_date) as last_date
-from visits where visit_type in ('1-URGENT', '2-HIGH') group by visit_type
+from visits group by visit_type
 """)
 def a2_parquet_roundtrip(spark, sf_dir):
     path = wr.write_parquet(fx.visits(spark, sf_dir), wr.shared_path(spark, "visits"), partition_by=["visit_type"])
-    back = rd.read_parquet(spark, path).filter(F.col("visit_type").isin("1-URGENT", "2-HIGH"))  # partition pruning
+    back = rd.read_parquet(spark, path)
     return back.groupBy("visit_type").agg(F.count(F.lit(1)).alias("n"), F.min("visit_date").alias("first_date"),
                                           F.max("visit_date").alias("last_date"))
 
@@ -47,21 +47,23 @@ def a3_a7_csv_roundtrip(spark, sf_dir):
 
 
 @query("a6_extracts", "A6 D6 B10", """
-select patient_id, visit_id, date '1995-12-31' as file_date, visit_date as appointment
-from visits where year(visit_date) = 1995
-union all
-select patient_id, visit_id, date '1996-12-31', date '1996-12-31' + 4 from visits where year(visit_date) = 1996
+select patient_id, visit_id, make_date(year(visit_date), 12, 31) as file_date,
+  case when year(visit_date) % 2 = 1 then visit_date else make_date(year(visit_date), 12, 31) + 4 end as appointment
+from visits
 """)
 def a6_extracts(spark, sf_dir):
-    v = fx.visits(spark, sf_dir)
+    """One extract per year of visits; those of even years have no appointment column."""
+    v = fx.visits(spark, sf_dir).withColumn("y", F.year("visit_date")).withColumn("file", F.concat(F.col("y").cast("string"), F.lit("1231")))
     base = wr.shared_path(spark, "extracts")
-    e1 = v.filter(F.year("visit_date") == 1995).select("patient_id", "visit_id", F.col("visit_date").alias("appointment"))
-    e2 = v.filter(F.year("visit_date") == 1996).select("patient_id", "visit_id")  # no appointment column
-    p1, p2 = f"{base}/extract_19951231", f"{base}/extract_19961231"
-    e1.write.mode("overwrite").option("header", True).csv(p1)
-    e2.write.mode("overwrite").option("header", True).csv(p2)
-    out = rd.read_extracts(spark, [p1, p2], {"patient_id": "bigint", "visit_id": "bigint", "appointment": "date"},
-                           date_pattern=r"extract_(\d{8})", fill_missing={"appointment": 4})
+    years = sorted(r["y"] for r in v.select("y").distinct().collect())  # calendar years
+    paths = []
+    for odd in (1, 0):
+        cols = ["patient_id", "visit_id", "file", *([F.col("visit_date").alias("appointment")] if odd else [])]
+        e = v.filter(F.col("y") % 2 == odd).select(*cols)
+        e.write.mode("overwrite").option("header", True).partitionBy("file").csv(f"{base}/extract{odd}")
+        paths += [f"{base}/extract{odd}/file={y}1231" for y in years if y % 2 == odd]
+    out = rd.read_extracts(spark, paths, {"patient_id": "bigint", "visit_id": "bigint", "appointment": "date"},
+                           date_pattern=r"/file=(\d{8})", fill_missing={"appointment": 4})
     return out.select("patient_id", "visit_id", "file_date", "appointment")
 
 

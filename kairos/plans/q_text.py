@@ -13,8 +13,7 @@ from kairos.sources import fixtures as fx
 TOKENS_SQL = r"regexp_extract_all(lower(note_text), '[\p{L}\p{N}_]{2,}')"
 # unigrams + bigrams of a token list t (DuckDB lists are 1-based)
 NGRAMS_SQL = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
-VOCAB_N = 10000
-FEATURE_N = 200
+VOCAB_N = 10000  # the vocabulary parameter of the vectoriser
 
 
 def _train_notes(notes):
@@ -82,7 +81,7 @@ select note_id, md5(array_to_string(list_transform(runs, lambda x, i:
 from r
 """)
 def g4_number_words(spark, sf_dir):
-    n = tops.spread_docs(fx.notes(spark, sf_dir).select("note_id", "note_text"))
+    n = fx.notes(spark, sf_dir).select("note_id", "note_text")
     return n.select("note_id", F.md5(tx.numbers_to_words("note_text")).alias("text_md5"))
 
 
@@ -116,7 +115,7 @@ def g5_clean_tokens(spark, sf_dir):
     toks = notes.select(F.explode(F.split("note_text", r"\s+")).alias("t")).filter(F.length("t") > 0) \
         .select(F.lower("t").alias("token"))
     stop = top_n_by_frequency(toks, "token", 5).select("token")
-    out = tops.clean_tokens(notes, lem, stop)
+    out = tops.clean_tokens(notes, lem, F.broadcast(stop))  # five rows
     return out.select("note_id", F.md5("clean_text").alias("text_md5"))
 
 
@@ -157,9 +156,14 @@ def _vocab(notes, n_terms, materialize: bool = False):
     return v
 
 
-def _persisted_counts(notes, vocab):
+def _counts_and_vocab(notes):
+    """(doc-term counts within the vocabulary, vocabulary): the notes are read and tokenised once, the counts written
+    once, and the vocabulary of the training notes comes from the written counts."""
     from kairos.sources.writers import persist_table
-    return persist_table(tops.vocab_counts(notes, vocab), "doc_term_counts")
+    counts = persist_table(tops.term_counts(notes), "doc_term_counts")
+    v = tops.vocabulary(counts.filter(F.col("note_id") % 10 < 8), max_features=VOCAB_N)
+    v = persist_table(v, "vocab")
+    return counts.join(F.broadcast(v.select("term")), "term", "left_semi"), v  # VOCAB_N rows at most
 
 
 @query("g7_vocabulary", "G7", """
@@ -184,8 +188,8 @@ from x join nm on nm.note_id = x.note_id group by x.note_id
 def g8_tfidf(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
     tr = _train_notes(n)
-    v = _vocab(n, VOCAB_N, materialize=True)
-    t = tops.tfidf(_persisted_counts(n, v), v, train_docs=tr)
+    c, v = _counts_and_vocab(n)
+    t = tops.tfidf(c, v, train_docs=tr)
     return t.groupBy("note_id").agg(F.count(F.lit(1)).alias("n_terms"), r(F.sum("tfidf"), 6).alias("sum_tfidf"),
                                     r(F.max("tfidf"), 6).alias("max_tfidf"))
 
@@ -210,8 +214,7 @@ from z group by term
 def g9_g11_term_frequency(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
     tr = _train_notes(n)
-    v = _vocab(n, VOCAB_N, materialize=True)
-    c = _persisted_counts(n, v)
+    c, v = _counts_and_vocab(n)
     edited = v.select(F.col("term").alias("feature"),
                       F.when(F.col("term").rlike("[0-9]") | (F.length("term") < 3), 1).otherwise(0).alias("exclude"))
     docs = tops.with_word_count(n)
@@ -222,16 +225,10 @@ def g9_g11_term_frequency(spark, sf_dir):
                                  r(F.sum(F.when(is_tr, F.col("tf")).otherwise(F.lit(0.0))), 6).alias("sum_train"))
 
 
-_FEAT_SQL = f"""
-select term from (select term, sum(cnt) as total from counts where note_id % 10 < 8 group by term
-                  order by total desc, term limit {FEATURE_N})
-"""
-
-
 @query("f3_decayed_terms", "F3 G9 C5", """
 with wc as (select note_id, patient_id, update_date, length(note_text) - length(replace(note_text, ' ', '')) - 1 as word_count
             from notes where length(note_text) - length(replace(note_text, ' ', '')) - 1 >= 10),
-tf as (select c.note_id, c.term, c.cnt / wc.word_count as tf from counts c join feats f on f.term = c.term
+tf as (select c.note_id, c.term, c.cnt / wc.word_count as tf from counts c join vocab f on f.term = c.term
        join wc on wc.note_id = c.note_id),
 p as (select v.visit_id, wc.note_id, pow(2e0, -datediff('day', wc.update_date, v.visit_date) / 30e0) as w
       from visits v join wc on wc.patient_id = v.patient_id and wc.update_date <= v.visit_date
@@ -239,11 +236,10 @@ p as (select v.visit_id, wc.note_id, pow(2e0, -datediff('day', wc.update_date, v
 t as (select visit_id, sum(w) as tw from p group by visit_id)
 select p.visit_id, tf.term, round(sum(p.w / t.tw * tf.tf), 6) as value
 from p join t on t.visit_id = p.visit_id join tf on tf.note_id = p.note_id group by p.visit_id, tf.term
-""", extra_views={"counts": _COUNTS_SQL, "feats": _FEAT_SQL})
+""", extra_views={"counts": _COUNTS_SQL, "vocab": _VOCAB_SQL})
 def f3_decayed_terms(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
-    feats = _vocab(n, FEATURE_N, materialize=True)
-    c = _persisted_counts(n, feats)
+    c, feats = _counts_and_vocab(n)
     docs = tops.with_word_count(n)
     tf = tops.term_frequency(c, docs, feats).select("note_id", "term", F.col("tf").alias("value"))
     out = pit.decayed_term_mean(fx.visits(spark, sf_dir), docs, tf, note_time="update_date")

@@ -39,8 +39,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster setting is always used when present. Only when it is unset
-    (local tests) a fresh folder under the system temp dir is created.
+    The cluster setting is always used when present. Without it a cluster
+    session raises: driver and executors would each see a folder of their own.
+    Only a local session (one machine, one JVM, as in tests) gets a fresh
+    folder under the system's temporary one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,11 +50,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="kairos-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def is_local(master: str) -> bool:
+    """Whether a master runs everything in one JVM (``local-cluster`` does not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def apply_session_defaults(spark: SparkSession) -> None:
     """Apply the runtime-settable defaults to an existing session."""
     for k, v in DEFAULT_CONF.items():

@@ -102,13 +102,19 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    """Notes of every tenth customer, so patients with notes grow with the data and notes per patient do not.
+
+    Consecutive pairs of a patient's notes share their days.
+    """
+    n = table(spark, sf_dir, "customer").agg(F.greatest(F.floor(F.count(F.lit(1)) / 10), F.lit(1)).alias("np")).scalar()
+    d = table(spark, sf_dir, "documents").withColumn("_np", n)
     k = F.col("doc_id")
+    slot, pair = k % F.col("_np"), F.expr("doc_id div _np div 2")
+    day = ((pair * 791 + slot * 37) % 2400).cast("int")
     base = F.lit("1995-01-01").cast("date")
     return d.select(
-        k.alias("note_id"), (k % 100).alias("patient_id"),
-        F.date_add(base, ((k * 7919) % 2400).cast("int")).alias("contact_date"),
-        F.date_add(base, ((k * 7919) % 2400 + k % 3).cast("int")).alias("update_date"),
+        k.alias("note_id"), (slot * 10 + 1).alias("patient_id"), F.date_add(base, day).alias("contact_date"),
+        F.date_add(base, (day + pair % 3).cast("int")).alias("update_date"),
         F.col("source").alias("department"), F.col("text").alias("note_text"))
 
 

@@ -22,6 +22,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/kairos-tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables this session has written under its checkpoint folder; for callers that are done with them."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/kairos-tables")
+    path.getFileSystem(conf).delete(path, True)
+
+
 def write_parquet(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), mode: str = "overwrite") -> str:
     """Parquet (array columns kept), optionally partitioned by columns."""
     w = df.write.mode(mode)

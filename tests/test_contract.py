@@ -13,12 +13,6 @@ from kairos.sources.fixtures import TABLES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
-# a spread of query families; the full list runs with KAIROS_FULL_CONTRACT=1
-FAST = ["f1_decayed_labs", "f4_event_tiers", "e4_landmarks", "e5_landmark_set", "c9_course_dedup",
-        "d13_encode", "j1_km", "j5_cindex", "k1_auc_delong", "g4_number_words", "g7_vocabulary",
-        "i2_median", "b_quantile_bins", "a6_extracts"]
-
-
 def _norm(v):
     if v is None:
         return "null"
@@ -53,10 +47,7 @@ def test_registry_covers_every_oracle():
     assert set(o) <= set(q) and len(q) >= 100
 
 
-NAMES = sorted(se.oracle_sql()) if os.environ.get("KAIROS_FULL_CONTRACT") else FAST
-
-
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(se.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = se.queries()[name](spark, SF)
     res = con.execute(se.oracle_sql()[name])

@@ -1,6 +1,8 @@
 """AUC, DeLong, clustered AUC, ROC and threshold metrics against hand cases / brute force."""
 
 import math
+
+import pytest
 import random
 
 from pyspark.sql import functions as F
@@ -66,11 +68,15 @@ def test_threshold_metrics(spark):
     assert math.isclose(t["dor"], 15.0)
 
 
-def test_matched_threshold_strict(spark):
-    d = spark.createDataFrame([(x,) for x in [5.0, 4.0, 4.0, 3.0, 1.0]], "s double")
-    th = mt.matched_threshold(d, score="s", k=2).first()
-    assert th["threshold"] == 4.0
-    assert d.filter(F.col("s") > th["threshold"]).count() == 1  # ties at the k-th value are not flagged
+@pytest.mark.parametrize("scores, k, threshold, flagged", [
+    ([5.0, 4.0, 4.0, 3.0, 1.0], 2, 4.0, 1),       # the cut falls into a tie: fewer than k
+    ([5.0, 4.0, 3.5, 3.0, 1.0], 2, 3.5, 2),       # without ties exactly k
+    ([5.0, 4.0, 3.0], 0, 5.0, 0), ([5.0, 4.0, 3.0], 3, None, 3), ([2.0, 2.0], 1, 2.0, 0),
+])
+def test_matched_threshold(spark, scores, k, threshold, flagged):
+    d = spark.createDataFrame([(x,) for x in scores], "s double")
+    got = mt.matched_threshold(d, score="s", k=spark.range(1).select(F.lit(k).cast("long"))).first()
+    assert (got["k"], got["threshold"], got["n_flagged"]) == (k, threshold, flagged)
 
 
 def test_crosstab_zero_cells_and_chi2(spark):

@@ -3,6 +3,8 @@
 import math
 import os
 import random
+
+import pytest
 import tempfile
 
 import numpy as np
@@ -85,6 +87,21 @@ def test_discrete_time_fit_recovers_direction(spark):
     assert w[0] < -0.3  # higher hazard -> lower interval survival probability
 
 
+@pytest.mark.parametrize("l2", [0.0, 0.01, 0.1, 10.0])
+def test_discrete_time_baselines_are_free(spark, l2):
+    """Without covariates the baseline of an interval is logit(share that survives it), whatever the penalty."""
+    rows = [(k % 3, float(k % 20 != 0), 0.0) for k in range(600)]  # 95 % survive each interval: logit 2.944
+    pi = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(rows, "interval int, y double, x double"))
+    base, w = md.fit_discrete_time(pi, n_intervals=3, l2=l2)
+    assert [round(b, 3) for b in base] == [2.944] * 3 and abs(w[0]) < 1e-6
+
+
+def test_cox_that_does_not_converge_raises(spark):
+    df = spark.createDataFrame([(float(k), k % 2, float(k % 7)) for k in range(60)], "t double, d int, x double")
+    with pytest.raises(RuntimeError, match="converge"):
+        md.cox_fit(df, time="t", event="d", features=["x"], l2=0.1, max_iter=1)
+
+
 def test_glm_lr_test(spark):
     rng = random.Random(5)
     rows = [(rng.choice("abc"), rng.choice("xy")) for _ in range(400)]
@@ -99,7 +116,11 @@ def test_lambda_max_zeroes_all(spark):
     rows = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(300)]
     rows = [(a, b, float(rng.random() < 1 / (1 + math.exp(-a)))) for a, b in rows]
     df = spark.createDataFrame(rows, "a double, b double, label double")
-    lm = md.lambda_max(df, features=["a", "b"], label="label")
+    from pyspark.sql import functions as F
+    df = df.withColumn("id", F.monotonically_increasing_id())
+    long = df.select("id", F.explode(F.array(F.struct(F.lit("a").alias("feature"), F.col("a").alias("value")),
+                                             F.struct(F.lit("b").alias("feature"), F.col("b").alias("value")))).alias("e")).select("id", "e.*")
+    lm = md.lambda_max_long(long, df, row_id="id").first()["lambda_max"]
     d = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
     path = md.lasso_path(d, lambdas=[lm * 1.01, lm * 0.05])
     assert path[0]["df"] == 0 and path[1]["df"] >= 1
@@ -138,3 +159,32 @@ def test_persist_table_under_checkpoint_dir(spark):
     files = back.inputFiles()
     assert files and all(spark.sparkContext.getCheckpointDir().replace("file:", "") in f.replace("file:", "")
                          for f in files)
+
+
+def test_cox_cv_against_separate_fits(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        x, z = rng.gauss(0, 1), rng.gauss(0, 1)
+        t = rng.expovariate(math.exp(0.7 * x) / 300.0)
+        rows.append((round(min(t, 900.0), 0), int(t < 900.0), x, z, k % 3 + 1))
+    df = spark.createDataFrame(rows, "t double, d int, x double, z double, fold int")
+    lambdas, pf = [10.0, 0.1, 0.001], [1.0, 0.0]
+    cv = md.cox_cv(df, time="t", event="d", features=["x", "z"], fold="fold", n_folds=3, lambdas=lambdas, penalty_factor=pf)
+    t, d, X = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([[r[2], r[3]] for r in rows]))
+    fold = np.array([r[4] for r in rows])
+
+    def loglik(at, b):
+        xb = X[at] @ b
+        return sum(xb[i] - np.log(np.exp(xb[t[at] >= t[at][i]]).sum()) for i in range(len(xb)) if d[at][i])
+
+    want = []
+    for lam in lambdas:
+        total = 0.0
+        for k in (1, 2, 3):
+            at = fold != k
+            b = _cox_numpy(t[at], d[at], X[at], at.sum() * lam / 2, np.array([2.0, 0.0]))
+            total += loglik(np.ones(len(t), bool), b) - loglik(at, b)
+        want.append(total)
+    assert np.allclose(cv["criterion"], want, rtol=1e-6) and cv["best"] == int(np.argmax(want))
+    assert np.allclose(cv["beta"], _cox_numpy(t, d, X, len(t) * lambdas[cv["best"]] / 2, np.array([2.0, 0.0])), atol=1e-6)

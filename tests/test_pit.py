@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from kairos.operators import pit
@@ -144,3 +146,43 @@ def test_hot_patient_third_of_rows(spark):
         got = {(r[0], r[1]): r[2] for r in pit.decayed_mean(ev, labs, salt=salt).collect()}
         assert got.keys() == exp.keys()
         assert all(math.isclose(got[k], exp[k], rel_tol=1e-9) for k in exp)
+
+
+@pytest.mark.parametrize("h", [1.0, 30.0])
+@pytest.mark.parametrize("bucket_days", [None, 20])
+def test_unbounded_survives_sentinel_dates(spark, h, bucket_days):
+    """A 1900 date, events thousands of half-lives apart, and a visit long after the last event stay finite and right."""
+    days = [D(1900, 1, 1), D(2019, 12, 1), D(2020, 1, 1)]
+    labs = spark.createDataFrame([(1, 0, days[0], 3.0), (1, 0, days[2], 7.0), (1, 1, days[0], 5.0), (1, 2, days[1], 1.0), (1, 2, days[2], 2.0)],
+                                 "patient_id long, component_id long, result_date date, value double")
+    ev = _evals(spark, [(1, 1, D(2020, 2, 1)), (1, 2, D(1950, 1, 1)), (1, 3, D(1899, 1, 1)), (1, 4, days[2])])
+    got = {(r[0], r[1]): r[2] for r in pit.decayed_mean_unbounded(ev, labs, half_life_days=h, bucket_days=bucket_days).collect()}
+    w = 2.0 ** (-31 / h)
+    both = (w * 1.0 + 2.0) / (w + 1.0)
+    want = {(1, 0): 7.0, (1, 1): 5.0, (1, 2): both, (2, 0): 3.0, (2, 1): 5.0, (4, 0): 7.0, (4, 1): 5.0, (4, 2): both}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_range_join_lets_spark_split_a_hot_key(spark):
+    """Two thirds of all events are one patient's: the executed plan of the range join is a skew join."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8",
+            "spark.sql.files.maxPartitionBytes": "64k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 60_000
+        p = F.when(F.col("id") % 3 == 0, F.col("id") % 500).otherwise(F.lit(7))
+        e = spark.range(0, n, 1, 16).select(p.alias("patient_id"), F.lit(D(2020, 3, 1)).alias("result_date"), F.xxhash64("id").alias("x"),
+                                            F.sha2(F.col("id").cast("string"), 512).alias("pad"))
+        ev = spark.range(500).select(F.col("id").alias("patient_id"), F.col("id").alias("visit_id"), F.lit(D(2020, 4, 1)).alias("visit_date"))
+        j = pit.range_join(ev, e, key="patient_id", eval_time="visit_date", event_time="result_date", lookback_days=365)
+        rows = j.collect()
+        assert len(rows) == n
+        assert "skew=true" in j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

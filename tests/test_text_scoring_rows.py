@@ -145,3 +145,33 @@ def test_split_hash_is_stable(spark):
     a = {r["pid"]: r["s"] for r in d.select("pid", dedup.split_label("pid").alias("s")).collect()}
     b = {r["pid"]: r["s"] for r in d.repartition(7).select("pid", dedup.split_label("pid").alias("s")).collect()}
     assert a == b and 700 < sum(1 for v in a.values() if v == 0) < 900
+
+
+def test_number_words_are_linear_in_the_note(spark):
+    """A note of 100 KB full of digit runs takes about as long as its parts."""
+    import time
+    from kairos.functions.text import numbers_to_words
+    d = spark.createDataFrame([("dose 12 of 3 and 45.7 for 100 days, 1,000 mg " * 2200,)], "t string")
+    t = time.time()
+    out = d.select(numbers_to_words("t").alias("t")).first()["t"]
+    assert time.time() - t < 5 and "dose ten of three and forty for onehundred days" in out
+
+
+def test_buckets_split_strings_with_a_common_prefix(spark):
+    from kairos.operators.running import bucket_bounds
+    d = spark.range(2000).select(F.format_string("event:diagnosis_%05d", "id").alias("s"))
+    b = d.withColumn("_b", bucket_bounds(d, "s", 16)).select("s", F.size(F.filter("_b", lambda x: x < F.col("s"))).alias("k"))
+    sizes = [r["count"] for r in b.groupBy("k").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 400
+    idx = {r["s"]: r["index"] for r in dense_index(d, "s").collect()}
+    assert all(idx[s] == k for k, s in enumerate(sorted(idx)))
+
+
+def test_top_contributions_rank_absent_features(spark):
+    """The full standardised row is ranked: features a row does not hold count with their fill value."""
+    from kairos.operators.scoring import top_contributions
+    coefs = spark.createDataFrame([("a", 1.0, 0.0), ("b", 2.0, -0.5), ("c", -1.0, -2.0), ("d", 0.5, 0.0)], "feature string, coef double, fill_z double")
+    z = spark.createDataFrame([(1, "a", 3.0), (1, "b", 1.0), (2, "c", 1.0)], "visit_id long, feature string, z double")
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "visit_id long")
+    got = {r["visit_id"]: (r["improve_feats"], r["worsen_feats"]) for r in top_contributions(z, coefs, rows, row_id=["visit_id"], k=2).collect()}
+    assert got == {1: (" +a +b", " -d +b"), 2: (" -a -d", " -b +c"), 3: (" -c -a", " -b -a")}
