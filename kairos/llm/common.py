@@ -17,8 +17,8 @@ from kairos.sources.writers import persist_table, shared_path
 
 #: Bytes of text a worker looks at together (a single longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
-#: Rows of an Arrow batch; with texts of a few kB a batch stays near 10 MB.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 50_000, 8 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -27,6 +27,7 @@ _INV = pow(_BASE, -1, 1 << 64)
 def small_batches(spark: SparkSession) -> None:
     """Set the batch size that text operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,11 @@ def shared(df: DataFrame, name: str) -> DataFrame:
     return persist_table(df, f"llm-{name}")
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """A join side that grows with the corpus: never broadcast, however small it is here, so plans are alike at every size."""
+    return df.hint("merge")
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like ``shared``, as a table bucketed by ``key``: joins on it don't move the table again."""
     spark = df.sparkSession

@@ -2,13 +2,16 @@
 
 Encoding:
 
-1. Split texts into pre-tokens. A block (a few MB of whole documents of one
-   task) explodes into its distinct words, each once, and per document the
-   positions: the word numbers of its pre-tokens in order, compressed. So
-   what is shuffled is a word per block, never a row per occurrence.
-2. Distinct words of all blocks meet in one shuffle and each is encoded once.
-3. The ids join back on the word, go to their block, and the documents are
-   reassembled there by position, streamed: a worker holds one block's words.
+1. **Explode.** Texts split into pre-tokens. A block (a few MB of whole
+   documents of one task) keeps its distinct words, each once, and the
+   positions: the word numbers of all its pre-tokens in order. So what is
+   shuffled is a word per block, never a row per occurrence, and packed: one
+   row per block and word bucket. The blocks are written once, bucketed by block.
+2. **Encode.** The words of all blocks meet by bucket; a task encodes each
+   distinct word of its buckets once, as the rows stream by, and answers every
+   block's list of words with a list of ids.
+3. **Join back and reassemble.** The answers join the blocks by their bucketing
+   (the positions never move) and each document is put together by position.
 
 Decoding joins the token-byte table (fixed size: the vocabulary) to the ids
 with one vectorised lookup per batch.
@@ -30,10 +33,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairos.llm.common import blocks, shared
+from kairos.llm.common import blocks, bucketed, small_batches
 
 #: Text of a block: larger blocks shuffle fewer words and hold more in a worker.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,11 +49,36 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _split_blocks(pattern: str):
-    schema = pa.schema([("block", pa.string()), ("ord", pa.int32()), ("word", pa.string()), ("doc_id", pa.int64()),
-                        ("n", pa.int32()), ("codes", pa.binary())])
+def _squeezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed byte planes of non-negative int32 numbers (the high bytes are nearly all zero)."""
+    return _squeezed(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()) if len(numbers) else b""
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int32)
+    planes = pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").ravel()
+
+
+_BLOCK = ("block string, doc_ids array<bigint>, sizes array<int>, codes binary, numbers binary, "
+          "words array<struct<bucket:int,n:int,size:int,lengths:binary,packed:binary>>")
+
+
+def _split_blocks(pattern: str, buckets: int):
+    """Blocks of documents: positions as numbers of words by frequency, the place of each of them in the word lists,
+    and the word lists by bucket."""
+    row = pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("lengths", pa.binary()), ("packed", pa.binary())])
+    schema = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()),
+                        ("numbers", pa.binary()), ("words", pa.list_(row))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
         from pyspark import TaskContext
         part, split = TaskContext.get().partitionId(), regex.compile(pattern).findall
         for k, block in enumerate(blocks(batches, max_bytes=BLOCK_BYTES)):
@@ -62,82 +90,89 @@ def _split_blocks(pattern: str):
             coded = pa.chunked_array(pieces, pa.string()).combine_chunks().dictionary_encode()
             coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
             raw = coded.indices.to_numpy(zero_copy_only=False)
-            # frequent words get small numbers, which compress better
-            order = np.argsort(-np.bincount(raw, minlength=len(coded.dictionary)), kind="stable")
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            words, codes = coded.dictionary.take(pa.array(order)), place[raw]
-            name, ends = f"{part}-{k}", np.concatenate(([0], np.cumsum(sizes)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(words), pa.string()), pa.array(np.arange(len(words), dtype=np.int32)), words,
-                 pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.binary())], schema=schema)
-            packed = [pa.compress(_planes(codes[a:b]), codec="zstd", asbytes=True) if b > a else b""
-                      for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            words = [w.encode("utf-8") for w in coded.dictionary.to_pylist()]
+            # codes: frequent words have small numbers, which compress well
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-np.bincount(raw, minlength=len(words)), kind="stable")] = np.arange(len(words))
+            # lists: words by bucket, sorted; a word's place in them, by its rank
+            at = [zlib.crc32(w) % buckets for w in words]
+            listed = sorted(range(len(words)), key=lambda i: (at[i], words[i]))
+            place = np.empty(len(words), np.int64)
+            place[rank[listed]] = np.arange(len(words))
+            lists, i, own, body = [], 0, [], b""
+            while i < len(listed):
+                j, bucket = i, at[listed[i]]
+                while j < len(listed) and at[listed[j]] == bucket:
+                    j += 1
+                own = [words[x] for x in listed[i:j]]
+                body = b"".join(own)
+                lists.append({"bucket": bucket, "n": j - i, "size": len(body), "lengths": _packed(np.array([len(w) for w in own])),
+                              "packed": _squeezed(body)})
+                i = j
+            sizes, codes, numbers = pa.array([sizes], pa.list_(pa.int32())), _packed(rank[raw]), _packed(place)
+            del pieces, coded, raw, words, rank, at, listed, place, own, body  # before others compute
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(sizes), pa.string()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.string()),
-                 block.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+                [pa.array([f"{part}-{k}"]), pa.array([block.column("doc_id").to_pylist()], pa.list_(pa.int64())), sizes,
+                 pa.array([codes], pa.binary()), pa.array([numbers], pa.binary()), pa.array([lists], pa.list_(row))], schema=schema)
     return run
 
 
-def _planes(codes: np.ndarray) -> bytes:
-    """Byte planes of int32 numbers (high bytes are nearly all zero)."""
-    return codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplaned(packed: bytes, n: int) -> np.ndarray:
-    raw = pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<i4").ravel()
-
-
-def _encode_words(ranks_path: str, pattern: str):
+def _encode_lists(ranks_path: str, pattern: str):
+    """(block, bucket, ids): number of ids of each word of a list, then all ids; a word is encoded when it is first seen."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(read_ranks(ranks_path), pattern)._core_bpe.encode_single_piece
+        encode, seen = encoder(read_ranks(ranks_path), pattern)._core_bpe.encode_single_piece, {}
         for batch in batches:
-            ids = [encode(w.encode("utf-8")) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            out, total = [], []
+            for n, size, lengths, packed in zip(*(batch.column(c).to_pylist() for c in ("n", "size", "lengths", "packed")), strict=True):
+                body = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True)
+                ids, start = [], 0
+                for end in np.cumsum(_unpacked(lengths, n), dtype=np.int64).tolist():
+                    word = body[start:end]
+                    if word not in seen:
+                        seen[word] = encode(word)
+                    ids.append(seen[word])
+                    start = end
+                flat = np.array([x for w in ids for x in w], np.int64)
+                out.append(_packed(np.concatenate([np.array([len(w) for w in ids], np.int64), flat])))
+                total.append(n + len(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), batch.column("n"), pa.array(total, pa.int32()),
+                                              pa.array(out, pa.binary())], ["block", "bucket", "n", "total", "ids"])
     return run
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by block, its words in order first, then its documents."""
-    name, held, table = None, [], None
+    """A row per block: positions, places and the ids of its word lists; gives the ids of each document."""
     for batch in batches:
-        names = batch.column("block").to_pylist()
-        is_word = np.asarray(batch.column("ord").is_valid())
-        cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1] or is_word[i] != is_word[i - 1]], len(names)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            if names[a] != name:
-                name, held, table = names[a], [], None
-            if is_word[a]:
-                held.append(batch.column("ids").slice(a, b - a))
-                continue
-            if table is None:
-                table = pa.concat_arrays(held) if held else pa.array([], pa.list_(pa.int32()))
-            out = []
-            for n, packed in zip(batch.column("n").slice(a, b - a).to_pylist(), batch.column("codes").slice(a, b - a).to_pylist(),
-                                 strict=True):
-                out.append(table.take(pa.array(_unplaned(packed, n))).flatten() if n else pa.array([], pa.int32()))
-            sizes = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(sizes), pa.concat_arrays([x.cast(pa.int32()) for x in out]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), ids], ["doc_id", "ids"])
+        for r in range(batch.num_rows):
+            lists = sorted(batch.column("lists")[r].as_py() or [], key=lambda x: x["bucket"])
+            parts = [(x["n"], _unpacked(x["ids"], x["total"])) for x in lists]
+            lens = np.concatenate([np.zeros(0, np.int64), *[x[:n] for n, x in parts]])
+            flat = np.concatenate([np.zeros(0, np.int32), *[x[n:] for n, x in parts]]).astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
+            place = _unpacked(batch.column("numbers")[r].as_py(), len(lens))
+            table = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).take(pa.array(place))
+            sizes = np.asarray(batch.column("sizes")[r].as_py(), np.int64)
+            codes = _unpacked(batch.column("codes")[r].as_py(), int(sizes.sum()))
+            ids = table.take(pa.array(codes))
+            of_doc = ids.offsets.to_numpy()[np.concatenate(([0], np.cumsum(sizes)))] - ids.offsets[0].as_py() if len(ids) else np.zeros(len(sizes) + 1)
+            docs = pa.array(batch.column("doc_ids")[r].as_py(), pa.int64())
+            whole = pa.ListArray.from_arrays(pa.array(of_doc.astype(np.int32)), ids.flatten().cast(pa.int32()) if len(ids) else pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([docs, whole], ["doc_id", "ids"])
 
 
 def encode(documents: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row."""
+    spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"),
                             F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    split = shared(docs.mapInArrow(_split_blocks(pattern), "block string, ord int, word string, doc_id bigint, n int, codes binary"),
-                   "bpe-blocks")
-    words = split.filter("ord is not null").select("block", "ord", "word")
-    ids = shared(words.select("word").distinct().mapInArrow(_encode_words(ranks_path, pattern), "word string, ids array<int>"),
-                 "bpe-words")
-    back = words.join(ids, "word").select("block", "ord", "ids", F.lit(None).cast("bigint").alias("doc_id"),
-                                          F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("codes"))
-    places = split.filter("ord is null").select("block", "ord", F.lit(None).cast("array<int>").alias("ids"), "doc_id", "n", "codes")
-    return (back.unionByName(places).repartition("block").sortWithinPartitions("block", F.col("ord").asc_nulls_last())
-            .mapInArrow(_reassemble, "doc_id bigint, ids array<int>"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split = bucketed(docs.mapInArrow(_split_blocks(pattern, buckets), _BLOCK), "bpe_blocks", "block", buckets)
+    lists = split.select("block", F.explode("words").alias("w")).select("block", "w.*")
+    answers = lists.repartition(buckets, "bucket").mapInArrow(_encode_lists(ranks_path, pattern), "block string, bucket int, n int, total int, ids binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "total", "ids")).alias("lists"))  # one per bucket at most
+    back = split.select("block", "doc_ids", "sizes", "codes", "numbers").join(answers, "block", "left")
+    return back.select("doc_ids", "sizes", "codes", "numbers", "lists").mapInArrow(_reassemble, "doc_id bigint, ids array<int>")
 
 
 def _decode_batches(ranks_path: str):
@@ -162,3 +197,28 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids and bytes: the concatenated bytes of the tokens."""
     return (encoded.select("doc_id", F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids"))
             .mapInArrow(_decode_batches(ranks_path), "doc_id bigint, ids array<int>, bytes binary"))
+
+
+def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import hashlib
+
+    import pyarrow.compute as pc
+    for batch in batches:
+        ids = batch.column("ids")
+        told = pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string()))
+        joined = pc.binary_join(told, " ").to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()),
+             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]),
+             pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("bytes")])],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 digests (hex) of the decimal ids joined by spaces and of the decoded bytes.
+
+    The digests are taken of ``decode``'s batches in the worker that makes them.
+    """
+    made = _decode_batches(ranks_path)
+    return (encoded.select("doc_id", F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids"))
+            .mapInArrow(lambda batches: _digest_batches(made(batches)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

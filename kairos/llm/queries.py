@@ -66,7 +66,7 @@ def ranks_path() -> str:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     ids = op2_bpe.encode(table(spark, sf_dir, "documents"), ranks_path(), public_tokenizers.PATTERN)
-    return op2_bpe.digests(op2_bpe.decode(ids, ranks_path()))
+    return op2_bpe.digests(ids, ranks_path())
 
 
 @query()
@@ -193,7 +193,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_doc = gone.groupBy("doc_id").agg(
         F.count("*").alias("n_removed"), F.array_join(F.sort_array(F.collect_list("line")), ",").alias("removed_lines"),
         F.sort_array(F.collect_set("match_doc")).alias("matched_docs"))
-    sizes = compared.groupBy("doc_id").agg(F.count_distinct("line").alias("n_lines"))
+    sizes = compared.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
     return (docs.select("doc_id").join(sizes, "doc_id", "left").join(by_doc, "doc_id", "left")
             .select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
                     F.coalesce("removed_lines", F.lit("")).alias("removed_lines"),

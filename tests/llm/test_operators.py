@@ -62,6 +62,13 @@ def test_bpe_matches_the_library(spark, monkeypatch):
     assert op2_bpe.encode(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_of_nothing_but_empty_texts(spark):
+    df = docs_of(spark, [(1, None), (2, ""), (3, "")])
+    assert sorted((r.doc_id, list(r.ids)) for r in op2_bpe.encode(df, RANKS, P.PATTERN).collect()) == [(1, []), (2, []), (3, [])]
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {tuple(r)[1:] for r in op2_bpe.digests(op2_bpe.encode(df, RANKS, P.PATTERN), RANKS).collect()} == {(0, empty, empty)}
+
+
 def test_token_counts(spark):
     enc = op2_bpe.encoder(op2_bpe.read_ranks(RANKS), P.PATTERN)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(docs_of(spark, TEXTS))
