@@ -11,7 +11,7 @@ from kairos.operators import scoring as sc
 from kairos.plans.q_cohort import _F1_SQL, _F4_SQL, _LONG_SQL
 from kairos.plans.q_survival import LAM_SQL, SV_SQL, surv_base
 from kairos.plans.q_text import _COUNTS_SQL as COUNTS_SQL, _VOCAB_SQL as VOCAB_SQL
-from kairos.plans.registry import query, r
+from kairos.plans.registry import ORACLE, query, r
 from kairos.sources.writers import persist_table
 
 _BR = list(sc.BREAKS)
@@ -208,6 +208,21 @@ def i6_top_features(spark, sf_dir):
     return sc.top_contributions(z, coefs, fx.visits(spark, sf_dir), row_id=["visit_id"], k=5)
 
 
+@query("k15_terms_by_side", "K15 B20 I6", "with i6 as (" + ORACLE["i6_top_features"] + r"""
+), t as (select 'improve' as side, trim(unnest(regexp_extract_all(improve_feats, '[+-][^+-]*'))) as term from i6
+         union all select 'worsen', trim(unnest(regexp_extract_all(worsen_feats, '[+-][^+-]*'))) from i6)
+select side, term, cast(count(*) as bigint) as n from t where length(term) > 1 group by side, term
+""")
+def k15_terms_by_side(spark, sf_dir):
+    """Terms of the improving and of the worsening features of every visit, counted apart, each with both signs."""
+    from kairos.functions.text import signed_terms
+    from kairos.operators.metrics import term_counts
+    sides = i6_top_features(spark, sf_dir).select(F.explode(F.array(
+        F.struct(F.lit("improve").alias("side"), F.col("improve_feats").alias("f")),
+        F.struct(F.lit("worsen").alias("side"), F.col("worsen_feats").alias("f")))).alias("e"))
+    return term_counts(sides.select("e.side", signed_terms("e.f").alias("terms")), "terms", by=["side"]).select("side", "term", "n")
+
+
 # --- model fits (rows-only in the driver; checked by hand cases in tests) -------
 
 
