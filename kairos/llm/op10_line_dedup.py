@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairos.llm.common import SPACES, WordHasher, blocks, buffers, byte_map, mix, shared, text_bytes, word_spans
+from kairos.llm.common import SPACES, WordHasher, blocks, buffers, byte_map, grows, mix, shared, text_bytes, word_spans
 
 #: Shorter lines are no evidence of copying.
 MIN_WORDS = 5
@@ -275,7 +275,7 @@ def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the wanted lines: rows (doc text, wanted: line, sid, h1, h2)."""
+    """Words and places of the wanted lines: rows (doc_id, text, wanted: line, sid, h1, h2)."""
     lines = Lines()
     for block in blocks(batches):
         words, line, doc, number = lines(*buffers(block.column("text")))
@@ -283,11 +283,11 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))
         w = {c: v.to_numpy(zero_copy_only=False) for c, v in zip(("line", "sid", "h1", "h2"), wanted.flatten().flatten(), strict=True)}
         # lines are numbered over the block; a text's first line is where its number is 0
-        at = np.searchsorted(doc, row) + w["line"]
+        at = np.minimum(np.searchsorted(doc, row) + w["line"], len(doc))  # a repeated id may have a shorter text
         used = np.zeros(len(doc) + 1, bool)
         used[at] = True
         mine = used[line] if len(words) else np.zeros(0, bool)
-        sid, packed = [], []
+        sid, packed, place = [], [], ([], [])
         if mine.any():
             token, owner, distinct, _ = _sets(words[mine], line[mine])
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -297,10 +297,10 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = found < len(first)
             ok[ok] &= (owner[first][found[ok]] == at[ok]) & (h1[found[ok]] == w["h1"][ok]) & (h2[found[ok]] == w["h2"][ok])
             flat = distinct[token]
-            for k, s in zip(found[ok].tolist(), w["sid"][ok].tolist(), strict=True):
-                sid.append(s)
-                packed.append(flat[first[k]:ends[k]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(packed, pa.binary())], ["sid", "words"])
+            sid, packed = w["sid"][ok], [flat[first[k]:ends[k]].tobytes() for k in found[ok].tolist()]
+            place = block.column("doc_id").to_numpy(zero_copy_only=False)[row[ok]], w["line"][ok]
+        yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(place[0], pa.int64()), pa.array(place[1], pa.int32()),
+                                          pa.array(packed, pa.binary())], ["sid", "doc_id", "line", "words"])
 
 
 class _Meeting:
@@ -364,14 +364,15 @@ def first_matches(sets: DataFrame, docs: DataFrame, *, crowd: int = CROWD) -> Da
                       F.col("p").bitwiseAND(low).cast("int").alias("at"), "sid", "b1", "b2")
            .repartition(F.shiftright("key", 32)).sortWithinPartitions("key"))
     near = shared(met.mapInArrow(_with_partner, "token int, sid bigint"), "line-candidates")
-    chosen = sets.select("sid", "doc_id", "line", "h1", "h2").join(near.select("sid").distinct(), "sid")
+    chosen = sets.select("sid", "doc_id", "line", "h1", "h2").join(grows(near.select("sid").distinct()), "sid")
     wanted = shared(chosen.groupBy(F.col("doc_id").alias("_doc")).agg(
         F.collect_list(F.struct("line", "sid", "h1", "h2")).alias("wanted")), "line-wanted")
-    words = docs.join(wanted, F.col("doc_id") == F.col("_doc")).select("text", "wanted").mapInArrow(_fetch, "sid bigint, words binary")
-    words = shared(words.dropDuplicates(["sid"]).join(sets.select("sid", "doc_id", "line"), "sid"), "line-words")
+    words = docs.join(grows(wanted), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "wanted").mapInArrow(
+        _fetch, "sid bigint, doc_id bigint, line int, words binary")
+    words = shared(words.dropDuplicates(["sid"]), "line-words")  # rows that repeat a document
     sizes = shared(near.groupBy("token").count().filter(F.col("count") > crowd), "line-crowds")
     yes, no = F.lit(True), F.lit(False)
-    rows = near.join(words, "sid")
+    rows = near.join(grows(words), "sid")
     calm = rows.join(sizes, "token", "left_anti").select("*", F.lit(0).alias("part"), yes.alias("target"), yes.alias("probe"))
     found = _meet(calm)
     if sizes.limit(1).count():
@@ -413,9 +414,9 @@ def removed_lines(documents: DataFrame, *, crowd: int = CROWD) -> tuple[DataFram
     matched = shared(first_matches(sets, docs, crowd=crowd), "line-matches")
     # only sets with several lines or an earlier match have lines that go
     busy = shared(sets.select("sid", "h1", "h2", "copies", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"))
-                  .join(matched, "sid", "left").filter("copies > 1 or match_doc is not null"), "line-busy")
+                  .join(grows(matched), "sid", "left").filter("copies > 1 or match_doc is not null"), "line-busy")
     own = F.struct("first_doc", "first_line")
-    gone = (lines.select("doc_id", "line", "h1", "h2").join(busy, ["h1", "h2"])
+    gone = (lines.select("doc_id", "line", "h1", "h2").join(grows(busy), ["h1", "h2"])
             .withColumn("m", F.when(F.col("match_doc").isNotNull(), F.least(own, F.struct(
                 F.col("match_doc").alias("first_doc"), F.col("match_line").alias("first_line")))).otherwise(own))
             .filter(F.struct(F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")) > F.col("m"))
@@ -439,6 +440,6 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
         return pd.Series([kept(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
-    cut = documents.join(by_doc, F.col("doc_id").cast("long") == F.col("_doc"), "left").withColumn("text", without("text", "_gone"))
+    cut = documents.join(grows(by_doc), F.col("doc_id").cast("long") == F.col("_doc"), "left").withColumn("text", without("text", "_gone"))
     emptied = F.col("_gone").isNotNull() & ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
     return cut.filter(~F.coalesce(emptied, F.lit(False))).select(*documents.columns)

@@ -52,6 +52,16 @@ def test_line_matches(spark, crowd):
     assert compared.filter("doc_id = 300").count() == 1
 
 
+def test_one_id_with_several_texts(spark):
+    """Rows of one doc_id with different texts: a line number means each row's own line, and nothing breaks."""
+    line = "some words that stand in both of the texts here"
+    rows = [(1, "first line of the longer text goes here\n" * 40 + line), (1, "x"), (1, ""), (2, line), (2, "y\n" + line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gone, _ = op10_line_dedup.removed_lines(df)
+    got = {(r.doc_id, r.line) for r in gone.collect()}
+    assert {(2, 0), (2, 1)} <= got and (1, 0) not in got and len([g for g in got if g[0] == 1]) == 39
+
+
 def test_dedup_lines_keeps_columns_and_drops_emptied(spark):
     df = spark.createDataFrame([(d, t, "x") for d, t in texts()], "doc_id long, text string, line string")
     out = {r.doc_id: r.text for r in op10_line_dedup.dedup_lines(df).collect()}
