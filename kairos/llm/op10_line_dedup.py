@@ -23,10 +23,10 @@ number), matches it, whether that line stays or not.
    are split: first against the earliest ``CROWD``, then whoever found none
    against all, in blocks.
 
-Defined cases: null and empty texts have no lines; lines of fewer than
-``MIN_WORDS`` distinct words, and all lines of rows with a null doc_id, are never
-compared and stay; rows that repeat a doc_id are one document; of equal sets
-the first line is the earlier one; an empty table gives an empty result.
+Defined cases: every line with a word is compared, also the shortest; null and
+empty texts and lines without a word have none to compare; all lines of rows
+with a null doc_id stay; rows that repeat a doc_id are one document; of equal
+sets the first line is the earlier one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,8 +40,10 @@ from pyspark.sql import functions as F
 
 from kairos.llm.common import SPACES, WordHasher, blocks, buffers, byte_map, grows, mix, shared, text_bytes, word_spans
 
-#: Shorter lines are no evidence of copying.
-MIN_WORDS = 5
+#: Least distinct words of a line that is compared: any line with a word is.
+MIN_WORDS = 1
+#: Smaller sets match only equal ones (3 of 4 words is below 0.8), which meet by their hashes and need no prefix.
+MIN_PREFIX_WORDS = 4
 #: Counters of word frequency: 16 MB wherever they are held.
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
@@ -175,7 +177,9 @@ def _describe(counts):
             copies[keep[by[starts]]] = np.diff(np.concatenate((starts, [len(by)])))
             pos = np.arange(len(owner)) - np.repeat(first, size)
             row = np.repeat(np.arange(len(own)), size)
-            used = (copies[row] > 0) & (pos < prefix_size(size)[row]) & (freq[token] > 1)
+            meets = (copies > 0) & (size >= MIN_PREFIX_WORDS)  # the others' bitmaps are never read
+            b1, b2 = np.where(meets, b1, np.uint64(0)), np.where(meets, b2, np.uint64(0))
+            used = meets[row] & (pos < prefix_size(size)[row]) & (freq[token] > 1)
             per = np.bincount(row[used], minlength=len(own))[keep]
             ends = pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32))
             short = (distinct[token[used]] >> np.uint64(16)).astype(np.uint32).view(np.int32).astype(np.int64)

@@ -52,6 +52,18 @@ def test_line_matches(spark, crowd):
     assert compared.filter("doc_id = 300").count() == 1
 
 
+def test_short_lines_are_compared(spark):
+    """Lines of one to four distinct words: equal sets match whatever the lines' length, 4 of 5 words match, 3 of 4 do not."""
+    long = " ".join(["onon", "ingstin", "ingstin", "Ingstin"] * 30)
+    rows = [(1, "solo\na b\nthree word line"), (2, "SOLO\nb a a\n" + long), (3, long + "\nline three word word\n\n \n"),
+            (4, "p q r s t"), (5, "s r q p"), (6, "q r s"), (7, "t s r p"), (None, "solo")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone, compared = op10_line_dedup.removed_lines(df)
+    assert {(r.doc_id, r.line): (r.match_doc, r.match_line) for r in gone.collect()} == {
+        (2, 0): (1, 0), (2, 1): (1, 1), (3, 0): (2, 2), (3, 1): (1, 2), (5, 0): (4, 0), (7, 0): (4, 0)}
+    assert compared.filter("doc_id is not null").count() == 12
+
+
 def test_one_id_with_several_texts(spark):
     """Rows of one doc_id with different texts: a line number means each row's own line, and nothing breaks."""
     line = "some words that stand in both of the texts here"
