@@ -29,7 +29,9 @@ KINDS: dict[str, tuple[str, int, int]] = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
-    "key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    # the secret is the body behind the header lines; line ends may be escaped
+    "key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\x20\x09\x0A\x0D\\]*(?:[A-Za-z0-9-]+:[^\x0A\\]*[\x0A\\][\x20\x09\x0A\x0D\\]*){0,8}"
+            r"([A-Za-z0-9+/=][A-Za-z0-9+/=\x20\x09\x0A\x0D\\]*)", 1, 1),
     "forge": (r"gh[pousr]_[A-Za-z0-9]{30,}", 0, 30),
     "chat": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     "cloud": (r"AIza[A-Za-z0-9_-]{35}", 0, 39),

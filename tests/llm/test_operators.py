@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import public_tokenizers as P
 import pytest
 import xxhash
@@ -309,5 +310,24 @@ def test_secrets(spark):
     assert op9_secrets.scan(df.limit(0)).count() == 0
 
 
+def test_private_keys_are_owned_one_by_one(spark, tmp_path):
+    """Keys of one type and of many owners stay live; one key of many owners is an example; a header alone is no key."""
+    def key(k, head="", end="\n"):
+        body = end.join(hashlib.sha256(f"{k}/{i}".encode()).hexdigest().upper() + "+/" for i in range(3))
+        return f"-----BEGIN RSA PRIVATE KEY-----{end}{head}{body}=={end}-----END RSA PRIVATE KEY-----"
+    crypt = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    texts = [f"mine: {key(k)} here" for k in range(5)] + [key(10 + k, crypt) for k in range(4)] + [key(20 + k, end="\\n") for k in range(4)]
+    texts += [key(20 + k, crypt.replace("\n", "\\n"), "\\n") for k in range(10, 14)]
+    rows = [(k, t, f"owner{k}", "en") for k, t in enumerate(texts)] + [(100 + k, key(99), f"owner{k}", "en") for k in range(3)]
+    rows += [(200, "-----BEGIN RSA PRIVATE KEY-----\n-----END RSA PRIVATE KEY-----", "owner0", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op9_secret_scan"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: len(re.findall(r"\bkey:", r.spans)) for r in got} == {k: int(k < 100) for k, *_ in rows}
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE["op9_secret_scan"])
+    assert sorted(tuple(r[c] for c in want.columns) for r in got) == sorted(want.fetchall())
+
+
 def test_registry_has_every_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
