@@ -274,13 +274,13 @@ def h3_discrete_time(spark, sf_dir):
 
 
 COX_FOLDS = 10
-# The range of the ridge Cox penalties, 10^5 down to 10^-3; here in whole exponents (``cox_cv`` takes any sequence).
-COX_LAMBDAS = tuple(10.0 ** (5 - k) for k in range(9))
+# The ridge Cox penalties, 10^5 down to 10^-3 in tenths of an exponent.
+COX_LAMBDAS = tuple(10.0 ** (5 - k / 10) for k in range(81))
 
 
 @query("h4_cox_landmark", "H4 E5")
 def h4_cox_landmark(spark, sf_dir):
-    """Ridge Cox over the landmark set: the penalty chosen by patient-grouped cross-validation (10 folds x 9 penalties),
+    """Ridge Cox over the landmark set: the penalty chosen by patient-grouped cross-validation (10 folds x 81 penalties),
     its coefficients, and the optimality condition of each (the penalised score, which is zero)."""
     from kairos.operators.cohort import landmark_set
     from kairos.operators.dedup import fold_of

@@ -161,6 +161,12 @@ def test_persist_table_under_checkpoint_dir(spark):
                          for f in files)
 
 
+def test_cox_penalties_are_the_reference_sequence():
+    """10^seq(5, -3, -0.1)."""
+    from kairos.plans.q_models import COX_LAMBDAS
+    assert np.allclose(np.log10(COX_LAMBDAS), np.linspace(5, -3, 81))
+
+
 def test_cox_cv_against_separate_fits(spark):
     rng = random.Random(12)
     rows = []
