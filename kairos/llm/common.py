@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,10 +110,15 @@ def word_spans(mapped: np.ndarray, separator: int = 0) -> tuple[np.ndarray, np.n
 
 
 class WordHasher:
-    """64-bit hashes of byte ranges of a buffer, all at once (prefix sums of a polynomial, then mixed)."""
+    """64-bit hashes of byte ranges of a buffer, all at once (prefix sums of a polynomial, then mixed).
+
+    A polynomial modulo 2^64 has collisions that can be written down, among structured ranges of 1,024 bytes and more:
+    ranges of over ``LONG`` bytes, which are rare among words, get XXH64 one by one instead.
+    """
 
     #: Bytes summed up at a time, so that the sums stay in the processor's cache.
     STRIDE = 1 << 16
+    LONG = 256
 
     def __init__(self) -> None:
         self.up = self.down = np.zeros(0, np.uint64)
@@ -143,7 +149,10 @@ class WordHasher:
                 np.cumsum(terms, out=sums[1:])
                 s, e = starts[a:b] - low, ends[a:b] - low
                 out[a:b] = (sums[e] - sums[s]) * self.down[s]
-            return mix(out)
+            out = mix(out)
+        for k in np.flatnonzero(ends - starts > self.LONG).tolist():
+            out[k] = xxhash.xxh64_intdigest(mapped[starts[k]:ends[k]].tobytes())
+        return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:

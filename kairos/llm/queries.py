@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from kairos.llm import (op1_chat, op2_bpe, op4_warc, op5_quality, op6_simhash, op7_toxicity, op8_decontamination, op9_secrets)
 from kairos.llm import op10_line_dedup as op10
+from kairos.llm import op11_periodic_runs as op11
+from kairos.llm import op12_fill_middle as op12
+from kairos.llm import op13_imatch as op13
 from kairos.llm import op3_token_counts as op3
 from kairos.llm.common import table
+from kairos.llm.neighbours import with_next
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -199,3 +203,97 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce("removed_lines", F.lit("")).alias("removed_lines"),
                     F.coalesce("matched_docs", F.expr("cast(array() as array<bigint>)")).alias("matched_docs"),
                     F.coalesce(F.size("matched_docs"), F.lit(0)).cast("long").alias("n_links")))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of every tenth document (by hash) the words from one on repeat with a period. Others stay as they are."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("*", F.when(F.coalesce(h % 10 == 0, F.lit(False)), words).alias("w"), F.floor(h / 10).alias("g")).select("*", F.size("w").alias("n"))
+    a = F.col("g") % F.col("n")
+    cut = chosen.select("*", F.when(F.col("n") > 0, a).alias("a")).withColumn(
+        "p", F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1)
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", place(i))), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document (every tenth with planted ones), the strongest of them, and the text without their repeats."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = op11.periodic_runs(_with_planted_runs(docs)).withColumn("best", op11.strongest())
+    told = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query(r"""
+with d as (select doc_id, coalesce(text, '') as body, sha256('42:' || coalesce(doc_id::varchar, '')) as h from documents),
+t as (select *, regexp_extract_all(body, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units,
+        ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+        ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+c as (select *, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b,
+        case when body = '' or contains(body, '<P>') or contains(body, '<S>') or contains(body, '<M>') or h3 % 100 >= 50 then 'plain'
+             when h4 % 100 < 80 then 'spm' else 'psm' end as form from t),
+p as (select *, array_to_string(list_slice(units, 1, a), '') as pre, array_to_string(list_slice(units, a + 1, b), '') as mid,
+        array_to_string(list_slice(units, b + 1, len(units)), '') as suf from c)
+select doc_id, len(units)::bigint as n, form, case when form <> 'plain' then length(pre) end::bigint as prefix_chars,
+  case when form <> 'plain' then length(mid) end::bigint as middle_chars,
+  sha256(case form when 'plain' then body when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+         else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(body) as restored_sha256
+from p
+""")
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and rearranged, and put back together from its output."""
+    found = op12.round_trip(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def _imatch_sql() -> str:
+    """I-Match in SQL: slots by MD5, their document frequencies, and the hashes of each text's chosen terms."""
+    lo, hi = op13.BAND
+    mask = lambda f, bits: ((1 << bits) - 1) << (f * op13.FAMILY_BITS)
+    subsets = [f"list_filter(t, lambda x: x & {mask(f, bits)} = 0)" for f in range(op13.REPLICAS) for bits in op13.LEVELS]
+    hashed = lambda x: f"case when len({x}) > 0 then substr(md5(array_to_string({x}, ' ')), 1, {op13.DIGITS}) else '{'.' * op13.DIGITS}' end"
+    n = 1 + len(subsets)
+    piece = lambda x: f"substr({x}, i * {op13.DIGITS} + 1, {op13.DIGITS})"
+    told = lambda a, b: f"list_filter(range({n}), lambda i: {piece(a)} <> '{'.' * op13.DIGITS}' or {piece(b)} <> '{'.' * op13.DIGITS}')"
+    like = lambda a, b: f"case when {a} = {b} then 1e0 else len(list_filter({told(a, b)}, lambda i: {piece(a)} = {piece(b)}))::double / len({told(a, b)}) end"
+    return rf"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as body from documents),
+e as (select *, length(body) as n, coalesce(lead(body) over w, first_value(body) over w) as after, coalesce(lead(k) over w, first_value(k) over w) as after_k
+      from d window w as (order by doc_id nulls first, body rows between unbounded preceding and unbounded following)),
+f as (select *, left(body, (n - n // 4)::int) || left(after, (n // 4)::int) as edited from e),
+x as (select k, 0 as kind, body as s from f union all select k, 1, edited from f),
+w as (select k, kind, list_sort(list_distinct(regexp_extract_all(translate(s, '{op13.UPPER}', '{op13.LOWER}'), '{op13.TERM}'))) as words from x),
+t0 as (select k, kind, list_transform(words, lambda z: ('0x' || substr(md5(z), 1, 15))::bigint) as every from w),
+u as (select k, kind, unnest(every) as v, unnest(range(len(every))) as pos from t0),
+slots as (select v & {op13.SLOTS - 1} as slot, count(distinct k) as df from u where kind = 0 group by 1),
+band as (select slot from slots where ln((select count(*) from d)::double / df) between {lo} and {hi}),
+c as (select k, kind, list(v order by pos) as kept from u where v & {op13.SLOTS - 1} in (select slot from band) group by k, kind),
+g as (select t0.k, t0.kind, case when len(kept) > 0 then kept else every end as t from t0 left join c using (k, kind)),
+s as (select k, kind, {hashed('t')} || {' || '.join(hashed(x) for x in subsets)} as fp from g)
+select f.doc_id, f.n::bigint as n_chars, sha256(f.edited) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint,
+  {like('a.fp', 'b.fp')} as near_edited, {like('a.fp', 'z.fp')} as near_next
+from f join s a on a.k = f.k and a.kind = 0 join s b on b.k = f.k and b.kind = 1 join s z on z.k = f.after_k and z.kind = 0
+"""
+
+
+@query(_imatch_sql())
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are to each other and to the next document's."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"),
+                                                    F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    lexicon = op13.lexicon(docs)
+    docs = op13.with_fingerprints(docs, lexicon, {"fingerprint": "text"})
+    pairs = with_next(docs.withColumn("n_chars", F.length("text").cast("long")), "doc_id", "text", {"after": F.col("text"), "next_fingerprint": F.col("fingerprint")})
+    cut = F.floor(F.col("n_chars") / 4).cast("int")
+    pairs = pairs.withColumn("edited", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substr("after", F.lit(1), cut)))
+    pairs = pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "edited", "fingerprint", "next_fingerprint")
+    found = op13.with_fingerprints(pairs, lexicon, {"edited_fingerprint": "edited"})
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                        op13.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+                        op13.likeness("fingerprint", "next_fingerprint").alias("near_next"))
