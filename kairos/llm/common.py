@@ -48,6 +48,14 @@ def grows(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like ``shared``, as a table bucketed by ``key``: joins on it don't move the table again."""
     spark = df.sparkSession

@@ -26,7 +26,9 @@ number), matches it, whether that line stays or not.
 Defined cases: every line with a word is compared, also the shortest; null and
 empty texts and lines without a word have none to compare; all lines of rows
 with a null doc_id stay; rows that repeat a doc_id are one document; of equal
-sets the first line is the earlier one; an empty table gives an empty result.
+sets the first line is the earlier one; an empty table gives an empty result;
+``dedup_lines`` gives back the columns as they are, whatever their names.
+Words and sets are compared by 64-bit hashes (XXH64 for long words; 128 bits a set).
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairos.llm.common import SPACES, WordHasher, blocks, buffers, byte_map, grows, mix, shared, text_bytes, word_spans
+from kairos.llm.common import SPACES, WordHasher, blocks, buffers, byte_map, grows, mix, shared, text_bytes, unused, word_spans
 
 #: Least distinct words of a line that is compared: any line with a word is.
 MIN_WORDS = 1
@@ -85,10 +87,10 @@ def _slot(words: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lines, total = Lines(), np.zeros(SLOTS, np.int64)
+    lines, total = Lines(), np.zeros(SLOTS, np.uint32)  # a task reads far less than 2^32 words
     for block in blocks(batches):
         words = lines(*buffers(block.column("text")))[0]
-        total += np.bincount(_slot(words), minlength=SLOTS)
+        np.add.at(total, _slot(words), 1)
     yield from _chunks({k: total[k * CHUNK:(k + 1) * CHUNK] for k in range(SLOTS // CHUNK)})
 
 
@@ -431,7 +433,8 @@ def removed_lines(documents: DataFrame, *, crowd: int = CROWD) -> tuple[DataFram
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """``documents`` without the removed lines; a document that keeps no word of those it had goes as a whole."""
     gone, _ = removed_lines(documents)
-    by_doc = shared(gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_gone")), "lines-gone")
+    id_, out_ = unused(documents, "doc"), unused(documents, "gone")
+    by_doc = shared(gone.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line").alias(out_)), "lines-gone")
 
     @F.pandas_udf("string")
     def without(texts, gone):
@@ -444,6 +447,6 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
         return pd.Series([kept(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
-    cut = documents.join(grows(by_doc), F.col("doc_id").cast("long") == F.col("_doc"), "left").withColumn("text", without("text", "_gone"))
-    emptied = F.col("_gone").isNotNull() & ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
-    return cut.filter(~F.coalesce(emptied, F.lit(False))).select(*documents.columns)
+    cut = documents.join(grows(by_doc), F.col("doc_id").cast("long") == F.col(id_), "left").withColumn("text", without("text", out_))
+    emptied = F.col(out_).isNotNull() & ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
+    return cut.filter(~F.coalesce(emptied, F.lit(False))).select(*[F.col(f"`{c}`") for c in documents.columns])

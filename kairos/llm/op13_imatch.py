@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairos.llm.common import shared
+from kairos.llm.common import shared, unused
 
 #: Slots of hashed terms; 64 to a word of the bitmap.
 SLOT_BITS = 20
@@ -94,8 +94,8 @@ def with_fingerprints(df: DataFrame, lexicon_: DataFrame, texts: dict[str, str])
     bitmap = lexicon_.select("bitmap").scalar()
     for out, text in texts.items():
         keep = [F.col(f"`{c}`") for c in df.columns if c != out]
-        every, known, bits_ = (_unused(df, c) for c in ("terms", "known", "bitmap"))
-        family = [_unused(df, f"family{f}") for f in range(REPLICAS)]
+        every, known, bits_ = (unused(df, c) for c in ("terms", "known", "bitmap"))
+        family = [unused(df, f"family{f}") for f in range(REPLICAS)]
         df = df.select(*keep, terms(F.col(f"`{text}`")).alias(every))
         # a subquery cannot stand inside a lambda: the bitmap is a column until the terms are filtered
         df = df.select(*keep, every, bitmap.alias(bits_)).select(*keep, every, F.filter(every, lambda t: _in(bits_, t)).alias(known))
@@ -107,12 +107,6 @@ def with_fingerprints(df: DataFrame, lexicon_: DataFrame, texts: dict[str, str])
     return df
 
 
-def _unused(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name = "_" + name
-    return name
-
-
 def likeness(a: str | Column, b: str | Column) -> Column:
     """Share of the subsets with a term of either text whose hashes agree; 1 where neither text has a term at all."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))

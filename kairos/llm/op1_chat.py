@@ -13,7 +13,7 @@ gathered in one aggregation by conversation, and everything else is narrow.
 Defined cases: null texts and null roles are empty; turns sort by turn, then
 role, then text (null turns first), so ties have one order; a repeated row is
 a turn of its own; roles outside the template are kept under their own name
-and make the order invalid; rows with a null conv_id are one conversation.
+and make the order invalid; each row with a null conv_id is a conversation of its own.
 """
 
 from __future__ import annotations
@@ -105,7 +105,9 @@ def format_chats(conversations: DataFrame, template: Template | None = None) ->
         F.col("conv_id").cast("long").alias("conv_id"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                  F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("turn"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    # a row without a conversation is one of its own: such rows never meet
+    rows = rows.withColumn("own", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    chats = rows.groupBy("conv_id", "own").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     state = F.aggregate("turns", F.lit("start"), lambda s, x: F.coalesce(
         F.element_at(steps, F.concat(s, F.lit("\n"), x["role"])), F.lit("invalid")))
     chats = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), state.isin(list(t.final)).alias("valid"),

@@ -49,6 +49,15 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoder_of(ranks_path: str, pattern: str) -> tiktoken.Encoding:
+    """The encoder of a rank file, built once a worker process (a worker runs many tasks)."""
+    held = vars(tiktoken).setdefault("_kairos_encoders", {})  # this package's code is pickled by value, so its own globals live a task
+    if (ranks_path, pattern) not in held:
+        held.clear()
+        held[ranks_path, pattern] = encoder(read_ranks(ranks_path), pattern)
+    return held[ranks_path, pattern]
+
+
 def _squeezed(raw: bytes) -> bytes:
     return pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
@@ -120,7 +129,7 @@ def _split_blocks(pattern: str, buckets: int):
 def _encode_lists(ranks_path: str, pattern: str):
     """(block, bucket, ids): number of ids of each word of a list, then all ids; a word is encoded when it is first seen."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(read_ranks(ranks_path), pattern)._core_bpe.encode_single_piece, {}
+        encode, seen = encoder_of(ranks_path, pattern)._core_bpe.encode_single_piece, {}
         for batch in batches:
             out, total = [], []
             for n, size, lengths, packed in zip(*(batch.column(c).to_pylist() for c in ("n", "size", "lengths", "packed")), strict=True):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairos.llm.common import shared
-from kairos.llm.op2_bpe import encoder, read_ranks
+from kairos.llm.op2_bpe import encoder_of
 from kairos.operators.running import running_sum
 
 #: Lengths that share a range of the suffix sums.
@@ -29,7 +29,7 @@ RANGE = 1024
 
 def _lengths(ranks_path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(read_ranks(ranks_path), pattern).encode_ordinary
+        encode = encoder_of(ranks_path, pattern).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["length"])

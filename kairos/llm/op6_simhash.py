@@ -25,7 +25,8 @@
 Defined cases: null, empty and wordless texts have fingerprint zero and link
 like any other; rows with a null doc_id get a fingerprint and a component but
 never name one (component_id is null when no member has an id); rows that
-repeat a doc_id are rows of one document.
+repeat a doc_id are rows of one document; ``deduplicate`` gives back the
+columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairos.llm.common import shared
+from kairos.llm.common import shared, unused
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -263,8 +264,9 @@ def deduplicate(documents: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max
     Rows that repeat a doc_id are one document and stay or go together.
     """
     groups = near_duplicates(documents, shingle_words=shingle_words, max_bits=max_bits)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+    id_ = unused(documents, "gone_id")
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_)).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left_anti")
 
 
 def hex16(fp: str):

@@ -12,7 +12,8 @@ inputs of a score.
 
 Defined cases: null texts score as empty ones; every row gets a score, ties
 and repeated rows the same one; without labels of both classes the score is
-the share of label 1 (0.5 without any).
+the share of label 1 (0.5 without any); ``keep_clean`` gives back the columns
+as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairos.llm.common import unused
 from kairos.llm.linear import Sample, fit_calibrated, labelled_sample
 
 DIM_BITS = 20
@@ -123,5 +125,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``documents`` without those scored at ``THRESHOLD`` or more; their columns as they are."""
-    marked = scored(documents, train(documents, labels, where=~held_out()), "_toxicity")
-    return marked.filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    name = unused(documents, "toxicity")
+    marked = scored(documents, train(documents, labels, where=~held_out()), name)
+    return marked.filter(F.col(name) < THRESHOLD).drop(name)

@@ -1,21 +1,28 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
 Every shard (a block of whole documents of one task) gets a suffix array
-over its words, sorted by prefix doubling. The windows of the test items are
-binary-searched in it: a window's range of suffixes holds every place where
-it occurs. Consecutive windows of one item on one diagonal join into the
-longest verbatim match with its location. Documents are read once and never
-shuffled; suffix arrays live in the task that built them, so a lost executor
-costs a retry of its shards.
-
-The test items are read in blocks of at most ``BLOCK_WORDS`` words (one
-longer item is a block of its own); each block is broadcast on its own, so
-what is broadcast has a fixed bound however many items there are.
+over its words, sorted by prefix doubling. Every test suffix, cut to the
+window, is binary-searched in it, equal ones once: its range of suffixes holds
+every place where it occurs. Ranges of one length are disjoint, so the places
+of all windows are at most the words of the shard, however repetitive texts
+are. A place marks its words as hit and belongs to all items that have the
+window; places that go on in the item where a window stands first join into
+the longest verbatim match there. Documents are read once and never shuffled;
+suffix arrays live in the task that built them, so a lost executor costs a
+retry of its shards.
+
+The test items are hashed on the executors into packed blocks of at most
+``BLOCK_WORDS`` words (one longer item is a block of its own). The driver
+passes them on one at a time; a worker goes through them for each shard with
+one in memory, so memory has a fixed bound however many items there are.
+
+Words are compared by 64-bit hashes (XXH64 for long ones).
 
 Defined cases: null or wordless texts have no words, no hits and are not
 contaminated; wordless items never match; items shorter than the window are
 one window; several items with one id count once; a document row that is
-repeated gives a row each time; an empty table of either kind gives no hits.
+repeated gives a row each time; an empty table of either kind gives no hits;
+``decontaminate`` gives back the columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairos.llm.common import NON_ALNUM, WordHasher, blocks, buffers, byte_map, text_bytes, word_spans
+from kairos.llm.common import NON_ALNUM, WordHasher, blocks, buffers, byte_map, text_bytes, unused, word_spans
 
 WINDOW = 13
 #: Words of test items that are searched together: 8 bytes a word, so 32 MB in a worker.
@@ -35,8 +42,11 @@ BLOCK_WORDS = 4_000_000
 #: Text of one shard; its suffix array takes about 10 times as much memory.
 SHARD_BYTES = 8 << 20
 
+#: Windows searched, and (document, item) pairs listed, at a time.
+CHUNK = 1 << 18
+
 _MATCH = "array<struct<item_id:bigint,item_word:int,doc_word:int,n_words:int>>"
-_SCHEMA = f"doc_id bigint, _text string, n_words bigint, spans array<struct<s:int,e:int>>, matches {_MATCH}"
+_SCHEMA = f"doc_id bigint, n_words bigint, spans array<struct<s:int,e:int>>, item_ids array<bigint>, matches {_MATCH}"
 
 
 def suffix_array(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,85 +122,152 @@ def _shard_words(block: pa.RecordBatch, hasher: WordHasher, lut: np.ndarray):
     return out, first, n
 
 
-def _merged(lo: np.ndarray, hi: np.ndarray) -> list[dict]:
-    """Disjoint sorted spans that cover the given ones."""
-    order = np.argsort(lo, kind="stable")
-    lo, hi = lo[order], np.maximum.accumulate(hi[order])
-    new = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
-    last = np.concatenate((new[1:], [len(lo)])) - 1
-    return [{"s": int(a), "e": int(b)} for a, b in zip(lo[new], hi[last], strict=True)]
+class _Shard:
+    """The suffix array of a block of documents, and what the test items have hit so far."""
+
+    def __init__(self, block: pa.RecordBatch, hasher: WordHasher, lut: np.ndarray, window: int) -> None:
+        self.words, self.first, self.n = _shard_words(block, hasher, lut)
+        self.order, self.rank, self.distinct = suffix_array(self.words, window)
+        self.marks = np.zeros(len(self.words) + 1, np.int64)
+        self.items: list[np.ndarray] = []  # rows: document, item number, block number
+        self.places: list[np.ndarray] = []  # rows: document, block, item, word of the item, word of the shard, words
+        self.ids: list[list] = []
+
+    def search(self, words: np.ndarray, starts: np.ndarray, ids: list, window: int) -> None:
+        """Look for the windows of a block of items."""
+        k = len(self.ids)
+        self.ids.append(ids)
+        at = np.searchsorted(self.distinct, words)
+        known = at < len(self.distinct)
+        known[known] = self.distinct[at[known]] == words[known]
+        missing = np.concatenate(([0], np.cumsum(~known)))
+        first, size, item = windows_of(words, starts, window)
+        live = np.flatnonzero(missing[first + size] == missing[first])  # windows of words that the shard has
+        for c in range(0, len(live), CHUNK):
+            part = live[c:c + CHUNK]
+            j = np.arange(window)[None, :]
+            cells = np.where(j < size[part][:, None], at[first[part][:, None] + np.minimum(j, size[part][:, None] - 1)], -1)
+            query, lead, back = np.unique(cells, axis=0, return_index=True, return_inverse=True)  # equal windows once
+            self._found(query, size[part][lead], part[lead], back.ravel(), item[part], first, item, starts, k)
+
+    def _found(self, query, size, lead, back, owner, first, item, starts, k) -> None:
+        lo, hi = search(self.order, self.rank, query, size)
+        reps = hi - lo
+        hit = np.repeat(np.arange(len(query)), reps)
+        if not len(hit):
+            return
+        place = self.order[np.arange(len(hit)) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(lo, reps)]
+        np.add.at(self.marks, place, 1)
+        np.add.at(self.marks, place + size[hit], -1)
+        doc = np.searchsorted(self.first, place, "right") - 1
+        self.places.append(np.column_stack([doc, np.full(len(hit), k), item[lead][hit], first[lead][hit] - starts[item[lead][hit]], place, size[hit]]))
+        # items that have a window: (window, item) once, then by window
+        have = np.unique(np.column_stack([back, owner]), axis=0)
+        begin = np.searchsorted(have[:, 0], np.arange(len(query) + 1))
+        pairs = np.unique(np.column_stack([doc, hit]), axis=0)
+        each = np.diff(begin)[pairs[:, 1]]
+        ends = np.cumsum(each)
+        p = 0
+        while p < len(pairs):
+            q = max(int(np.searchsorted(ends, (ends[p - 1] if p else 0) + CHUNK, "right")), p + 1)
+            some, m = pairs[p:q], each[p:q]
+            flat = np.repeat(begin[some[:, 1]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            self.items.append(np.unique(np.column_stack([np.repeat(some[:, 0], m), have[flat, 1], np.full(len(flat), k)]), axis=0))
+            p = q
+
+    def spans(self) -> list[list[dict]]:
+        """Hit words of each document as disjoint sorted spans."""
+        inside = np.concatenate(([False], np.cumsum(self.marks[:-1]) > 0, [False]))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        s, e = edge[::2], edge[1::2]  # a document's last word is followed by a zero that no window covers
+        doc = np.searchsorted(self.first, s, "right") - 1
+        out: list[list[dict]] = [[] for _ in self.n]
+        for d, a, b in zip(doc.tolist(), (s - self.first[doc]).tolist(), (e - self.first[doc]).tolist(), strict=True):
+            out[d].append({"s": a, "e": b})
+        return out
+
+    def item_ids(self) -> list[list]:
+        """Items (by id; null ids left out) found in each document."""
+        out: list[list] = [[] for _ in self.n]
+        if self.items:
+            for d, i, k in np.unique(np.concatenate(self.items), axis=0).tolist():
+                if self.ids[k][i] is not None:
+                    out[d].append(self.ids[k][i])
+        return out
+
+    def matches(self) -> list[list[dict]]:
+        """Places on one diagonal of an item that touch or overlap, joined."""
+        out: list[list[dict]] = [[] for _ in self.n]
+        if not self.places:
+            return out
+        rows = np.concatenate(self.places)
+        rows = rows[np.lexsort((rows[:, 4], rows[:, 4] - rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        key = np.column_stack([rows[:, :3], rows[:, 4] - rows[:, 3]])
+        same = np.concatenate(([False], (key[1:] == key[:-1]).all(axis=1)))
+        # windows of one item have one size, so on a diagonal later places also end later
+        new = ~same | np.concatenate(([True], rows[1:, 4] > (rows[:, 4] + rows[:, 5])[:-1]))
+        a = np.flatnonzero(new)
+        b = np.concatenate((a[1:], [len(rows)])) - 1
+        for (d, k, i, y, x, _), end in zip(rows[a].tolist(), (rows[b, 4] + rows[b, 5]).tolist(), strict=True):
+            out[d].append({"item_id": self.ids[k][i], "item_word": y, "doc_word": x - int(self.first[d]), "n_words": end - x})
+        return [sorted(m, key=lambda r: (r["doc_word"], r["item_word"])) for m in out]
 
 
 def _search_shards(queries, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, starts, ids = queries.value
-        q_first, q_len, q_item = windows_of(words, starts, window)
         hasher, lut = WordHasher(), byte_map(NON_ALNUM)
-        schema = pa.schema([("doc_id", pa.int64()), ("_text", pa.string()), ("n_words", pa.int64()),
-                            ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))),
-                            ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()),
-                                                            ("doc_word", pa.int32()), ("n_words", pa.int32())])))])
+        spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+        matches = pa.list_(pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
         for block in blocks(batches, max_bytes=SHARD_BYTES):
-            text, first, n = _shard_words(block, hasher, lut)
-            spans, matches = [[] for _ in n], [[] for _ in n]
-            order, rank, distinct = suffix_array(text, window)
-            at = np.searchsorted(distinct, words)
-            found = at < len(distinct)
-            found[found] = distinct[at[found]] == words[found]
-            missing = np.concatenate(([0], np.cumsum(~found)))
-            live = np.flatnonzero(missing[q_first + q_len] == missing[q_first])
-            if len(live):
-                cells = q_first[live][:, None] + np.minimum(np.arange(window)[None, :], q_len[live][:, None] - 1)
-                lo, hi = search(order, rank, at[cells], q_len[live])
-                reps = hi - lo
-                hit = np.repeat(np.arange(len(live)), reps)
-                place = order[np.arange(len(hit)) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(lo, reps)]
-                w = live[hit]
-                doc = np.searchsorted(first, place, "right") - 1
-                in_doc, in_item = place - first[doc], q_first[w] - starts[q_item[w]]
-                # runs of consecutive windows on one diagonal are one longest match
-                by = np.lexsort((in_item, in_doc - in_item, q_item[w], doc))
-                d, i, x, y, ln = doc[by], q_item[w][by], in_doc[by], in_item[by], q_len[w][by]
-                if len(d):
-                    new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (x[1:] - x[:-1] != 1)
-                                          | (y[1:] - y[:-1] != 1)))
-                    a = np.flatnonzero(new)
-                    b = np.concatenate((a[1:], [len(d)])) - 1
-                    size = x[b] - x[a] + ln[b]
-                    cut = np.flatnonzero(np.concatenate(([True], d[a][1:] != d[a][:-1], [True])))
-                    for p, q in zip(cut[:-1], cut[1:], strict=True):
-                        k = int(d[a[p]])
-                        sel = a[p:q]
-                        matches[k] = [{"item_id": ids[int(i[m])], "item_word": int(y[m]), "doc_word": int(x[m]),
-                                       "n_words": int(z)} for m, z in zip(sel, size[p:q], strict=True)]
-                        spans[k] = _merged(x[sel], x[sel] + size[p:q])
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("_text"), pa.array(n, pa.int64()),
-                                              pa.array(spans, schema.field("spans").type),
-                                              pa.array(matches, schema.field("matches").type)], schema=schema)
+            shard = _Shard(block, hasher, lut, window)
+            for held in queries:
+                shard.search(*held.value, window)
+                if len(queries) > 1:
+                    held.__dict__.pop("_value", None)  # it stays on the executor's disk
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id"), pa.array(shard.n, pa.int64()), pa.array(shard.spans(), spans),
+                 pa.array(shard.item_ids(), pa.list_(pa.int64())), pa.array(shard.matches(), matches)],
+                ["doc_id", "n_words", "spans", "item_ids", "matches"])
     return run
 
 
-def _item_blocks(items: DataFrame, max_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """Blocks of items in id order, streamed through the driver one block at a time."""
-    hasher, lut = WordHasher(), byte_map(NON_ALNUM)
-    held, sizes, ids, total = [], [], [], 0
+def _pack_items(max_words: int):
+    """Blocks of items: word hashes end to end, the number of words of each item, and the ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, lut = WordHasher(), byte_map(NON_ALNUM)
+        held, sizes, ids, total = [], [], [], 0
+
+        def block():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([np.concatenate([np.zeros(0, np.uint64), *held]).tobytes()], pa.binary()), pa.array([sizes], pa.list_(pa.int64())),
+                 pa.array([ids], pa.list_(pa.int64()))], ["words", "sizes", "ids"])
+
+        for batch in batches:
+            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                mapped = lut[np.frombuffer(text, np.uint8)]
+                h = hasher(mapped, *word_spans(mapped))
+                h[h == 0] = 1
+                if total and total + len(h) > max_words:
+                    yield block()
+                    held, sizes, ids, total = [], [], [], 0
+                held.append(h)
+                sizes.append(len(h))
+                ids.append(item_id)
+                total += len(h)
+        if ids:
+            yield block()
+    return run
 
-    def block():
-        return np.concatenate([np.zeros(0, np.uint64), *held]), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), ids
 
+def _item_blocks(items: DataFrame, max_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """Packed blocks of items, one at a time."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_bytes("text").alias("text"))
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        mapped = lut[np.frombuffer(bytes(row["text"]), np.uint8)]
-        h = hasher(mapped, *word_spans(mapped))
-        h[h == 0] = 1
-        if total and total + len(h) > max_words:
-            yield block()
-            held, sizes, ids, total = [], [], [], 0
-        held.append(h)
-        sizes.append(len(h))
-        ids.append(row["item_id"])
-        total += len(h)
-    yield block()
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(-(-size // (8 * max_words)), 1)  # a packed block of a partition is rarely half empty
+    packed = rows.repartition(parts).sortWithinPartitions("item_id", "text").mapInArrow(
+        _pack_items(max_words), "words binary, sizes array<bigint>, ids array<bigint>")
+    for row in packed.toLocalIterator():
+        yield np.frombuffer(bytes(row["words"]), np.uint64), np.concatenate(([0], np.cumsum(row["sizes"]))).astype(np.int64), list(row["ids"])
 
 
 def contamination(documents: DataFrame, items: DataFrame, *, window: int = WINDOW, max_words: int = BLOCK_WORDS) -> DataFrame:
@@ -200,41 +277,12 @@ def contamination(documents: DataFrame, items: DataFrame, *, window: int = WINDO
     left out of ``item_ids``.
     """
     spark = documents.sparkSession
-    blocks_ = [spark.sparkContext.broadcast(b) for b in _item_blocks(items, max_words)]
-    text = text_bytes("text")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
-                            (F.md5(text) if len(blocks_) > 1 else F.lit(None).cast("string")).alias("_text"))
-    found = docs.mapInArrow(_search_shards(blocks_[0], window), _SCHEMA)
-    for b in blocks_[1:]:
-        found = found.unionByName(docs.mapInArrow(_search_shards(b, window), _SCHEMA))
-    if len(blocks_) > 1:
-        found = _merge_blocks(found, len(blocks_))
+    queries = [spark.sparkContext.broadcast(b) for b in _item_blocks(items, max_words)]
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
+    found = docs.mapInArrow(_search_shards(queries, window), _SCHEMA)
     return found.select(
-        "doc_id", "n_words",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"]).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"].cast("string")),
-                                               lambda i: i.isNotNull()))).alias("item_ids"),
-        "spans", "matches")
-
-
-def _merge_blocks(found: DataFrame, n_blocks: int) -> DataFrame:
-    """One row per document again after several blocks of items: spans united, matches concatenated.
-
-    Rows that repeat a document have equal results; the group has ``n_blocks``
-    rows for each and gives that many back.
-    """
-    keys = found.groupBy("doc_id", "_text", "n_words").agg((F.count("*") / n_blocks).cast("int").alias("copies"),
-                                                F.sort_array(F.flatten(F.collect_set("spans"))).alias("all"),
-                                                F.array_distinct(F.flatten(F.collect_set("matches"))).alias("matches"))
-    empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-    united = F.aggregate("all", empty, lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1),
-                 F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"),
-                                  F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))),
-    ).otherwise(F.concat(acc, F.array(x))))
-    return (keys.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select("doc_id", "n_words", united.alias("spans"), "matches"))
+        "doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"]).alias("n_hit"),
+        F.array_sort(F.array_distinct(F.transform("item_ids", lambda i: i.cast("string")))).alias("item_ids"), "spans", "matches")
 
 
 def is_contaminated(n_hit="n_hit", n_words="n_words"):
@@ -247,5 +295,6 @@ def decontaminate(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     Rows with a null doc_id cannot be told apart afterwards; they stay.
     """
-    bad = contamination(documents, items).filter(is_contaminated()).select("doc_id").distinct()
-    return documents.join(bad.withColumnRenamed("doc_id", "_bad_id"), F.col("doc_id").cast("long") == F.col("_bad_id"), "left_anti")
+    id_ = unused(documents, "bad_id")
+    bad = contamination(documents, items).filter(is_contaminated()).select(F.col("doc_id").alias(id_)).distinct()
+    return documents.join(bad, F.col("doc_id").cast("long") == F.col(id_), "left_anti")

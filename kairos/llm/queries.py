@@ -6,6 +6,7 @@ parameters of its module and derives the digest columns from its output.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,15 +41,18 @@ _ESCAPED = r"""regexp_replace(regexp_replace(coalesce(text, ''), '<(\\*)(s>|/s>)
 
 
 @query(f"""
-with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, case when conv_id is null then row_number() over () end as own
+             from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]', null union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]', null),
 t as (select *, {_ESCAPED} as esc, case role when 'system' then 14 when 'user' then 19 when 'assistant' then 12 else 17 end as marks
       from c)
 select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
-       sum(length(esc) + marks)::bigint formatted_chars
-from t group by conv_id
+       sum(length(esc) + marks)::bigint formatted_chars,
+       regexp_full_match(string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'x' end, ''
+                                    order by turn, role, text), 's?(ua)+') as valid
+from t group by conv_id, own
 """)
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that speaks in control strings, formatted and read back."""
@@ -59,7 +63,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
                        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
-                       F.length("formatted").cast("long").alias("formatted_chars"))
+                       F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
 def ranks_path() -> str:
@@ -154,26 +158,31 @@ def _secret_sql() -> str:
         unnest(vals) as val, unnest(range(1, len(gaps) + 1)) as n from (select row_id, owner, repository,
         string_split_regex(body, '{p}') as gaps, regexp_extract_all(body, '{p}') as hits, regexp_extract_all(body, '{p}', {group}) as vals
         from d where regexp_matches(body, '{p}'))""" for at, (kind, (pattern, group, least)) in enumerate(op9_secrets.KINDS.items())
-        for p in [pattern.replace("'", "''")]]
+        for p in [re.sub(r"(?<=[*+])\+", "", pattern).replace("'", "''")]]  # RE2 has no possessive form and needs none
     order = "order by start, ord"
     return f"""
 with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as body, coalesce(source, '') as owner,
                   concat_ws('/', coalesce(source, ''), coalesce(lang, '')) as repository from documents),
 p as ({" union all ".join(parts)}),
 q as (select *, sum(length(gap) + coalesce(length(hit), 0)) over (partition by row_id, kind order by n) as fin from p),
+v as (select * exclude (val), case when kind = 'key' then regexp_replace(val, '{op9_secrets.KEY_NOISE}', '', 'g') else val end as val from q
+      where hit is not null),
 c as (select row_id, owner, repository, kind, ord, (fin - length(hit))::bigint as start, fin::bigint as fin, sha256(val) as h,
              kind = 'key' or len(list_distinct(string_split(val, ''))) >= {op9_secrets.MIN_DISTINCT} as random
-      from q where hit is not null and length(val) >= least),
-o as (select h, count(distinct owner) > {op9_secrets.MAX_OWNERS} as example from c group by h),
-s as (select c.*, example, random and not example as live, kind || ':' || start || ':' || fin as span from c join o using (h)
+      from v where length(val) >= least),
+o as (select h, count(distinct owner) as n_owners, count(distinct repository) as n_repositories,
+             count(distinct owner) > {op9_secrets.MAX_OWNERS} or count(distinct repository) > {op9_secrets.MAX_REPOSITORIES} as example from c group by h),
+s as (select c.*, n_owners, n_repositories, example, random and not example as live, kind || ':' || start || ':' || fin as span from c join o using (h)
       where kind in ('assign', 'access', 'hex') or (random and not example)),
 g as (select row_id, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as b, count(*) filter (kind = 'hex') as x,
              coalesce(string_agg(span, ',' {order}) filter (kind in ('assign', 'access', 'hex')), '') as base,
-             string_agg(span, ',' {order}) as spans, count(*) filter (live) as live, count(*) filter (example) as example
+             string_agg(span, ',' {order}) as spans, count(*) filter (live) as live, count(*) filter (example) as example,
+             max(n_owners) as n_owners, max(n_repositories) as n_repositories
       from s group by row_id)
 select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(b, 0)::bigint as n_access, coalesce(x, 0)::bigint as n_hex,
        sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(live, 0)::bigint as n_live,
-       coalesce(example, 0)::bigint as n_example
+       coalesce(example, 0)::bigint as n_example, coalesce(n_owners, 0)::bigint as most_owners,
+       coalesce(n_repositories, 0)::bigint as most_repositories
 from d left join g using (row_id)"""
 
 
@@ -184,9 +193,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = op9_secrets.of_kinds(op9_secrets.BASE)
     count = lambda kind: F.size(op9_secrets.of_kinds((kind,))).cast("long")
     flagged = lambda flag: F.size(F.filter("spans", lambda x: x[flag])).cast("long")
+    most = lambda count: F.coalesce(F.array_max(F.transform("spans", lambda x: x[count])), F.lit(0))
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
                         F.sha2(op9_secrets.told(base), 256).alias("base_sha256"), op9_secrets.told(F.col("spans")).alias("spans"),
-                        flagged("live").alias("n_live"), flagged("example").alias("n_example"))
+                        flagged("live").alias("n_live"), flagged("example").alias("n_example"),
+                        most("n_owners").alias("most_owners"), most("n_repositories").alias("most_repositories"))
 
 
 @query()

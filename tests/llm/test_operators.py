@@ -310,19 +310,51 @@ def test_secrets(spark):
     assert op9_secrets.scan(df.limit(0)).count() == 0
 
 
+def brute_keys(text):
+    """Private keys of a text as (start, end, value), found without regular expressions over the body."""
+    out, at = [], 0
+    for m in re.finditer(r"-----BEGIN [A-Z ]*PRIVATE KEY-----", text):
+        end = re.search(r"-----END [A-Z ]*PRIVATE KEY-----", text[m.end():])
+        if m.start() < at or not end or "-----BEGIN" in text[m.end():m.end() + end.start()]:
+            continue
+        lines = re.split(r"\n|\r|\\n|\\r", text[m.end():m.end() + end.start()])
+        body = "".join(x for x in lines if ":" not in x).replace(" ", "").replace("\t", "")
+        if len(body) >= 64 and re.fullmatch("[A-Za-z0-9+/=]*", body):
+            at = m.end() + end.end()
+            out.append((m.start(), at, body))
+    return out
+
+
 def test_private_keys_are_owned_one_by_one(spark, tmp_path):
-    """Keys of one type and of many owners stay live; one key of many owners is an example; a header alone is no key."""
+    """Keys of many owners stay live, one key of many owners (however its lines end) is an example, and marks in prose are no key."""
     def key(k, head="", end="\n"):
         body = end.join(hashlib.sha256(f"{k}/{i}".encode()).hexdigest().upper() + "+/" for i in range(3))
         return f"-----BEGIN RSA PRIVATE KEY-----{end}{head}{body}=={end}-----END RSA PRIVATE KEY-----"
     crypt = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    many = "".join(f"Header-{k}: value {k}\n" for k in range(30)) + "\n"
     texts = [f"mine: {key(k)} here" for k in range(5)] + [key(10 + k, crypt) for k in range(4)] + [key(20 + k, end="\\n") for k in range(4)]
-    texts += [key(20 + k, crypt.replace("\n", "\\n"), "\\n") for k in range(10, 14)]
-    rows = [(k, t, f"owner{k}", "en") for k, t in enumerate(texts)] + [(100 + k, key(99), f"owner{k}", "en") for k in range(3)]
-    rows += [(200, "-----BEGIN RSA PRIVATE KEY-----\n-----END RSA PRIVATE KEY-----", "owner0", "en")]
+    texts += [key(20 + k, crypt.replace("\n", "\\n"), "\\n") for k in range(10, 14)] + [key(60, many)]
+    rows = [(k, t, f"owner{k}", "en") for k, t in enumerate(texts)]
+    # one key in four styles of line ends, each with an owner of its own, and with header lines
+    styles = [key(99), key(99, end="\r\n"), key(99, end="\\n"), key(99, end=""), key(99, crypt)]
+    rows += [(100 + k, t, f"style{k}", "en") for k, t in enumerate(styles)]
+    # few owners, many repositories
+    rows += [(150 + k, key(98), f"owner{k % 2}", f"lang{k}") for k in range(6)]
+    prose = ["-----BEGIN RSA PRIVATE KEY-----\n-----END RSA PRIVATE KEY-----", "see -----BEGIN RSA PRIVATE KEY----- as the first line",
+             "-----BEGIN PRIVATE KEY----- and then it ends with -----END PRIVATE KEY-----", key(70).replace("-----END RSA PRIVATE KEY-----", ""),
+             "-----BEGIN PRIVATE KEY-----\n" + "A: b\n" * 20_000 + "AAAA" * 30]
+    rows += [(200 + k, t, f"prose{k}", "en") for k, t in enumerate(prose)] + [(300, key(61) + " and " + key(62) + "\n" + "Q" * 200_000, "two", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.QUERIES["op9_secret_scan"](spark, str(tmp_path)).collect()
-    assert {r.doc_id: len(re.findall(r"\bkey:", r.spans)) for r in got} == {k: int(k < 100) for k, *_ in rows}
+    found = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("key:")] for r in got}
+    owners, repositories = {}, {}
+    for _, t, source, lang in rows:
+        for *_, body in brute_keys(t):
+            owners.setdefault(body, set()).add(source)
+            repositories.setdefault(body, set()).add((source, lang))
+    live = lambda body: len(owners[body]) <= 2 and len(repositories[body]) <= 4
+    assert found == {d: [(s, e) for s, e, body in brute_keys(t) if live(body)] for d, t, *_ in rows}
+    assert sum(map(len, found.values())) == len(texts) + 2 and not any(found[d] for d in found if 100 <= d < 300)
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = con.sql(queries.ORACLE["op9_secret_scan"])
@@ -331,3 +363,57 @@ def test_private_keys_are_owned_one_by_one(spark, tmp_path):
 
 def test_registry_has_every_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_repetitive_texts_stay_small(spark):
+    """One word repeated in a document and in an item: the places are the words, not their product."""
+    import resource
+
+    from kairos.llm.common import NON_ALNUM, WordHasher, byte_map, word_spans
+    import numpy as np
+    import pyarrow as pa
+    text = ("so " * 20_000 + "\n").encode()
+    lut, hasher = byte_map(NON_ALNUM), WordHasher()
+    mapped = lut[np.frombuffer(("so " * 4_000).encode() + b"\n", np.uint8)]
+    words = hasher(mapped, *word_spans(mapped))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text], pa.binary())], ["doc_id", "text"])
+    shard = op8_decontamination._Shard(batch, hasher, lut, 13)
+    shard.search(words, np.array([0, len(words)]), [7], 13)
+    assert shard.spans() == [[{"s": 0, "e": 20_000}]] and shard.item_ids() == [[7]]
+    assert shard.matches()[0] and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def thue_morse(order):
+    a = "a"
+    for _ in range(order):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_never_meet_by_hash(spark):
+    """Thue-Morse words and lines, whose polynomial hashes agree modulo 2^64, are different words and lines."""
+    from kairos.llm import op5_quality, op10_line_dedup
+    a, b = thue_morse(11)
+    lines = spark.createDataFrame([(1, f"{a}\n{b}\n{a} x\n{b} x\n{a}"), (2, f"{b} y\n{b}")], "doc_id long, text string")
+    gone, _ = op10_line_dedup.removed_lines(lines)
+    assert {(r.doc_id, r.line): (r.match_doc, r.match_line) for r in gone.collect()} == {(1, 4): (1, 0), (2, 1): (1, 1)}
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+    base = {r.doc_id: (r.n_words, r.n_dup_lines) for r in op5_quality.rules(lines, op5_quality.train(lines, labels)).collect()}
+    assert base == {1: (7, 1), 2: (3, 0)}
+    items = spark.createDataFrame([(5, a)], "item_id long, text string")
+    hit = {r.doc_id: r.n_hit for r in op8_decontamination.contamination(lines, items).collect()}
+    assert hit == {1: 3, 2: 0}
+
+
+def test_clashing_column_names(spark):
+    """Functions that return the documents give back every column as it was, whatever its name."""
+    from kairos.llm import op10_line_dedup
+    text = "some words that stand in this document and in no other one"
+    names = ["_gone", "_doc", "gone", "doc", "gone_id", "_gone_id", "bad_id", "_bad_id", "toxicity", "_toxicity", "a.b", "line"]
+    rows = [(k, text if k < 2 else f"{text} {k} " * k, *names) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(0, 0), (3, 0)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "nothing of this")], "item_id long, text string")
+    for out in (op10_line_dedup.dedup_lines(df), op6_simhash.deduplicate(df), op8_decontamination.decontaminate(df, items), op7_toxicity.keep_clean(df, labels)):
+        assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} == {tuple(names)}
