@@ -49,6 +49,8 @@ MIN_PREFIX_WORDS = 4
 #: Counters of word frequency: 16 MB wherever they are held.
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
+#: Text of a block: its word and line arrays take about 40 times as much.
+BLOCK_BYTES = 2 << 20
 #: Counters per row while task counts are added up.
 CHUNK = 1 << 16
 #: Sets that meet on one prefix word before their meeting is split.
@@ -88,7 +90,7 @@ def _slot(words: np.ndarray) -> np.ndarray:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lines, total = Lines(), np.zeros(SLOTS, np.uint32)  # a task reads far less than 2^32 words
-    for block in blocks(batches):
+    for block in blocks(batches, max_bytes=BLOCK_BYTES):
         words = lines(*buffers(block.column("text")))[0]
         np.add.at(total, _slot(words), 1)
     yield from _chunks({k: total[k * CHUNK:(k + 1) * CHUNK] for k in range(SLOTS // CHUNK)})
@@ -155,7 +157,7 @@ def _describe(counts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, lines = counts.value, Lines()
-        for block in blocks(batches):
+        for block in blocks(batches, max_bytes=BLOCK_BYTES):
             words, line, doc, number = lines(*buffers(block.column("text")))
             if not len(words):
                 continue
@@ -283,7 +285,7 @@ def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and places of the wanted lines: rows (doc_id, text, wanted: line, sid, h1, h2)."""
     lines = Lines()
-    for block in blocks(batches):
+    for block in blocks(batches, max_bytes=BLOCK_BYTES):
         words, line, doc, number = lines(*buffers(block.column("text")))
         wanted = block.column("wanted")
         row = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairos.llm.common import shared
+from kairos.llm.common import shared, trim
 from kairos.llm.op2_bpe import encoder_of
 from kairos.operators.running import running_sum
 
@@ -29,6 +29,7 @@ RANGE = 1024
 
 def _lengths(ranks_path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encode = encoder_of(ranks_path, pattern).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) for t in batch.column("text").to_pylist()]

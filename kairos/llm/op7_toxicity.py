@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairos.llm.common import unused
+from kairos.llm.common import trim, unused
 from kairos.llm.linear import Sample, fit_calibrated, labelled_sample
 
 DIM_BITS = 20
@@ -74,6 +74,7 @@ class Grams:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = Grams()
+    trim()
     for batch in batches:
         idx = [grams(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(idx, pa.list_(pa.int32()))],
@@ -113,6 +114,7 @@ def scored(documents: DataFrame, model: tuple[np.ndarray, float], out: str = "sc
         import pandas as pd
         (w, bias), grams = held.value, Grams()
         z = np.array([w[grams(t)].sum(dtype=np.float64) for t in texts], np.float64) + bias
+        trim()
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return documents.withColumn(out, score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
