@@ -13,6 +13,7 @@ _MODULES = (
     "kairos.plans.q_metrics",
     "kairos.plans.q_text",
     "kairos.plans.q_models",
+    "kairos.plans.q_select",
     "kairos.plans.q_sources",
     "kairos.plans.q_workflow",
 )
