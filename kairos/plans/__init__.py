@@ -16,6 +16,7 @@ _MODULES = (
     "kairos.plans.q_select",
     "kairos.plans.q_sources",
     "kairos.plans.q_workflow",
+    "kairos.plans.q_cox",
 )
 
 

@@ -278,31 +278,6 @@ COX_FOLDS = 10
 COX_LAMBDAS = tuple(10.0 ** (5 - k / 10) for k in range(81))
 
 
-@query("h4_cox_landmark", "H4 E5")
-def h4_cox_landmark(spark, sf_dir):
-    """Ridge Cox over the landmark set: the penalty chosen by patient-grouped cross-validation (10 folds x 81 penalties),
-    its coefficients, and the optimality condition of each (the penalised score, which is zero)."""
-    from kairos.operators.cohort import landmark_set
-    from kairos.operators.dedup import fold_of
-    from kairos.plans.q_cohort import _visits_time1
-    from kairos.sources import fixtures as fx
-    ls = landmark_set(_visits_time1(spark, sf_dir), fu="days_to_last")
-    p = fx.patients(spark, sf_dir).select("patient_id", (F.col("score_a") / F.lit(1000.0)).alias("x_score"))
-    d = ls.join(p, "patient_id").withColumn("lm", F.col("landmark") / F.lit(365.0)) \
-        .withColumn("lm2", F.col("lm") * F.col("lm")).withColumn("fold", fold_of("patient_id", COX_FOLDS))
-    names = ["x_score", "lm", "lm2"]
-    d = persist_table(d.select("fu_time", "dead", "fold", *names), "cox_rows")
-    cv = md.cox_cv(d, time="fu_time", event="dead", features=names, fold="fold", n_folds=COX_FOLDS, lambdas=COX_LAMBDAS,
-                   penalty_factor=[1.0, 0.0, 0.0])  # landmark terms are not shrunk
-    base = d.select(F.col("fu_time").cast("double").alias("_t"), F.col("dead").cast("int").alias("_d"),
-                    *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(names)])
-    g, _, _ = md._cox_step(base, cv["beta"], len(names))
-    score = g - cv["l2"] * cv["pf"] * cv["beta"]
-    rows = [(n, float(b), round(float(x) / cv["n"], 6) + 0.0) for n, b, x in zip(names, cv["beta"], score)]
-    rows += [("lambda", cv["lambda"], None)]
-    return spark.createDataFrame(rows, "term string, value double, score double")
-
-
 @query("h7_glm_lr_test", "H7")
 def h7_glm_lr_test(spark, sf_dir):
     from kairos.plans.q_metrics import evaluable
