@@ -1,6 +1,6 @@
 """Document fingerprints: I-Match over randomised lexicon subsets; DataFrame functions only.
 
-1. **Lexicon.** Every document's distinct terms (lower-cased words) are
+1. **Lexicon.** Every document's distinct terms (words) are
    hashed to ``SLOTS`` slots; how many documents hold each slot is counted over
    the whole corpus (partial counts a task, then one row per slot). A slot is
    in the lexicon if its inverse document frequency ln(N / n) lies in a band:
@@ -10,14 +10,14 @@
    a term is in the subsets of a family up to the number of zero bits that its
    hash begins with there. Sparse subsets survive edits of long texts, dense
    ones tell short texts apart.
-3. **Fingerprint.** The distinct terms of a text that are in the lexicon, sorted,
-   are hashed once as a whole and once per subset. Two texts are alike in the
+3. **Fingerprint.** The distinct terms of a text that are in the lexicon, sorted
+   (by their 60-bit hashes), are hashed once as a whole and once per subset. Two texts are alike in the
    share of subsets, of those where one of them has a term, whose hashes agree.
 
 Terms in one slot share its count. Hashing needs no shuffle of documents or of
 (document, term) rows: only slot counts move.
 
-Defined cases: null texts are empty; a text without terms has an empty hash
+Defined cases: null texts are empty; a text without terms has the hash of nothing
 everywhere and is like another such text only; a text of which no term is in
 the lexicon is hashed over all of its terms; equal texts have equal
 fingerprints; repeated rows count and are hashed each for itself; an empty
@@ -43,13 +43,21 @@ FAMILY_BITS = 10
 #: Hex digits of one hash.
 DIGITS = 8
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Hash of no terms at all: the first digits of the MD5 of nothing.
+EMPTY = "d41d8cd9"
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TERM), F.lit(0)))
+
+
+def _md5(word: Column) -> Column:
+    return F.md5(word.cast("binary"))
 
 
 def terms(text: Column) -> Column:
-    """Sorted distinct terms of a text, as 60-bit numbers from their MD5."""
-    words = F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return F.transform(F.sort_array(F.array_distinct(words)), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 15), 16, 10).cast("long"))
+    """Distinct terms of a text as 60-bit numbers from their MD5."""
+    return F.transform(_words(text), lambda w: F.conv(F.substring(_md5(w), 1, 15), 16, 10).cast("long"))
 
 
 def _slot(term: Column) -> Column:
@@ -58,8 +66,10 @@ def _slot(term: Column) -> Column:
 
 def lexicon(documents: DataFrame, *, text: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """One row: ``bitmap``, 64 slots to a number, of the slots whose inverse document frequency is in the band."""
-    held = documents.select(F.array_distinct(F.transform(terms(F.col(text)), _slot)).alias("slots"))
-    found = shared(held.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")), "imatch-slots")
+    # a slot is the end of a term's 60 bits: five hex digits, counted as they are
+    held = documents.select(F.explode(F.array_distinct(F.transform(_words(F.col(text)), lambda w: F.substring(_md5(w), 11, 5)))).alias("hex"))
+    found = held.groupBy("hex").agg(F.count("*").alias("n")).select(F.conv("hex", 16, 10).cast("long").alias("slot"), "n")
+    found = shared(found, "imatch-slots")
     total = documents.agg(F.count("*").alias("n")).scalar()
     idf = F.log(total / F.col("n"))
     part = found.filter((idf >= band[0]) & (idf <= band[1])).groupBy(F.shiftright("slot", 6).alias("k")).agg(
@@ -75,9 +85,8 @@ def _in(bitmap: str, term: Column) -> Column:
 
 
 def _hashed(some: Column) -> Column:
-    """Hash of a list of terms; dots for an empty one."""
-    told = F.array_join(F.transform(some, lambda t: t.cast("string")), " ")
-    return F.when(F.size(some) > 0, F.substring(F.md5(told.cast("binary")), 1, DIGITS)).otherwise(F.lit("." * DIGITS))
+    """Hash of a list of terms; ``EMPTY`` for an empty one."""
+    return F.substring(F.md5(F.array_join(F.transform(some, lambda t: t.cast("string")), " ").cast("binary")), 1, DIGITS)
 
 
 def _subset(some: str, family: int, bits: int) -> Column:
@@ -99,7 +108,7 @@ def with_fingerprints(df: DataFrame, lexicon_: DataFrame, texts: dict[str, str])
         df = df.select(*keep, terms(F.col(f"`{text}`")).alias(every))
         # a subquery cannot stand inside a lambda: the bitmap is a column until the terms are filtered
         df = df.select(*keep, every, bitmap.alias(bits_)).select(*keep, every, F.filter(every, lambda t: _in(bits_, t)).alias(known))
-        df = df.select(*keep, F.when(F.size(known) > 0, F.col(known)).otherwise(F.col(every)).alias(every))
+        df = df.select(*keep, F.sort_array(F.when(F.size(known) > 0, F.col(known)).otherwise(F.col(every))).alias(every))
         # the densest subset of each family first: the sparser ones lie in it
         df = df.select(*keep, every, *[_subset(every, f, LEVELS[0]).alias(family[f]) for f in range(REPLICAS)])
         subsets = [_hashed(_subset(family[f], f, bits) if bits > LEVELS[0] else F.col(family[f])) for f in range(REPLICAS) for bits in LEVELS]
@@ -112,7 +121,7 @@ def likeness(a: str | Column, b: str | Column) -> Column:
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     n = 1 + REPLICAS * len(LEVELS)
     piece = lambda x, i: F.substr(x, i * DIGITS + 1, F.lit(DIGITS))
-    told = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (piece(a, i) != "." * DIGITS) | (piece(b, i) != "." * DIGITS))
+    told = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (piece(a, i) != EMPTY) | (piece(b, i) != EMPTY))
     same = F.size(F.filter(told, lambda i: piece(a, i) == piece(b, i)))
     return F.when(a == b, F.lit(1.0)).otherwise(same / F.size(told))
 

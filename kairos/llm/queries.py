@@ -268,10 +268,10 @@ def _imatch_sql() -> str:
     lo, hi = op13.BAND
     mask = lambda f, bits: ((1 << bits) - 1) << (f * op13.FAMILY_BITS)
     subsets = [f"list_filter(t, lambda x: x & {mask(f, bits)} = 0)" for f in range(op13.REPLICAS) for bits in op13.LEVELS]
-    hashed = lambda x: f"case when len({x}) > 0 then substr(md5(array_to_string({x}, ' ')), 1, {op13.DIGITS}) else '{'.' * op13.DIGITS}' end"
+    hashed = lambda x: f"substr(md5(array_to_string({x}, ' ')), 1, {op13.DIGITS})"
     n = 1 + len(subsets)
     piece = lambda x: f"substr({x}, i * {op13.DIGITS} + 1, {op13.DIGITS})"
-    told = lambda a, b: f"list_filter(range({n}), lambda i: {piece(a)} <> '{'.' * op13.DIGITS}' or {piece(b)} <> '{'.' * op13.DIGITS}')"
+    told = lambda a, b: f"list_filter(range({n}), lambda i: {piece(a)} <> '{op13.EMPTY}' or {piece(b)} <> '{op13.EMPTY}')"
     like = lambda a, b: f"case when {a} = {b} then 1e0 else len(list_filter({told(a, b)}, lambda i: {piece(a)} = {piece(b)}))::double / len({told(a, b)}) end"
     return rf"""
 with d as (select row_number() over () as k, doc_id, coalesce(text, '') as body from documents),
@@ -279,8 +279,8 @@ e as (select *, length(body) as n, coalesce(lead(body) over w, first_value(body)
       from d window w as (order by doc_id nulls first, body rows between unbounded preceding and unbounded following)),
 f as (select *, left(body, (n - n // 4)::int) || left(after, (n // 4)::int) as edited from e),
 x as (select k, 0 as kind, body as s from f union all select k, 1, edited from f),
-w as (select k, kind, list_sort(list_distinct(regexp_extract_all(translate(s, '{op13.UPPER}', '{op13.LOWER}'), '{op13.TERM}'))) as words from x),
-t0 as (select k, kind, list_transform(words, lambda z: ('0x' || substr(md5(z), 1, 15))::bigint) as every from w),
+w as (select k, kind, list_distinct(regexp_extract_all(s, '{op13.TERM}')) as words from x),
+t0 as (select k, kind, list_sort(list_transform(words, lambda z: ('0x' || substr(md5(z), 1, 15))::bigint)) as every from w),
 u as (select k, kind, unnest(every) as v, unnest(range(len(every))) as pos from t0),
 slots as (select v & {op13.SLOTS - 1} as slot, count(distinct k) as df from u where kind = 0 group by 1),
 band as (select slot from slots where ln((select count(*) from d)::double / df) between {lo} and {hi}),
