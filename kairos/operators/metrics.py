@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kairos.functions.stats import Z975
+from kairos.functions.stats import Z975, norm_sf
 from kairos.operators.rows import attach
 from kairos.operators.running import running_sum
 
@@ -293,6 +293,19 @@ def compare_aucs(cov_rows: DataFrame, a: str, b: str) -> DataFrame:
                                        / F.sqrt(F.col("v1") + F.col("v2") - F.lit(2.0) * F.col("c12"))).alias("z"))
 
 
+def compare_all_aucs(cov_rows: DataFrame) -> list[dict]:
+    """K3 for every pair of scores in ``clustered_auc`` rows: both AUCs, z and its two-sided p value (scores x scores rows)."""
+    rows = {(r["a"], r["b"]): r for r in cov_rows.collect()}
+    out = []
+    for a, b in sorted(rows):
+        if a < b:
+            (va, vb), cov = (rows[a, a], rows[b, b]), rows[a, b]["cov"]
+            spread = va["cov"] + vb["cov"] - 2 * cov
+            z = (va["auc_a"] - vb["auc_a"]) / spread ** 0.5 if spread > 0 else float("nan")
+            out.append({"a": a, "b": b, "auc_1": va["auc_a"], "auc_2": vb["auc_a"], "z": z, "p": 2 * norm_sf(abs(z))})
+    return out
+
+
 def auc_table(df: DataFrame, *, scores: Sequence[str], label: str, subgroup: str, digits: int = 3) -> DataFrame:
     """K4: AUC with DeLong limits for every subgroup x method, formatted ``auc (low-high)``.
 

@@ -132,7 +132,9 @@ def top_contributions(long: DataFrame, coefs: DataFrame, rows: DataFrame, *, row
     names = F.transform("_own", lambda x: x["f"])
 
     def joined(side, down):
-        absent = F.slice(F.filter(F.col("_r")[side], lambda x: ~F.array_contains(F.col("_names"), x["f"])), 1, k)
+        # of the best k + own features at least k are absent ones: no more of the ranked array is looked at, whatever its width
+        head = F.slice(F.col("_r")[side], F.lit(1), F.size("_names") + k)
+        absent = F.slice(F.filter(head, lambda x: ~F.array_contains(F.col("_names"), x["f"])), 1, k)
         best = F.slice(F.array_sort(F.concat(rank(F.col("_own"), down), absent)), 1, k)
         return F.array_join(F.transform(best, lambda x: F.concat(x["s"], x["f"])), "")
 

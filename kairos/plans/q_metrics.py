@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kairos.functions import bins
+from kairos.functions.stats import pearson_test
 from kairos.operators import metrics as mt
 from kairos.operators import survival as sv
 from kairos.plans.q_survival import SV_SQL, _BREAKS, _bin_sql, km_sql, surv_base
@@ -179,7 +180,15 @@ def k11_chi2(spark, sf_dir):
 
 
 @query("k12_corr", "K12", """
-select round(corr(score_a, n_visits), 6) + 0e0 as r, cast(count(*) as bigint) as n,
+with c as (select corr(score_a, n_visits) as r, count(*) as n from sv),
+a as (select n - 2 as df, atan(abs(r) * sqrt((n - 2) / (1 - r * r)) / sqrt(n - 2)) as th from c),
+-- Student's t for whole degrees of freedom: A(t) = sin(th) * sum c_j cos(th)^2j, or 2/pi (th + sin(th) cos(th) sum d_j cos(th)^2j)
+j as (select unnest(range(cast((select df // 2 from a) as bigint))) as j),
+w as (select j, exp(sum(case when j = 0 then 0e0 when a.df % 2 = 0 then ln((2 * j - 1e0) / (2 * j)) else ln(2e0 * j / (2 * j + 1)) end) over (order by j)) as c,
+        a.df, a.th from j, a),
+t as (select case when max(df) % 2 = 0 then sin(max(th)) * sum(c * pow(cos(th), 2 * j))
+             else 2 / pi() * (max(th) + sin(max(th)) * cos(max(th)) * sum(c * pow(cos(th), 2 * j))) end as inside from w)
+select (select round(1 - inside, 6) + 0e0 from t) as p, round(corr(score_a, n_visits), 6) + 0e0 as r, cast(count(*) as bigint) as n,
   round(corr(score_a, n_visits) * sqrt((count(*) - 2) / (1 - pow(corr(score_a, n_visits), 2))), 6) + 0e0 as t,
   round(tanh(atanh(corr(score_a, n_visits)) - 1.959963984540054e0 / sqrt(count(*) - 3)), 6) + 0e0 as lower,
   round(tanh(atanh(corr(score_a, n_visits)) + 1.959963984540054e0 / sqrt(count(*) - 3)), 6) + 0e0 as upper
@@ -188,7 +197,9 @@ from sv
 def k12_corr(spark, sf_dir):
     c = mt.correlation(surv_base(spark, sf_dir).withColumn("n_visits", F.col("n_visits").cast("double")),
                        "score_a", "n_visits")
-    return c.select(r("r", 6).alias("r"), "n", r("t", 6).alias("t"), r("lower", 6).alias("lower"), r("upper", 6).alias("upper"))
+    one = c.first()  # one row: the tail of Student's t is taken on the driver
+    p = pearson_test(one["r"], one["n"])["p"]
+    return c.select(F.lit(round(p, 6) + 0.0).alias("p"), r("r", 6).alias("r"), "n", r("t", 6).alias("t"), r("lower", 6).alias("lower"), r("upper", 6).alias("upper"))
 
 
 @query("k13_weighted", "K13", """
@@ -341,6 +352,48 @@ def k3_auc_comparison(spark, sf_dir):
     return z.select(r("auc_1", 6).alias("auc_1"), r("auc_2", 6).alias("auc_2"), r("z", 6).alias("z"))
 
 
+@query("k3_all_pairs", "K3", """
+with lab as (select *, not died_1y as y from ev),
+sa as (select 'score_a' as sc, score_a as s, y, cluster_id from lab union all
+       select 'n_visits', n_visits, y, cluster_id from lab union all
+       select 'combined', score_a / 1000e0 + n_visits, y, cluster_id from lab),
+c as (select sc, s, sum(case when y then 1 else 0 end) as pos, sum(case when y then 0 else 1 end) as neg from sa group by sc, s),
+w as (select *, coalesce(sum(neg) over (partition by sc order by s rows between unbounded preceding and 1 preceding), 0) as lt_neg,
+        coalesce(sum(pos) over (partition by sc order by s rows between 1 following and unbounded following), 0) as gt_pos,
+        sum(pos) over (partition by sc) as P, sum(neg) over (partition by sc) as N from c),
+pl as (select sc, s, (lt_neg + 0.5e0 * neg) / N as p10, (gt_pos + 0.5e0 * pos) / P as p01 from w),
+per as (select sa.sc, sa.cluster_id, sum(case when sa.y then p10 else 0e0 end) as v10,
+          sum(case when not sa.y then p01 else 0e0 end) as v01,
+          sum(case when sa.y then 1 else 0 end) as m, sum(case when sa.y then 0 else 1 end) as n
+        from sa join pl on pl.sc = sa.sc and pl.s = sa.s group by sa.sc, sa.cluster_id),
+tot as (select sc, sum(m) as mtot, sum(n) as ntot, sum(v10) / sum(m) as auc, sum(case when m > 0 then 1 else 0 end) as i10,
+          sum(case when n > 0 then 1 else 0 end) as i01, count(*) as icl from per group by sc),
+d as (select per.cluster_id, per.sc, tot.auc, per.v10 - per.m * tot.auc as d10, per.v01 - per.n * tot.auc as d01,
+        tot.mtot, tot.ntot, tot.i10, tot.i01, tot.icl
+      from per join tot on tot.sc = per.sc),
+g as (select x.sc as a, y.sc as b, x.auc as auc_a, y.auc as auc_b, x.mtot, x.ntot, x.i10, x.i01, x.icl,
+        sum(x.d10 * y.d10) as s10, sum(x.d01 * y.d01) as s01, sum(x.d10 * y.d01) + sum(y.d10 * x.d01) as s11
+      from d x join d y on x.cluster_id = y.cluster_id group by x.sc, y.sc, x.auc, y.auc, x.mtot, x.ntot, x.i10, x.i01, x.icl),
+cv as (select a, b, auc_a, i10 / ((i10 - 1) * mtot) * s10 / mtot + i01 / ((i01 - 1) * ntot) * s01 / ntot
+          + icl / (icl - 1e0) * s11 / (mtot * ntot) as cov from g),
+z as (select v1.a as method_1, v2.a as method_2, v1.auc_a as auc_1, v2.auc_a as auc_2,
+        (v1.auc_a - v2.auc_a) / sqrt(v1.cov + v2.cov - 2 * c12.cov) as z
+      from cv v1, cv v2, cv c12 where v1.a = v1.b and v2.a = v2.b and c12.a = v1.a and c12.b = v2.a and v1.a < v2.a),
+-- the two-sided tail of the normal distribution: 1 - erf by its series, and erfc by its asymptotic one where that would cancel
+e as (select z.*, j, abs(z) / sqrt(2e0) as x from z, (select unnest(range(150)) as j)),
+p as (select method_1, method_2, 1 - 2 / sqrt(pi()) * sum(pow(-1, j) * exp((2 * j + 1) * ln(greatest(x, 1e-300)) - lgamma(j + 1e0)) / (2 * j + 1)) as p
+      from e where x < 3e0 group by method_1, method_2)
+select z.method_1, z.method_2, round(auc_1, 6) as auc_1, round(auc_2, 6) as auc_2, round(z, 6) + 0e0 as z, round(coalesce(p.p, exp(-z.z * z.z / 2e0) / (abs(z.z) * sqrt(pi() / 2e0)) * (1 - 1 / pow(z.z, 2) + 3 / pow(z.z, 4) - 15 / pow(z.z, 6))), 6) + 0e0 as p
+from z left join p on p.method_1 = z.method_1 and p.method_2 = z.method_2
+""", extra_views={"sv": SV_SQL, "ev": EV_SQL})
+def k3_all_pairs(spark, sf_dir):
+    """Every pair of three scores compared, with cluster-robust variances and two-sided p values."""
+    ev = evaluable(spark, sf_dir).withColumn("y", ~F.col("died_1y")).withColumn("combined", F.col("score_a") / F.lit(1000.0) + F.col("n_visits"))
+    c = mt.clustered_auc(ev, scores=["score_a", "n_visits", "combined"], label="y", cluster="cluster_id")
+    rows = [(t["a"], t["b"], *(round(t[k], 6) + 0.0 for k in ("auc_1", "auc_2", "z", "p"))) for t in mt.compare_all_aucs(c)]
+    return spark.createDataFrame(rows, "method_1 string, method_2 string, auc_1 double, auc_2 double, z double, p double")
+
+
 _RELATION_SQL = f"""
 select time, event, a_group, case when b <= (case a_group when 1 then -1 when 2 then 2 when 3 then 4 else 6 end) then 'Shorter'
     when b <= (case a_group when 1 then 2 when 2 then 4 when 3 then 6 else 999 end) then 'Same' else 'Longer' end as relation

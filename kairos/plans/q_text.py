@@ -157,13 +157,11 @@ def _vocab(notes, n_terms, materialize: bool = False):
 
 
 def _counts_and_vocab(notes):
-    """(doc-term counts within the vocabulary, vocabulary): the notes are read and tokenised once, the counts written
-    once, and the vocabulary of the training notes comes from the written counts."""
+    """(doc-term counts within the vocabulary, vocabulary): the vocabulary comes from corpus totals, and the counts are
+    filtered by it before any document's terms are shuffled; only terms of the vocabulary are written."""
     from kairos.sources.writers import persist_table
-    counts = persist_table(tops.term_counts(notes), "doc_term_counts")
-    v = tops.vocabulary(counts.filter(F.col("note_id") % 10 < 8), max_features=VOCAB_N)
-    v = persist_table(v, "vocab")
-    return counts.join(F.broadcast(v.select("term")), "term", "left_semi"), v  # VOCAB_N rows at most
+    v = _vocab(notes, VOCAB_N, materialize=True)
+    return persist_table(tops.vocab_counts(notes, v), "doc_term_counts"), v
 
 
 @query("g7_vocabulary", "G7", """
