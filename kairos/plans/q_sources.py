@@ -109,10 +109,7 @@ def a10_config_sources(spark, sf_dir):
 select note_id, md5(note_text) as text_md5 from notes
 """)
 def a5_text_folder(spark, sf_dir):
-    """Each note written as its own text file (one folder per note id), the folder read back whole."""
-    path = wr.shared_path(spark, "note_files")
-    fx.notes(spark, sf_dir).select("note_id", "note_text").write.mode("overwrite").partitionBy("note_id").text(path)
-    back = rd.read_text_folder(spark, path, id_pattern=r"note_id=(\d+)/")
-    # the text writer ends every file with one newline; remove exactly that one
-    txt = F.when(F.col("text").endswith("\n"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
-    return back.select(F.col("note_id").cast("long").alias("note_id"), F.md5(txt).alias("text_md5"))
+    """All notes written into few container files and read back whole."""
+    path = wr.write_packed_texts(fx.notes(spark, sf_dir), wr.shared_path(spark, "note_files"), doc="note_id", text="note_text")
+    back = rd.read_packed_texts(spark, path)
+    return back.select(F.col("doc").cast("long").alias("note_id"), F.md5("text").alias("text_md5"))

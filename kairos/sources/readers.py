@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: What ends a record of a packed text file, and what ends its id: the control characters made for it.
+RECORD_END, ID_END = "\x1e", "\x1f"
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str | None = None,
               lower_bound: int | None = None, upper_bound: int | None = None, num_partitions: int = 1,
               properties: Mapping[str, str] | None = None, fetch_size: int = 10_000) -> DataFrame:
@@ -51,6 +55,15 @@ def read_text_folder(spark: SparkSession, path: str, *, id_pattern: str = r"([^/
                     *rest)
 
 
+def read_packed_texts(spark: SparkSession, path: str) -> DataFrame:
+    """A5 for many texts: rows (doc, text) of the container files of ``writers.write_packed_texts``; splits fall between records."""
+    d = spark.read.option("lineSep", RECORD_END).text(path)
+    cut = F.instr("value", ID_END)
+    text = F.replace(F.replace(F.expr(f"substring(value, instr(value, '{ID_END}') + 1)"), F.lit("\\e"), F.lit(RECORD_END)), F.lit("\\s"), F.lit("\\"))
+    return d.select(F.when(cut > 0, F.expr("substring(value, 1, instr(value, '" + ID_END + "') - 1)")).otherwise(F.col("value")).alias("doc"),
+                    F.when(cut > 0, text).alias("text"))
+
+
 def read_extracts(spark: SparkSession, files: Sequence[str], types: Mapping[str, str], *,
                   date_pattern: str = r"(\d{8})", date_format: str = "yyyyMMdd",
                   fill_missing: Mapping[str, int] | None = None) -> DataFrame:

@@ -46,6 +46,21 @@ def write_csv(df: DataFrame, path: str, *, header: bool = True, mode: str = "ove
     return path
 
 
+def write_packed_texts(df: DataFrame, path: str, *, doc: str = "doc", text: str = "text", mode: str = "overwrite") -> str:
+    """A5: many texts in few container files, one record each (id, text), read back by ``readers.read_packed_texts``.
+
+    A folder of one file per text is listed by the driver and costs a file
+    handle each; here a task writes one file. The record separator inside a
+    text is escaped, so texts survive whatever they hold; a null text is a
+    record without one. Ids must not hold either separator.
+    """
+    from kairos.sources.readers import ID_END, RECORD_END
+    escaped = F.replace(F.replace(F.col(text), F.lit("\\"), F.lit("\\s")), F.lit(RECORD_END), F.lit("\\e"))
+    value = F.concat(F.col(doc).cast("string"), F.coalesce(F.concat(F.lit(ID_END), escaped), F.lit("")))
+    df.select(value.alias("value")).write.mode(mode).option("lineSep", RECORD_END).text(path)
+    return path
+
+
 def persist_table(df: DataFrame, name: str, *, partition_by: Sequence[str] = ()) -> DataFrame:
     """A8 + lineage cut: write to the shared folder and read back (for the next stage)."""
     spark = df.sparkSession

@@ -126,6 +126,17 @@ def test_lambda_max_zeroes_all(spark):
     assert path[0]["df"] == 0 and path[1]["df"] >= 1
 
 
+def test_packed_texts(spark):
+    """Texts that hold separators, escapes, line ends and nothing at all come back as they were, from few files."""
+    texts = ["plain", "", None, "two\nlines\r\n", "a\x1eb\x1fc", "back \\ \\e \\s \\\\e\x1e\\", "\x1e", "ü \U0001f600", "x" * 100_000] * 20
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc long, text string").repartition(3)
+    path = wr.write_packed_texts(df, wr.shared_path(spark, "packed"))
+    back = rd.read_packed_texts(spark, path)
+    assert {int(r.doc): r.text for r in back.collect()} == dict(enumerate(texts))
+    assert back.select(F.input_file_name()).distinct().count() <= 3
+    assert rd.read_packed_texts(spark, wr.write_packed_texts(df.limit(0), wr.shared_path(spark, "packed"))).count() == 0
+
+
 def test_text_folder_and_extracts(spark):
     base = tempfile.mkdtemp(prefix="kairos-src-")
     for name, body in (("n1", "first note\nline two"), ("n2", "second")):
