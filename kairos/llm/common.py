@@ -64,7 +64,9 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     path = shared_path(spark, f"llm-{name}")
     table_name = f"kairos_{name}_{path.rsplit('-', 1)[1]}"
     df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
-    return spark.read.table(table_name)
+    found = spark.read.table(table_name)  # resolved here, with its buckets
+    spark.sql(f"drop table {table_name}")  # the catalog's entry only: the files are outside the warehouse
+    return found
 
 
 def text_bytes(col: str | Column) -> Column:
