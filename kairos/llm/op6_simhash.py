@@ -15,10 +15,11 @@
    t_i of them, then keep pairs by the bit count of their XOR.
 6. **Crowded buckets** (over ``CROWD`` members) would give the square of
    their size. Their members are linked exactly another way: two words are
-   within 2 bits of each other iff some word lies within 1 bit of both, so
-   every member goes to itself and its 64 one-bit neighbours, and whoever
-   meets at a word is linked to the smallest there: 65 rows a member, at most
-   65 members a meeting.
+   within b bits of each other iff some word lies within b/2 bits (rounded up)
+   of one and b/2 (rounded down) of the other, so every member goes to the
+   words that near, and whoever meets at a word is linked to the smallest
+   of those within the lesser distance. With 2 bits these are 65 rows a
+   member, at most 65 members a meeting.
 7. **Components** of the links by alternating large-star and small-star
    rounds, every round a written table.
 
@@ -32,6 +33,7 @@ columns as they are, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -145,13 +147,8 @@ def _value(fp: str, bits: list[int]):
 
 
 def _masks(width: int, radius: int) -> list[int]:
-    """XOR masks of at most ``radius`` bits over ``width`` bits (radius up to 2)."""
-    out = [0] if radius >= 0 else []
-    if radius >= 1:
-        out += [1 << i for i in range(width)]
-    if radius >= 2:
-        out += [1 << i | 1 << j for i in range(width) for j in range(i)]
-    return out
+    """XOR masks of at most ``radius`` bits over ``width`` bits."""
+    return [sum(1 << i for i in some) for r in range(radius + 1) for some in combinations(range(width), r)]
 
 
 def choose_plan(prints: DataFrame, max_bits: int = MAX_BITS) -> list[tuple[list[int], int]]:
@@ -194,10 +191,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> Da
     """Links (a, b), a < b, whose components are those of all pairs of distinct ``fp`` within ``max_bits``.
 
     Every pair from a bucket of at most ``crowd`` members is given itself; in
-    larger buckets, the links through a common one-bit neighbour.
+    larger buckets, the links through a common neighbour (step 6).
     """
-    if max_bits != 2:
-        raise ValueError("the linking of crowded buckets is for two bits")
     plan = choose_plan(prints, max_bits)
     index = shared(prints.select("fp", F.posexplode(F.array(*[_value("fp", bits) for bits, _ in plan])).alias("part", "value")),
                    "simhash-index")
@@ -213,11 +208,14 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> Da
              .filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     members = probes.join(full, key, "left_semi").select("fp").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long"))
-                                  for i in range(BITS)])
-    met = (members.select("fp", F.explode(near).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("met"))
-           .filter(F.size("met") > 1).select(F.array_min("met").alias("a"), F.explode("met").alias("b"))
-           .filter(F.col("a") < F.col("b")))
+    low, high = max_bits // 2, max_bits - max_bits // 2
+    around = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in _masks(BITS, high)])
+    spread = members.select("fp", F.explode(F.transform(around, lambda m: m.bitwiseXOR(F.col("fp")))).alias("at"))
+    # whoever meets at a word links to the smallest that is within ``low`` bits of it
+    near = F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("at"))) <= low, F.col("fp")) if low < high else F.col("fp")
+    met = spread.groupBy("at").agg(F.collect_set("fp").alias("met"), F.min(near).alias("hub"))
+    met = (met.filter(F.size("met") > 1).filter("hub is not null").select("hub", F.explode("met").alias("b")).filter(F.col("hub") != F.col("b"))
+           .select(F.least("hub", "b").alias("a"), F.greatest("hub", "b").alias("b")))
     return pairs.union(met).distinct()
 
 

@@ -197,6 +197,29 @@ def test_links_of_random_fingerprints(spark, monkeypatch, crowd, plan):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_links_within_other_distances(spark, bits):
+    """Crowded and calm buckets link the same components for any distance, also odd ones."""
+    rng, prints = random.Random(9), set()
+    for _ in range(12):
+        p = rng.getrandbits(64)
+        for _ in range(15):
+            prints.add(p)
+            q = p
+            for _ in range(rng.randint(1, 4)):
+                q ^= 1 << rng.randrange(64)
+            p = q
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    roots = {r.node: r.root for r in op6_simhash.components(op6_simhash.links(df, bits, crowd=4)).collect()}
+    groups, want = {}, {}
+    for p in prints:
+        groups.setdefault(roots.get(signed(p), signed(p)), set()).add(p)
+    for p, r in brute_components(prints, bits).items():
+        want.setdefault(r, set()).add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_threshold_allocation():
     costs = [[0, 5, 50, 500], [0, 1, 2, 900], [0, 7, 9, 11]]
     best, chosen = op6_simhash.allocate(costs, 0)
