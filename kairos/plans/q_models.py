@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kairos.operators import models as md
 from kairos.operators import scoring as sc
 from kairos.plans.q_cohort import _F1_SQL, _F4_SQL, _LONG_SQL
+from kairos.plans.q_metrics import EV_SQL
 from kairos.plans.q_survival import LAM_SQL, SV_SQL, surv_base
 from kairos.plans.q_text import _COUNTS_SQL as COUNTS_SQL, _VOCAB_SQL as VOCAB_SQL
 from kairos.plans.registry import ORACLE, query, r
@@ -288,6 +289,29 @@ def h7_glm_lr_test(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, value double")
 
 
+@query("h7_conditions", "H7", """
+with d as (select site, cast(cluster_id % 4 as varchar) as grp, cast(died_1y as int) as y from ev),
+g as (select grp, count(*) as n, sum(y) as y from d group by grp),
+dev as (select -2 * sum(case when y > 0 then y * ln(y / n) else 0e0 end + case when y < n then (n - y) * ln((n - y) / n) else 0e0 end) as v from g),
+l as (select 'site' as predictor, site as level, y from d union all select 'grp', grp, y from d)
+select predictor, level, cast(count(*) as bigint) as n, cast(sum(y) as bigint) as observed, 0e0 as residual,
+  cast((select count(distinct site) - 1 from d) as int) as df, (select round(v, 4) from dev) as deviance_nested
+from l group by predictor, level
+""", extra_views={"sv": SV_SQL, "ev": EV_SQL})
+def h7_conditions(spark, sf_dir):
+    """The GLM's optimality conditions: per level of each predictor the fitted events are the observed ones. The nested model has one
+    predictor, so its deviance follows from the cell counts, which SQL adds up."""
+    from kairos.plans.q_metrics import evaluable
+    ev = evaluable(spark, sf_dir).withColumn("grp", (F.col("cluster_id") % 4).cast("string"))
+    res = md.glm_lr_test(ev.select("site", "grp", "died_1y"), label="died_1y", full=["site", "grp"], nested=["grp"])
+    each = res["rows"].select(F.col("died_1y").cast("int").alias("y"), "fitted", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("predictor"), F.col(c).alias("level")) for c in ("site", "grp")])).alias("l"))
+    per = each.groupBy("l.predictor", "l.level").agg(F.count("*").alias("n"), F.sum("y").alias("observed"), F.sum("fitted").alias("_f"))
+    return per.select("predictor", "level", "n", F.col("observed").cast("long").alias("observed"),
+                      (F.round(F.col("_f") - F.col("observed"), 4) + F.lit(0.0)).alias("residual"), F.lit(res["df"]).alias("df"),
+                      F.lit(round(float(res["deviance_nested"]), 4)).alias("deviance_nested"))
+
+
 _LAMBDA_SQL = """
 select y.note_id, y.label, c.term, c.cnt * 1e0 as x
 from (select note_id, surv_12mo * 1e0 as label from note_outcome where is_train) y join counts c on c.note_id = y.note_id
