@@ -16,6 +16,14 @@ NGRAMS_SQL = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] ||
 VOCAB_N = 10000  # the vocabulary parameter of the vectoriser
 
 
+def _spread_notes(spark, sf_dir, *columns):
+    """Notes for work on whole texts. An input of fewer splits than there are cores (few row groups) is dealt out once, since one task
+    would read it all; an input of many splits is read where it is, without a shuffle."""
+    n = fx.notes(spark, sf_dir).select(*columns)
+    splits, cores = fx.table(spark, sf_dir, "documents").rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    return n if splits >= cores else n.repartition(cores)
+
+
 def _train_notes(notes):
     return notes.filter(F.col("note_id") % 10 < 8).select("note_id")
 
@@ -81,7 +89,7 @@ select note_id, md5(array_to_string(list_transform(runs, lambda x, i:
 from r
 """)
 def g4_number_words(spark, sf_dir):
-    n = fx.notes(spark, sf_dir).select("note_id", "note_text")
+    n = _spread_notes(spark, sf_dir, "note_id", "note_text")
     return n.select("note_id", F.md5(tx.numbers_to_words("note_text")).alias("text_md5"))
 
 
@@ -168,7 +176,7 @@ def _counts_and_vocab(notes):
 select term, cast(total as bigint) as total, index from vocab
 """, extra_views={"counts": _COUNTS_SQL, "vocab": _VOCAB_SQL})
 def g7_vocabulary(spark, sf_dir):
-    v = _vocab(fx.notes(spark, sf_dir), VOCAB_N)
+    v = _vocab(_spread_notes(spark, sf_dir, "note_id", "note_text"), VOCAB_N)
     return v.select("term", F.col("total").cast("long"), F.col("index").cast("int"))
 
 
@@ -184,7 +192,7 @@ select x.note_id, cast(count(*) as bigint) as n_terms, round(sum(x.x / nm.norm),
 from x join nm on nm.note_id = x.note_id group by x.note_id
 """, extra_views={"counts": _COUNTS_SQL, "vocab": _VOCAB_SQL})
 def g8_tfidf(spark, sf_dir):
-    n = fx.notes(spark, sf_dir)
+    n = _spread_notes(spark, sf_dir, "note_id", "note_text")
     tr = _train_notes(n)
     c, v = _counts_and_vocab(n)
     t = tops.tfidf(c, v, train_docs=tr)
@@ -210,7 +218,7 @@ select term, cast(count(*) as bigint) as n_docs, round(sum(v), 6) as sum_all,
 from z group by term
 """, extra_views={"counts": _COUNTS_SQL, "vocab": _VOCAB_SQL, "edited": _EDITED_SQL})
 def g9_g11_term_frequency(spark, sf_dir):
-    n = fx.notes(spark, sf_dir)
+    n = _spread_notes(spark, sf_dir, "note_id", "note_text")
     tr = _train_notes(n)
     c, v = _counts_and_vocab(n)
     edited = v.select(F.col("term").alias("feature"),
@@ -236,7 +244,7 @@ select p.visit_id, tf.term, round(sum(p.w / t.tw * tf.tf), 6) as value
 from p join t on t.visit_id = p.visit_id join tf on tf.note_id = p.note_id group by p.visit_id, tf.term
 """, extra_views={"counts": _COUNTS_SQL, "vocab": _VOCAB_SQL})
 def f3_decayed_terms(spark, sf_dir):
-    n = fx.notes(spark, sf_dir)
+    n = _spread_notes(spark, sf_dir, "note_id", "patient_id", "update_date", "note_text")
     c, feats = _counts_and_vocab(n)
     docs = tops.with_word_count(n)
     tf = tops.term_frequency(c, docs, feats).select("note_id", "term", F.col("tf").alias("value"))
