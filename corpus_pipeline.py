@@ -38,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    back = op2_bpe.decode(op2_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    back = op2_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

@@ -74,6 +74,8 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").ravel()
 
 
+_DECODED = "doc_id bigint, ids array<int>, bytes binary"
+_DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 _BLOCK = ("block string, doc_ids array<bigint>, sizes array<int>, codes binary, numbers binary, "
           "words array<struct<bucket:int,n:int,size:int,lengths:binary,packed:binary>>")
 
@@ -166,11 +168,12 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of_doc = ids.offsets.to_numpy()[np.concatenate(([0], np.cumsum(sizes)))] - ids.offsets[0].as_py() if len(ids) else np.zeros(len(sizes) + 1)
             docs = pa.array(batch.column("doc_ids")[r].as_py(), pa.int64())
             whole = pa.ListArray.from_arrays(pa.array(of_doc.astype(np.int32)), ids.flatten().cast(pa.int32()) if len(ids) else pa.array([], pa.int32()))
+            del lists, parts, lens, flat, ends, place, table, sizes, codes, ids, of_doc  # before others compute
             yield pa.RecordBatch.from_arrays([docs, whole], ["doc_id", "ids"])
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of every row."""
+def _encoded_blocks(documents: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
+    """A row per block, as ``_reassemble`` takes it."""
     spark = documents.sparkSession
     small_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"),
@@ -181,7 +184,26 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
     answers = lists.repartition(buckets, "bucket").mapInArrow(_encode_lists(ranks_path, pattern), "block string, bucket int, n int, total int, ids binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "total", "ids")).alias("lists"))  # one per bucket at most
     back = split.select("block", "doc_ids", "sizes", "codes", "numbers").join(answers, "block", "left")
-    return back.select("doc_ids", "sizes", "codes", "numbers", "lists").mapInArrow(_reassemble, "doc_id bigint, ids array<int>")
+    return back.select("doc_ids", "sizes", "codes", "numbers", "lists")
+
+
+def encode(documents: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (array of int) of every row."""
+    return _encoded_blocks(documents, ranks_path, pattern, id_col, text_col).mapInArrow(_reassemble, "doc_id bigint, ids array<int>")
+
+
+def encode_and_decode(documents: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode``: doc_id, ids and bytes. Ids are decoded in the worker that reassembles them: a task has one worker, not two."""
+    made = _decode_batches(ranks_path)
+    return _encoded_blocks(documents, ranks_path, pattern, id_col, text_col).mapInArrow(
+        lambda batches: made(_reassemble(batches)), _DECODED)
+
+
+def encode_and_digest(documents: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digests`` of ``encode``, in one worker a task."""
+    made = _decode_batches(ranks_path)
+    return _encoded_blocks(documents, ranks_path, pattern, id_col, text_col).mapInArrow(
+        lambda batches: _digest_batches(made(_reassemble(batches))), _DIGESTS)
 
 
 def _decode_batches(ranks_path: str):
@@ -205,7 +227,7 @@ def _decode_batches(ranks_path: str):
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids and bytes: the concatenated bytes of the tokens."""
     return (encoded.select("doc_id", F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids"))
-            .mapInArrow(_decode_batches(ranks_path), "doc_id bigint, ids array<int>, bytes binary"))
+            .mapInArrow(_decode_batches(ranks_path), _DECODED))
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,4 +252,4 @@ def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """
     made = _decode_batches(ranks_path)
     return (encoded.select("doc_id", F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids"))
-            .mapInArrow(lambda batches: _digest_batches(made(batches)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
+            .mapInArrow(lambda batches: _digest_batches(made(batches)), _DIGESTS))

@@ -73,8 +73,7 @@ def ranks_path() -> str:
 @query()
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
-    ids = op2_bpe.encode(table(spark, sf_dir, "documents"), ranks_path(), public_tokenizers.PATTERN)
-    return op2_bpe.digests(ids, ranks_path())
+    return op2_bpe.encode_and_digest(table(spark, sf_dir, "documents"), ranks_path(), public_tokenizers.PATTERN)
 
 
 @query()

@@ -57,3 +57,13 @@ def test_odd_rows(spark, name, stage):
     if name != "byte_bpe":
         assert out.columns == docs.columns
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_encoding_stage_decodes_where_it_reassembles(spark):
+    docs = spark.createDataFrame([(1, "one two\n"), (1, "one two\n"), (2, ""), (3, None), (4, "naïve 文字 x" * 50)], "doc_id long, text string")
+    made = corpus_pipeline.encode(spark, docs, SF)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # word lists; reassembling and decoding
+    ids = op2_bpe.encode(docs, RANKS, P.PATTERN)
+    rows = lambda df: sorted((r.doc_id, list(r.ids), bytes(r.bytes)) for r in df.collect())
+    assert rows(op2_bpe.encode_and_decode(docs, RANKS, P.PATTERN)) == rows(op2_bpe.decode(ids, RANKS))
+    assert sorted(op2_bpe.encode_and_digest(docs, RANKS, P.PATTERN).collect()) == sorted(op2_bpe.digests(ids, RANKS).collect())
