@@ -126,6 +126,23 @@ def test_lambda_max_zeroes_all(spark):
     assert path[0]["df"] == 0 and path[1]["df"] >= 1
 
 
+def test_lasso_path_equals_mllib_in_shared_passes(spark, monkeypatch):
+    """All penalties go through the same passes: no MLlib fit per penalty, and the same coefficients."""
+    from pyspark.ml.classification import LogisticRegression
+    rng = random.Random(18)
+    rows = [(rng.gauss(3, 2), rng.gauss(0, 1)) for _ in range(200)]
+    rows = [(a, b, float(rng.random() < 1 / (1 + math.exp(3 - a - b / 2)))) for a, b in rows]
+    d = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, label double"))
+    lambdas = [0.2, 0.05, 0.01, 0.001]
+    models = [LogisticRegression(elasticNetParam=1.0, regParam=lam, standardization=True, maxIter=500, tol=1e-12).fit(d) for lam in lambdas]
+    monkeypatch.setattr(LogisticRegression, "fit", lambda *a: pytest.fail("a fit of its own for a penalty"))
+    path = md.lasso_path(d, lambdas=lambdas)
+    for fit, model in zip(path, models, strict=True):
+        assert np.allclose(fit["coef"], model.coefficients.toArray(), atol=1e-4) and abs(fit["intercept"] - model.intercept) < 1e-4
+        assert fit["df"] == np.count_nonzero(model.coefficients.toArray())
+    assert [f["lambda"] for f in path] == lambdas
+
+
 def test_packed_texts(spark):
     """Texts that hold separators, escapes, line ends and nothing at all come back as they were, from few files."""
     texts = ["plain", "", None, "two\nlines\r\n", "a\x1eb\x1fc", "back \\ \\e \\s \\\\e\x1e\\", "\x1e", "ü \U0001f600", "x" * 100_000] * 20
