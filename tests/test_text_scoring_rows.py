@@ -175,3 +175,16 @@ def test_top_contributions_rank_absent_features(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "visit_id long")
     got = {r["visit_id"]: (r["improve_feats"], r["worsen_feats"]) for r in top_contributions(z, coefs, rows, row_id=["visit_id"], k=2).collect()}
     assert got == {1: (" +a +b", " -d +b"), 2: (" -a -d", " -b +c"), 3: (" -c -a", " -b -a")}
+
+
+def test_lemmas_and_stop_words_from_one_count(spark):
+    """G5 counts the tokens of the corpus once; lemmas and the stop list both come from those totals."""
+    from kairos.operators import text as tops
+    from kairos.operators.dedup import top_n_by_frequency
+    notes = spark.createDataFrame([(1, "Dogs dog  the The cats"), (2, "the dog gas"), (2, "the dog gas"), (None, "dogs ass"), (3, None), (4, "")],
+                                  "note_id int, note_text string")
+    totals = tops.token_totals(notes)
+    assert {r["token"]: r["n"] for r in totals.collect()} == {"dogs": 2, "dog": 3, "the": 4, "cats": 1, "gas": 2, "ass": 1}
+    assert [tuple(r) for r in tops.plural_lemmas(totals).collect()] == [("dogs", "dog")]  # "cat" is no token, "gas" is too short
+    top = top_n_by_frequency(totals, "token", 3, count="n").orderBy("rank").collect()
+    assert [(r["token"], r["n"]) for r in top] == [("the", 4), ("dog", 3), ("dogs", 2)]
